@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,6 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 @lru_cache(1 << 17)
 def hash_word(word: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(word)
 
 
