@@ -32,7 +32,6 @@ UNLIKELY = re.compile(
     re.IGNORECASE,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-SPACE = re.compile(r"\s+")
 #: Points that a sibling needs as a share of the best container's, and the least.
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
 
@@ -111,7 +110,7 @@ def blocks_of(top: Node) -> list[tuple[Node, str]]:
 
     def flush() -> None:
         nonlocal held
-        text = SPACE.sub(" ", "".join(held)).strip()
+        text = " ".join("".join(held).split())
         if text:
             out.append((owner, text))
         held = []
