@@ -187,7 +187,7 @@ def bucket_edges(hits: DataFrame, compared: DataFrame, threshold: float, toleran
     stars = tested.where("near").select(F.col("text_key").alias("u"), F.col("leader").alias("v")).distinct()
     fallen = materialise(tested.where("n > 2 and not near").groupBy("bucket").agg(F.count("*").alias("far")))
     rest = tested.where("n > 2").join(sized(fallen), "bucket")
-    cut = lambda n: f"cast(ceil({n} / {BLOCK}) as int)"
+    cut = lambda n: f"cast(ceil(({n}) / {BLOCK}) as int)"
     own = "cast(pmod(xxhash64(text_key), %s) as int)"
     far_n, near_n = cut("far"), cut("n - 1 - far")
     far = rest.where("not near").select("bucket", "text_key", "kept", F.expr(far_n).alias("f"), F.expr(near_n).alias("a"), F.expr(own % far_n).alias("i"))
