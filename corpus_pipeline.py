@@ -25,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     ids = sized(materialise(labels.select("doc_id").where("doc_id is not null").distinct()))
     rules = learn_rules(materialise(text_statistics(docs.join(ids, "doc_id", "left_semi"))), labels)
-    kept = text_statistics(docs.withColumn("_sl_row", F.struct(*docs.columns)), ("_sl_row",)).where(~base_failed() & first_rule(rules).isNull())
-    return kept.select("_sl_row.*")
+    stats = text_statistics(docs.withColumn("_sl_row", F.struct(*docs.columns)), ("_sl_row",))
+    counted = stats.observe("quality rules", F.count(F.lit(1)).alias("judged"))  # and keeps the filter from being pushed into the statistics
+    return counted.where(~base_failed() & first_rule(rules).isNull()).select("_sl_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
