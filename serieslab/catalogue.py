@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+MODULES = ("q_rolling",)
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= getattr(import_module(f"serieslab.plans.{m}"), name)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("ORACLE_SQL")
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["rolling_zscore"](spark, sf_dir)
