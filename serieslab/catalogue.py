@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_rolling", "q_samples", "q_metrics")
+MODULES = ("q_rolling", "q_samples", "q_metrics", "q_tables")
 
 
 def _all(name: str) -> dict:

@@ -53,16 +53,17 @@ def with_row_index(df: DataFrame, series: list[str], order: list[str], name: str
     Rows are dealt by ranges of (series, order) and sorted there; a small table of counts by partition and series gives each its offset,
     so that one long series is spread over all tasks."""
     ranged = df.repartitionByRange(*series, *order).sortWithinPartitions(*series, *order)
-    placed = materialise(ranged.withColumn("_gid", F.monotonically_increasing_id()))
-    part = placed.withColumns({"_pid": F.shiftright("_gid", 33), "_pos": F.col("_gid").bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = part.groupBy(*series, "_pid").agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
-    before = Window.partitionBy(*series).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).select(*[F.col(c).alias(f"_k_{c}") for c in series], F.col("_pid").alias("_p"), "_offset")
-    met = F.col("_pid") == F.col("_p")
+    placed = materialise(ranged.withColumn("_ri_gid", F.monotonically_increasing_id()))
+    part = placed.withColumns({"_ri_pid": F.shiftright("_ri_gid", 33), "_ri_pos": F.col("_ri_gid").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = part.groupBy(*series, "_ri_pid").agg(F.count("*").alias("_ri_n"), F.min("_ri_pos").alias("_ri_first"))
+    before = Window.partitionBy(*series).orderBy("_ri_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_ri_n").over(before), F.lit(0)) - F.col("_ri_first")
+    offsets = counts.withColumn("_ri_offset", offset).select(*[F.col(c).alias(f"_ri_k_{c}") for c in series], F.col("_ri_pid").alias("_ri_p"), "_ri_offset")
+    met = F.col("_ri_pid") == F.col("_ri_p")
     for c in series:
-        met = met & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        met = met & F.col(c).eqNullSafe(F.col(f"_ri_k_{c}"))
     out = part.join(sized(materialise(offsets)), met)
-    return out.withColumn(name, F.col("_pos") + F.col("_offset")).select(*df.columns, name)
+    return out.withColumn(name, F.col("_ri_pos") + F.col("_ri_offset")).select(*df.columns, name)
 
 
 def halo(df: DataFrame, back: int = 0, ahead: int = 0, size: int = BUCKET) -> DataFrame:

@@ -74,7 +74,7 @@ _add(
 )
 _add(
     "fold_mean", lambda s, f: rounded(M.fold_mean(M.regression_metrics(forecasts(s, f), "y", "p", "flag").unpivot(["flag"], ["mse", "mae"], "metric", "value")), 4),
-    f"WITH {P}, m AS (SELECT flag, avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae FROM p GROUP BY flag), u AS (UNPIVOT m ON mse, mae INTO NAME metric VALUE value) SELECT metric, round(avg(value), 4) AS mean, count(*) AS folds FROM u GROUP BY metric",
+    f"WITH {P}, k AS (SELECT flag, avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae FROM p GROUP BY flag), u AS (UNPIVOT k ON mse, mae INTO NAME metric VALUE value) SELECT metric, round(avg(value), 4) AS mean, count(*) AS folds FROM u GROUP BY metric",
 )
 
 
