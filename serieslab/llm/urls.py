@@ -120,7 +120,9 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow", k
                 best = None
                 for s in sweeps:
                     if k and k != last:
-                        s.start(k) if last is None else s.seek(k)
+                        if last is None:
+                            s.start(k)
+                        s.seek(k)
                     r = s.best(path) if k else None
                     if r is not None and (best is None or (len(r.name), len(r.host)) > (len(best.name), len(best.host))):
                         best = r
