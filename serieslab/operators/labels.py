@@ -31,7 +31,8 @@ def triple_barrier(df: DataFrame, p: str, tp: float | Column = 0.002, sl: float
     """Adds label (1: the upper barrier p (1 + tp) is touched first among rows least .. limit ahead, or together with the lower one; -1: the
     lower barrier p (1 - sl); 0: none), periods and ret. The last limit + least rows of a series have no label and are dropped."""
     tp, sl = (c if isinstance(c, Column) else F.lit(c) for c in (tp, sl))
-    ahead = windowed(df, {"_p": lambda w: F.collect_list(p).over(w.rowsBetween(least, limit)), "_far": lambda w: F.lead(p, limit + least).over(w)}, ahead=limit + least).where("_far is not null")
+    ahead = windowed(df, {"_q": lambda w: F.collect_list(F.struct(F.col(p).alias("v"))).over(w.rowsBetween(least, limit)), "_far": lambda w: F.lead(p, limit + least).over(w)}, ahead=limit + least).where("_far is not null")
+    ahead = ahead.withColumn("_p", F.transform("_q", lambda q: q["v"]))  # missing prices keep their places
     first = lambda met: F.array_position(F.transform("_p", met), F.lit(True))
     up, down = first(lambda q: q >= F.col(p) * (1 + tp)), first(lambda q: q <= F.col(p) * (1 - sl))
     marked = ahead.withColumns({"_u": F.when(up > 0, up), "_d": F.when(down > 0, down)})
@@ -39,7 +40,7 @@ def triple_barrier(df: DataFrame, p: str, tp: float | Column = 0.002, sl: float
     label = F.when((u < (1 << 30)) & (u <= d), 1).when(d < (1 << 30), -1).otherwise(0)
     at = F.when(F.least(u, d) < (1 << 30), F.least(u, d)).otherwise(F.size("_p")).cast("int")
     out = marked.withColumns({"label": label.cast("int"), "periods": (at - 1 + least).cast("int"), "ret": F.get("_p", at - 1) / F.col(p) - 1})
-    return out.drop("_p", "_far", "_u", "_d")
+    return out.drop("_p", "_q", "_far", "_u", "_d")
 
 
 def label_summary(labels: DataFrame, by: list[str]) -> DataFrame:
