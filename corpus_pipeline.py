@@ -33,11 +33,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar texts: the one with the least doc_id. Of repeated rows one stays."""
     classes = similarity_classes(docs)
-    gone = sized(materialise(classes.where(F.col("n_links") > 0).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()))
+    in_class = classes.where(F.col("n_links") > 0)
+    gone = sized(materialise(in_class.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()))
     left = docs.join(gone, "doc_id", "left_anti")
-    linked = sized(materialise(classes.where(F.col("n_links") > 0).groupBy("doc_id").count().where("count > 1").select("doc_id")))
-    repeated = left.join(linked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(linked, "doc_id", "left_anti").unionByName(repeated)
+    twice = sized(materialise(in_class.groupBy("doc_id").count().where("count > 1").select("doc_id")))
+    repeated = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(repeated)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their size in words, their source's target and the number of copies."""
-    taken = mix(docs).where("copies > 0").select("doc_id", "size", "target", "copies", "taken")
-    return docs.join(taken.dropDuplicates(["doc_id"]), "doc_id")
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "h", "size", "target", "copies", "taken").dropDuplicates(["_id", "h"])
+    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+    return keyed.join(taken, (F.col("_h") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, "size", "target", "copies", "taken")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from serieslab.llm.common import materialise, sized, words
 
 #: Documents to a group in which rates are rounded together.
-GROUP = 20_000
+GROUP = 2_000
 
 
 def sizes(docs: DataFrame, keep: tuple[str, ...], text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -120,7 +120,8 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """A row for each row of docs: doc_id, source, size, source_size, target, copies (0 to `most`) and taken = copies * size.
+    """A row for each row of docs: doc_id, h (a hash of key and text), source, size, source_size, target, copies (0 to `most`) and taken =
+    copies * size.
 
     Without targets there is one margin, the source, with the tokens of `target_shares`. Null sources are one source; null and empty
     texts have size 0 and no copies; documents without key are mixed as others. Equal inputs give equal results, in any partitioning."""
@@ -142,4 +143,4 @@ def mix(
         "doc_id", "source", "size", "source_size", "target", "h", rate.alias("rate"), F.xxhash64("source", F.pmod("h", F.col("parts"))).alias("grp")
     )
     kind = ", ".join(f"{c} {t}" for c, t in rated.dtypes) + ", copies long"
-    return rounded(rated, kind, most).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rounded(rated, kind, most).select("doc_id", "h", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
