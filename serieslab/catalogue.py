@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_rolling", "q_samples", "q_metrics", "q_tables")
+MODULES = ("q_rolling", "q_samples", "q_metrics", "q_tables", "q_flagship")
 
 
 def _all(name: str) -> dict:
@@ -25,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["rolling_zscore"](spark, sf_dir)
+    return queries()["flagship"](spark, sf_dir)
