@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ END = b" "
 #: The most frequent words, which are scored without a join; distinct words that a task counts before it hands them on.
 FREQUENT, HELD = 65_536, 200_000
 SPACE = "▁"
+#: Characters up to which expected counts take probabilities as they are; longer words have them scaled by character.
+PLAIN = 40
 LOG10 = math.log(10)
 
 
@@ -34,7 +37,6 @@ class Pieces:
 
     def __init__(self, logs: dict[str, float], byte_logs: list[float]):
         self.logs, self.byte_logs = logs, byte_logs
-        self.longest = max(map(len, logs), default=1)
 
     @classmethod
     def load(cls, path: str, offset: float = 20.0) -> Pieces:
@@ -49,19 +51,33 @@ class Pieces:
         byte = math.log(1e-4 / 256)
         return cls({p: math.log(w / total * (1 - 1e-4)) for p, w in weights.items()}, [byte] * 256)
 
+    @cached_property
+    def prefixes(self) -> dict[str, float | None]:
+        """Every beginning of a piece, with the log probability of those that are pieces; built where it is used."""
+        out: dict[str, float | None] = {p[:k]: None for p in self.logs for k in range(1, len(p))}
+        out.update(self.logs)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {"logs": self.logs, "byte_logs": self.byte_logs}
+
     def edges(self, text: str) -> list[list[tuple[int, float, str]]]:
         """For each place in the text, the (start, log probability, piece) of the pieces that end there."""
-        logs, longest, out = self.logs, self.longest, []
-        for j in range(1, len(text) + 1):
-            own = []
-            for i in range(max(0, j - longest), j):
+        prefixes, none = self.prefixes, 0.0  # no piece has the probability one
+        n = len(text)
+        out: list[list[tuple[int, float, str]]] = [[] for _ in range(n)]
+        for i in range(n):
+            for j in range(i + 1, n + 1):
                 piece = text[i:j]
-                lp = logs.get(piece)
-                if lp is not None:
-                    own.append((i, lp, piece))
-            if text[j - 1] not in logs:
-                own.append((j - 1, sum(self.byte_logs[b] for b in text[j - 1].encode("utf-8", "surrogatepass")), ""))
-            out.append(own)
+                lp = prefixes.get(piece, none)
+                if lp is None:
+                    continue
+                if lp == none:
+                    break
+                out[j - 1].append((i, lp, piece))
+        for j, c in enumerate(text):
+            if c not in self.logs:
+                out[j].append((j, sum(self.byte_logs[b] for b in c.encode("utf-8", "surrogatepass")), ""))
         return out
 
     def forward(self, edges: list) -> list[float]:
@@ -80,21 +96,32 @@ class Pieces:
         """Adds the expected number of uses of each piece in a word that occurs `weight` times."""
         text = SPACE + word
         edges = self.edges(text)
-        alpha = self.forward(edges)
-        whole = alpha[-1]
-        beta = [-math.inf] * len(edges) + [0.0]
-        for j in range(len(edges), 0, -1):
+        if len(text) > PLAIN:
+            alpha = self.forward(edges)
+            scale = alpha[-1] / len(text)  # keeps products of long texts within range
+            linear = [[(i, math.exp(lp - scale * (j - i)), piece) for i, lp, piece in own] for j, own in enumerate(edges, 1)]
+        else:
+            linear = [[(i, math.exp(lp), piece) for i, lp, piece in own] for own in edges]
+        alpha = [1.0]
+        for own in linear:
+            total = 0.0
+            for i, p, _ in own:
+                total += alpha[i] * p
+            alpha.append(total)
+        if not 0.0 < alpha[-1] < math.inf:
+            return  # a word too long to be counted so; it has no say
+        beta = [0.0] * len(linear) + [weight / alpha[-1]]
+        for j in range(len(linear), 0, -1):
             b = beta[j]
-            for i, lp, piece in edges[j - 1]:
-                through = b + lp
-                n = weight * math.exp(alpha[i] + through - whole)
+            for i, p, piece in linear[j - 1]:
+                through = b * p
+                beta[i] += through
+                n = alpha[i] * through
                 if piece:
                     counts[piece] = counts.get(piece, 0.0) + n
                 else:
                     for c in text[j - 1].encode("utf-8", "surrogatepass"):
                         byte_counts[c] += n
-                low, high = (beta[i], through) if beta[i] < through else (through, beta[i])
-                beta[i] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
     def refit(self, counts: dict[str, float], byte_counts: np.ndarray, prior: float) -> Pieces:
         """Probabilities from expected counts, the present ones being worth `prior` uses."""
