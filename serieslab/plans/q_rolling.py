@@ -117,8 +117,8 @@ _add(
     "SELECT series, idx, round(CASE WHEN idx < 12 THEN f WHEN idx >= n - 12 THEN g ELSE x END, 6) AS b FROM n LEFT JOIN i USING (series)",
 )
 _add(
-    "seasonal_decompose", _events(lambda d: S.seasonal_decompose(d, "x", 24), "series", "idx", "trend", "seasonal", "resid"),
-    f"WITH {E}, t AS (SELECT *, avg(x) OVER {_w(24)} AS trend FROM e), s AS (SELECT series, idx % 24 AS k, avg(x - trend) AS seasonal FROM t GROUP BY ALL) SELECT t.series, idx, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(x - trend - seasonal, 6) AS resid FROM t JOIN s ON s.series = t.series AND s.k = t.idx % 24",
+    "seasonal_decompose", lambda s, f: rounded(S.seasonal_decompose(events_series(s, f), "x", 24).select("series", "idx", "trend", "seasonal", "resid"), 9),
+    f"WITH {E}, t AS (SELECT *, avg(x) OVER {_w(24)} AS trend FROM e), s AS (SELECT series, idx % 24 AS k, avg(x - trend) AS seasonal FROM t GROUP BY ALL) SELECT t.series, idx, round(trend, 9) AS trend, round(seasonal, 9) AS seasonal, round(x - trend - seasonal, 9) AS resid FROM t JOIN s ON s.series = t.series AND s.k = t.idx % 24",
 )
 _add("spectral_features", lambda s, f: rounded(S.spectral_features(events_series(s, f), "x")))
 _add("rolling_modes", lambda s, f: S.rolling_modes(line_series(s, f), "q", 500, 50))
