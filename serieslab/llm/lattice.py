@@ -27,8 +27,8 @@ END = b" "
 #: The most frequent words, which are scored without a join; distinct words that a task counts before it hands them on.
 FREQUENT, HELD = 65_536, 200_000
 SPACE = "▁"
-#: Characters up to which expected counts take probabilities as they are; longer words have them scaled by character.
-PLAIN = 40
+#: Words less probable than this have their expected uses counted in logarithms; for the others plain products stay within range.
+LEAST = 1e-200
 LOG10 = math.log(10)
 
 
@@ -96,20 +96,15 @@ class Pieces:
         """Adds the expected number of uses of each piece in a word that occurs `weight` times."""
         text = SPACE + word
         edges = self.edges(text)
-        if len(text) > PLAIN:
-            alpha = self.forward(edges)
-            scale = alpha[-1] / len(text)  # keeps products of long texts within range
-            linear = [[(i, math.exp(lp - scale * (j - i)), piece) for i, lp, piece in own] for j, own in enumerate(edges, 1)]
-        else:
-            linear = [[(i, math.exp(lp), piece) for i, lp, piece in own] for own in edges]
+        linear = [[(i, math.exp(lp), piece) for i, lp, piece in own] for own in edges]
         alpha = [1.0]
         for own in linear:
             total = 0.0
             for i, p, _ in own:
                 total += alpha[i] * p
             alpha.append(total)
-        if not 0.0 < alpha[-1] < math.inf:
-            return  # a word too long to be counted so; it has no say
+        if alpha[-1] < LEAST:
+            return self._expected_by_logs(text, edges, weight, counts, byte_counts)
         beta = [0.0] * len(linear) + [weight / alpha[-1]]
         for j in range(len(linear), 0, -1):
             b = beta[j]
@@ -123,6 +118,26 @@ class Pieces:
                     for c in text[j - 1].encode("utf-8", "surrogatepass"):
                         byte_counts[c] += n
 
+    def _expected_by_logs(self, text: str, edges: list, weight: float, counts: dict[str, float], byte_counts: np.ndarray) -> None:
+        """The same sums in logarithms, for a text of any length and any pieces."""
+        alpha = self.forward(edges)
+        whole = alpha[-1]
+        beta = [-math.inf] * len(edges) + [0.0]
+        for j in range(len(edges), 0, -1):
+            b = beta[j]
+            if b == -math.inf:
+                continue  # no segmentation passes here
+            for i, lp, piece in edges[j - 1]:
+                through = b + lp
+                n = weight * math.exp(alpha[i] + through - whole)
+                if piece:
+                    counts[piece] = counts.get(piece, 0.0) + n
+                else:
+                    for c in text[j - 1].encode("utf-8", "surrogatepass"):
+                        byte_counts[c] += n
+                low, high = (beta[i], through) if beta[i] < through else (through, beta[i])
+                beta[i] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
     def refit(self, counts: dict[str, float], byte_counts: np.ndarray, prior: float) -> Pieces:
         """Probabilities from expected counts, the present ones being worth `prior` uses."""
         total = sum(counts.values()) + float(byte_counts.sum()) + prior

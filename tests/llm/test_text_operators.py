@@ -260,6 +260,31 @@ def test_lattice_sums_over_all_segmentations():
     assert pieces.log_probability("ab" * 50_000) < -1000
 
 
+@pytest.mark.parametrize("word", ["\U0001f600" * n for n in (10, 13, 30, 39, 60)] + ["中" * 17, "ab" * 20 + "\U0001f600" * 40, "\U0001f600" * 100 + "ab" * 1000, "ba" * 500 + "中" * 300 + "ab" * 500])
+def test_every_word_has_its_say(word):
+    import numpy as np
+
+    pieces, p = small_pieces()
+    pieces.byte_logs = [math.log(1e-4 / 256)] * 256
+    counts, byte_counts = {}, np.zeros(256)
+    pieces.expected(word, 3.0, counts, byte_counts)
+    rare = [c for c in word if c not in p]
+    assert byte_counts.sum() == pytest.approx(3 * sum(len(c.encode()) for c in rare))
+    assert sum(len(k) * v for k, v in counts.items()) == pytest.approx(3 * (1 + len(word) - len(rare)))
+
+
+def test_expected_uses_by_logs_are_the_same():
+    import numpy as np
+
+    pieces, _ = small_pieces()
+    for w in ("a", "abba", "babéab", "ab" * 20):
+        made = {}, np.zeros(256)
+        logs = {}, np.zeros(256)
+        pieces.expected(w, 2.0, *made)
+        pieces._expected_by_logs("▁" + w, pieces.edges("▁" + w), 2.0, *logs)
+        assert made[0] == pytest.approx(logs[0]) and np.allclose(made[1], logs[1])
+
+
 def test_scores(spark, edge, none, monkeypatch):
     monkeypatch.setattr(lattice, "FREQUENT", 3)
     pieces, _ = small_pieces()
