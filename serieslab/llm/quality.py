@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 from serieslab.llm.common import WORD_SPACE, counted, materialise, words
 
 SYMBOLS = tuple("#*$%&|<>")
-#: Ratios that rules may test, as expressions over the statistics.
+#: Ratios that rules may test, as expressions over the statistics; zero for a text without words or lines.
 FEATURES = {
     "n_words": "double(n_words)",
-    "mean_word": "coalesce(word_chars / n_words, 0d)",
-    "symbol_ratio": "coalesce(n_symbols / n_words, 0d)",
-    "dup_line_ratio": "coalesce(n_dup_lines / n_lines, 0d)",
-    "repeat_ratio": "coalesce(n_repeat_words / n_words, 0d)",
-    "distinct_ratio": "coalesce(n_distinct_words / n_words, 0d)",
-    "upper_ratio": "coalesce(n_upper / word_chars, 0d)",
-    "mark_ratio": "coalesce(n_marks / n_words, 0d)",
-    "digit_ratio": "coalesce(n_digits / word_chars, 0d)",
-    "line_words": "coalesce(n_words / n_lines, 0d)",
+    "mean_word": "coalesce(try_divide(word_chars, n_words), 0d)",
+    "symbol_ratio": "coalesce(try_divide(n_symbols, n_words), 0d)",
+    "dup_line_ratio": "coalesce(try_divide(n_dup_lines, n_lines), 0d)",
+    "repeat_ratio": "coalesce(try_divide(n_repeat_words, n_words), 0d)",
+    "distinct_ratio": "coalesce(try_divide(n_distinct_words, n_words), 0d)",
+    "upper_ratio": "coalesce(try_divide(n_upper, word_chars), 0d)",
+    "mark_ratio": "coalesce(try_divide(n_marks, n_words), 0d)",
+    "digit_ratio": "coalesce(try_divide(n_digits, word_chars), 0d)",
+    "line_words": "coalesce(try_divide(n_words, n_lines), 0d)",
 }
 
 

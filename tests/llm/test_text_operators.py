@@ -108,6 +108,32 @@ def test_rules_are_learned_and_ordered(spark):
     assert quality.judged(stats, []).where("rule is not null").count() == 0
 
 
+@pytest.fixture(scope="module")
+def wordless(spark):
+    """200 labelled texts of 60 words, every second one bad with many symbols; null, empty and blank ones, labelled and not."""
+    texts = [" ".join(f"word{i}x{k}" + "#" * (i % 2) for k in range(60)) for i in range(200)] + [None, "", " \n\t"] * 2
+    labels = [(i, 1 - i % 2, 0) for i in range(200)] + [(i, 1, 0) for i in range(200, 203)]
+    return docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_texts_without_words_are_judged(wordless):
+    df, labels = wordless
+    stats = quality.text_statistics(df)
+    assert stats.where("n_words = 0").select(*[F.expr(e) for e in quality.FEATURES.values()]).distinct().collect() == [(0.0,) * len(quality.FEATURES)]
+    rules = quality.learn_rules(stats, labels)
+    assert any("ratio" in c.feature for r in rules for c in r)
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(stats, rules).collect()}
+    assert got == {i: i < 200 and i % 2 == 0 for i in range(206)}
+
+
+def test_pipeline_stage_without_words(spark, wordless, tmp_path):
+    import corpus_pipeline
+
+    df, labels = wordless
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.quality(spark, df, str(tmp_path)).collect()) == list(range(0, 200, 2))
+
+
 # similarity join
 def brute_classes(texts):
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").encode().split()) else set() for i, t in texts.items()}
