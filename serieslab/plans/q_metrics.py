@@ -150,7 +150,7 @@ def _path(s, f):
 
 
 _add("garch_fit", lambda s, f: rounded(V.garch_fit(events_series(s, f), "x", 1000), 4))
-_add("garch_rolling", lambda s, f: rounded(V.garch_rolling(events_series(s, f).where("idx < 1000"), "x", 500, 250), 4))
+_add("garch_rolling", lambda s, f: rounded(V.garch_rolling(events_series(s, f), "x"), 4))
 _gpath = (
     "WITH RECURSIVE e AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, value AS x FROM events), "
     "r AS (SELECT series, idx - 1 AS idx, ln(x / lag(x) OVER (PARTITION BY series ORDER BY idx)) AS r FROM e QUALIFY idx > 0), v AS (SELECT series, var_pop(r) AS v FROM r GROUP BY series), "

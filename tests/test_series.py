@@ -95,6 +95,22 @@ def test_garch_fit_recovers(spark):
     assert abs(a - 0.1) < 0.05 and abs(b - 0.85) < 0.08
 
 
+def test_rolling_garch_query_takes_the_whole_series(spark, tmp_path):
+    import datetime as dt
+
+    from serieslab.plans import q_metrics
+
+    x = np.exp(np.cumsum(np.random.default_rng(7).normal(0, 0.01, 1350)))
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), 1, "a", float(v)) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["idx"]: r for r in q_metrics.QUERIES["garch_rolling"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(1000, 1350))
+    for a in (1000, 1100, 1200, 1300):
+        want = volatility.fit_garch(np.diff(np.log(x[a - 1000 : a])), 3, 7)
+        for i in range(a, min(a + 100, 1350)):
+            assert [got[i][c] for c in ("omega", "alpha", "beta", "persistence")] == pytest.approx([*want[:3], want[1] + want[2]], abs=1e-4)
+
+
 @pytest.mark.parametrize("tile", [40, 500])
 def test_distance_correlation(spark, tile):
     rng = np.random.default_rng(1)
