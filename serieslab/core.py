@@ -17,28 +17,55 @@ from pyspark.sql.window import WindowSpec
 #: Rows to a bucket; a halo may not be wider.
 BUCKET = 50_000
 #: Rows up to which a narrow table may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the folder that the session's spark.checkpoint.dir names, or in a temporary one where it is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share: spark.checkpoint.dir, and below it one folder for the application, so
+    that a run's tables can be deleted at once. Only a local session may leave it unset; it gets a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='serieslab-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/serieslab-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/serieslab-{spark.conf.get('spark.app.id', 'tables')}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors, and has a known size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a materialised narrow table for broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def sized(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a materialised narrow table for broadcast if it has few enough rows and bytes; else the join shuffles it."""
+    wide = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")), F.lit(16 * len(df.columns)))
+    n, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(wide), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= most_bytes else df
+
+
+def ratio(top: Column, bottom: Column) -> Column:
+    """The quotient; null where the divisor is zero, which ANSI division would not survive."""
+    return F.try_divide(top, bottom)
+
+
+def safe_corr(a: str, b: str, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation over the rows that have both values, in a group or a window; null where one side is constant."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    parts = [F.covar_pop(x, y), F.var_pop(x), F.var_pop(y)]
+    if over is not None:
+        parts = [p.over(over) for p in parts]
+    c, v, w = parts
+    return F.when((v > 0) & (w > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(c, F.sqrt(v) * F.sqrt(w)))))
 
 
 def finite(value: Column) -> Column:
@@ -138,6 +165,21 @@ def value_ranks(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return own.join(sized(materialise(offsets)), [*by, "_pid"]).select(*by, "value", "n", (F.col("_below") + F.col("_offset")).alias("below"))
 
 
+def quantiles(df: DataFrame, column: str, by: list[str], shares: list[float], name: str = "q") -> DataFrame:
+    """(by, name array): exact quantiles, interpolated between neighbours. The values' ranks give them, so no task holds a series' values."""
+    ranks = materialise(value_ranks(df, column, by))
+    total = ranks.groupBy(*by).agg((F.sum("n") - 1).alias("_top"))
+    rows = ranks.join(total, by)
+    inside = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("value").cast("double")))
+    made = []
+    for p in shares:
+        at = F.col("_top") * F.lit(float(p))
+        made += [inside(F.floor(at)), inside(F.ceil(at))]
+    ends = rows.groupBy(*by, "_top").agg(*[m.alias(f"_q{i}") for i, m in enumerate(made)])
+    part = lambda p: F.col("_top") * F.lit(float(p)) - F.floor(F.col("_top") * F.lit(float(p)))
+    return ends.select(*by, F.array(*[F.col(f"_q{2 * i}") * (1 - part(p)) + F.col(f"_q{2 * i + 1}") * part(p) for i, p in enumerate(shares)]).alias(name))
+
+
 def unpivoted(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("series", "idx")) -> DataFrame:
     """(keys, feature, value): a row for each of the columns."""
     return df.unpivot(list(keys), [F.col(c).cast("double").alias(c) for c in columns], "feature", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import filled, finite, trailing, windowed
+from serieslab.core import filled, finite, quantiles, trailing, windowed
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 #: Name parts by which columns get a role, and prefixes that must not be features.
@@ -77,8 +77,10 @@ def impute(df: DataFrame, columns: list[str], method: str = "median", most_missi
     kept = [c for c in columns if (shares[c] or 0) <= most_missing]
     df = df.drop(*[c for c in columns if c not in kept])
     if method == "median":
-        medians = df.groupBy("series").agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in kept])
-        return df.join(medians, "series").withColumns({c: F.coalesce(c, f"_m_{c}") for c in kept}).drop(*[f"_m_{c}" for c in kept])
+        for c in kept:
+            middle = quantiles(df, c, ["series"], [0.5], "_m")
+            df = df.join(middle, "series", "left").withColumn(c, F.coalesce(c, F.col("_m")[0])).drop("_m")
+        return df
     return {"ffill": lambda: filled(df, kept), "bfill": lambda: filled(df, kept, forward=False), "both": lambda: fill_both_ways(df, kept)}[method]()
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import lengths, with_row_index
+from serieslab.core import lengths, safe_corr, with_row_index
 
 
 def pearson_prefilter(df: DataFrame, y: str, columns: list[str], k: int = 50, least: int = 50) -> DataFrame:
@@ -15,8 +15,7 @@ def pearson_prefilter(df: DataFrame, y: str, columns: list[str], k: int = 50, le
     made = []
     for c in columns:
         both = F.col(c).isNotNull() & F.col(y).isNotNull()
-        r = F.abs(F.corr(c, y))
-        made += [F.struct(F.lit(c).alias("feature"), F.when(F.count_if(both) >= least, F.nanvl(r, F.lit(None).cast("double"))).alias("score"))]
+        made += [F.struct(F.lit(c).alias("feature"), F.when(F.count_if(both) >= least, F.abs(safe_corr(c, y))).alias("score"))]
     row = df.agg(*[m.alias(f"f{i}") for i, m in enumerate(made)])
     long = row.select(F.explode(F.array(*[F.col(f"f{i}") for i in range(len(made))])).alias("x")).select("x.*").where("score is not null")
     return long.orderBy(F.desc("score"), "feature").limit(min(max(10, 3 * k), 200))

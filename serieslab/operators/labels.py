@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import windowed
+from serieslab.core import quantiles, ratio, windowed
 from serieslab.operators.rolling import rolling_coverage, rolling_vol
 
 
@@ -29,7 +29,7 @@ def direction_label(df: DataFrame, p: str, h: int = 5, name: str = "label") -> D
 
 def triple_barrier(df: DataFrame, p: str, tp: float | Column = 0.002, sl: float | Column = 0.001, limit: int = 60, least: int = 5) -> DataFrame:
     """Adds label (1: the upper barrier p (1 + tp) is touched first among rows least .. limit ahead, or together with the lower one; -1: the
-    lower barrier p (1 - sl); 0: none), periods and ret. The last limit + least rows of a series have no label and are dropped."""
+    lower barrier p (1 - sl); 0: none), periods and ret (null for a zero price). The last limit + least rows of a series have no label and are dropped."""
     tp, sl = (c if isinstance(c, Column) else F.lit(c) for c in (tp, sl))
     ahead = windowed(df, {"_q": lambda w: F.collect_list(F.struct(F.col(p).alias("v"))).over(w.rowsBetween(least, limit)), "_far": lambda w: F.lead(p, limit + least).over(w)}, ahead=limit + least).where("_far is not null")
     ahead = ahead.withColumn("_p", F.transform("_q", lambda q: q["v"]))  # missing prices keep their places
@@ -39,7 +39,7 @@ def triple_barrier(df: DataFrame, p: str, tp: float | Column = 0.002, sl: float
     u, d = F.coalesce("_u", F.lit(1 << 30)), F.coalesce("_d", F.lit(1 << 30))
     label = F.when((u < (1 << 30)) & (u <= d), 1).when(d < (1 << 30), -1).otherwise(0)
     at = F.when(F.least(u, d) < (1 << 30), F.least(u, d)).otherwise(F.size("_p")).cast("int")
-    out = marked.withColumns({"label": label.cast("int"), "periods": (at - 1 + least).cast("int"), "ret": F.get("_p", at - 1) / F.col(p) - 1})
+    out = marked.withColumns({"label": label.cast("int"), "periods": (at - 1 + least).cast("int"), "ret": ratio(F.get("_p", at - 1), F.col(p)) - 1})
     return out.drop("_p", "_q", "_far", "_u", "_d")
 
 
@@ -68,8 +68,8 @@ def barrier_sweep(df: DataFrame, p: str, settings: list[tuple] = BARRIERS, least
 
 def winsorised(df: DataFrame, x: str, low: float = 0.001, high: float = 0.999, name: str = "w") -> DataFrame:
     """Cut at the series' quantiles."""
-    q = df.groupBy("series").agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.join(q, "series").withColumn(name, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
+    q = quantiles(df, x, ["series"], [low, high], "_q")
+    return df.join(q, "series", "left").withColumn(name, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
 
 
 def vol_scaled(df: DataFrame, y: str, k: int = 50, mode: str = "rolling", least: int = 10) -> DataFrame:

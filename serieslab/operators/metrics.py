@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from math import floor
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.core import lengths, value_ranks, windowed, with_row_index
+from serieslab.core import lengths, quantiles, safe_corr, value_ranks, windowed, with_row_index
 from serieslab.operators.rolling import average_ranks
 
 
@@ -28,10 +26,10 @@ def skill_scores(df: DataFrame, y: str, p: str, by: str = "series") -> DataFrame
 
 
 def spearman_ic(df: DataFrame, y: str, p: str) -> DataFrame:
-    """(series, ic): Pearson correlation of average ranks."""
+    """(series, ic): Pearson correlation of average ranks; null where one side is constant."""
     both = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     ranked = average_ranks(average_ranks(both, y, "_ry"), p, "_rp")
-    return ranked.groupBy("series").agg(F.corr("_ry", "_rp").alias("ic"))
+    return ranked.groupBy("series").agg(safe_corr("_ry", "_rp").alias("ic"))
 
 
 def ic_bootstrap(df: DataFrame, y: str, p: str, rounds: int = 200, block: int | None = None, seed: int = 42) -> DataFrame:
@@ -45,7 +43,7 @@ def ic_bootstrap(df: DataFrame, y: str, p: str, rounds: int = 200, block: int |
     starts = draws.withColumn("_s", F.pmod(F.xxhash64("series", "round", "_k", F.lit(seed)), F.col("n")))
     rows = starts.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).where(F.col("_k") * F.col("_b") + F.col("_j") < F.col("n"))
     picked = rows.select("series", "round", F.pmod(F.col("_s") + F.col("_j"), F.col("n")).alias("idx")).join(dense, ["series", "idx"])
-    ics = picked.groupBy("series", "round").agg(F.corr("_ry", "_rp").alias("ic"))
+    ics = picked.groupBy("series", "round").agg(safe_corr("_ry", "_rp").alias("ic"))
     return ics.groupBy("series").agg(F.count("ic").alias("n_rounds"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.percentile("ic", 0.025).alias("low"), F.percentile("ic", 0.975).alias("high"))
 
 
@@ -57,15 +55,17 @@ def directional_accuracy(df: DataFrame, y: str, p: str, by: str = "series") -> D
 
 def diebold_mariano(df: DataFrame, y: str, p: str) -> DataFrame:
     """(series, n, dm, p_value): loss of the forecast against predicting zero, with Newey-West variance; (0, 1) under 50 rows. The number of
-    lags follows the longest series."""
-    d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select("series", "idx", ((F.col(y) - F.col(p)) ** 2 - F.col(y) ** 2).alias("_d"))
-    n = lengths(d).agg(F.max("n")).first()[0] or 0
-    h = floor(4 * (n / 100) ** (2 / 9)) if n else 0
-    centred = d.join(d.groupBy("series").agg(F.avg("_d").alias("_m"), F.count("*").alias("n")), "series").withColumn("_c", F.col("_d") - F.col("_m"))
+    lags follows each series' own length; rows are numbered anew after those without a value are left out."""
+    d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select("series", F.col("idx").alias("_i"), ((F.col(y) - F.col(p)) ** 2 - F.col(y) ** 2).alias("_d"))
+    d = with_row_index(d, ["series"], ["_i"]).drop("_i")
+    facts = d.groupBy("series").agg(F.avg("_d").alias("_mean"), F.floor(4 * F.pow(F.count("*") / 100, F.lit(2 / 9))).cast("int").alias("_h"))
+    h = facts.agg(F.max("_h")).first()[0] or 0
+    centred = d.join(facts, "series").withColumn("_c", F.col("_d") - F.col("_mean"))
     lagged = windowed(centred, {f"_c{k}": (lambda w, k=k: F.lag("_c", k).over(w)) for k in range(1, h + 1)}, back=max(h, 1))
     long_run = F.sum(F.col("_c") ** 2)
     for k in range(1, h + 1):
-        long_run = long_run + 2 * (1 - k / (h + 1)) * F.coalesce(F.sum(F.col("_c") * F.col(f"_c{k}")), F.lit(0.0))
+        weight = F.greatest(F.lit(0.0), 1 - F.lit(k) / (F.first("_h") + 1))
+        long_run = long_run + 2 * weight * F.coalesce(F.sum(F.col("_c") * F.col(f"_c{k}")), F.lit(0.0))
     out = lagged.groupBy("series").agg(F.count("*").alias("n"), F.avg("_d").alias("_m"), long_run.alias("_s"))
     dm = F.when((F.col("n") >= 50) & (F.col("_s") > 0), F.col("_m") / F.sqrt(F.col("_s") / F.col("n") / F.col("n"))).otherwise(0.0)
     out = out.select("series", "n", dm.alias("dm"))
@@ -84,7 +84,7 @@ def two_sided_p(z: Column) -> Column:
 def vol_adjusted_metrics(df: DataFrame, y: str, p: str, sigma: str) -> DataFrame:
     """skill_scores of y and p over sigma, cut at the quantiles of y."""
     own = df.where(F.col(sigma) > 0).withColumns({"_y": F.col(y) / F.col(sigma), "_p": F.col(p) / F.col(sigma)})
-    q = own.groupBy("series").agg(F.percentile("_y", F.array(F.lit(0.001), F.lit(0.999))).alias("_q"))
+    q = quantiles(own, "_y", ["series"], [0.001, 0.999], "_q")
     cut = lambda c: F.least(F.greatest(F.col(c), F.col("_q")[0]), F.col("_q")[1])
     return skill_scores(own.join(q, "series").withColumns({"_y": cut("_y"), "_p": cut("_p")}), "_y", "_p")
 

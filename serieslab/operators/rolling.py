@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from serieslab.core import running, trailing, value_ranks, windowed
+from serieslab.core import running, safe_corr, trailing, value_ranks, windowed
 
 
 def gated(value: Column, x: str, w: WindowSpec, least: int) -> Column:
@@ -85,8 +85,7 @@ def rolling_corr(df: DataFrame, a: str, b: str, k: int, least: int, name: str =
     def made(w: WindowSpec) -> Column:
         t = trailing(w, k)
         both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)
-        c = F.corr(a, b).over(t)
-        return F.when((F.count(both).over(t) >= least) & ~F.isnan(c), c)
+        return F.when(F.count(both).over(t) >= least, safe_corr(a, b, t))
 
     return windowed(df, {name: made}, back=k - 1)
 

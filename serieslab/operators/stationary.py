@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from serieslab.core import halo, lengths, trailing, windowed
+from serieslab.core import halo, lengths, ratio, trailing, windowed
 from serieslab.operators.rolling import df_t
 
 
@@ -61,7 +61,7 @@ def fracdiff_grid(df: DataFrame, x: str, orders: tuple[float, ...] = (0.1, 0.3,
     for d in orders:
         y = windowed(fracdiff(df, x, d, most, tolerance, "_y"), {"_before": lambda w: F.lag("_y").over(w)}, back=1).withColumn("_d", F.col("_y") - F.col("_before"))
         t = df_t(F.regr_slope("_d", "_before"), F.regr_sxx("_d", "_before"), F.regr_syy("_d", "_before"), F.regr_count("_d", "_before"))
-        row = y.groupBy("series").agg(F.count("_y").alias("n"), t.alias("t"), (F.var_pop("_y") / F.var_pop(x)).alias("var_ratio")).withColumn("d", F.lit(d))
+        row = y.groupBy("series").agg(F.count("_y").alias("n"), t.alias("t"), ratio(F.var_pop("_y"), F.var_pop(x)).alias("var_ratio")).withColumn("d", F.lit(d))
         out = row if out is None else out.unionByName(row)
     return out.select("series", "d", "n", "t", F.when(F.col("n") < 50, 1.0).otherwise(stepped_p(F.col("t"))).alias("p"), "var_ratio")
 

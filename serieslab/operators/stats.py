@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import unpivoted, windowed
+from serieslab.core import halo, materialise, quantiles, ratio, safe_corr, unpivoted, windowed
 from serieslab.operators.rolling import df_t
 from serieslab.operators.stationary import stepped_p
 
@@ -42,16 +42,18 @@ def moments(df: DataFrame, x: str, by: str = "series") -> DataFrame:
 def summaries(df: DataFrame, columns: list[str], mask: Column | None = None) -> DataFrame:
     """(series, feature, count, mean, std, min, max, median, skew, kurt), over the rows that the mask admits."""
     rows = unpivoted(df.where(mask) if mask is not None else df, columns).where("value is not null")
-    return rows.groupBy("series", "feature").agg(
+    out = rows.groupBy("series", "feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile("value", 0.5).alias("median"), F.skewness("value").alias("skew"), (F.kurtosis("value") + 3).alias("kurt"),
+        F.skewness("value").alias("skew"), (F.kurtosis("value") + 3).alias("kurt"),
     )
+    middle = quantiles(rows, "value", ["series", "feature"], [0.5], "_q").select("series", "feature", F.col("_q")[0].alias("median"))
+    return out.join(middle, ["series", "feature"])
 
 
 def autocorr(df: DataFrame, x: str, lags: list[int]) -> DataFrame:
     """(series, lag, r): correlation with the value `lag` rows before; 0 where one side is constant."""
     at = windowed(df, {f"_l{k}": (lambda w, k=k: F.lag(x, k).over(w)) for k in lags}, back=max(lags))
-    row = at.groupBy("series").agg(*[F.corr(x, f"_l{k}").alias(str(k)) for k in lags])
+    row = at.groupBy("series").agg(*[safe_corr(x, f"_l{k}").alias(str(k)) for k in lags])
     long = row.unpivot(["series"], [str(k) for k in lags], "lag", "r")
     return long.select("series", F.col("lag").cast("int").alias("lag"), F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r")).alias("r"))
 
@@ -77,7 +79,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], least: int = 10) -> Da
     made = []
     for i, (a, b) in enumerate(pairs):
         n = F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
-        made.append(F.when(n > least, F.corr(a, b)).otherwise(0.0).alias(f"p{i}"))
+        made.append(F.when(n > least, safe_corr(a, b)).otherwise(0.0).alias(f"p{i}"))
     row = df.groupBy("series").agg(*made)
     long = row.select("series", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x"))
     return long.select("series", "x.a", "x.b", F.coalesce(F.nanvl("x.r", F.lit(0.0)), F.lit(0.0)).alias("r"))
@@ -91,41 +93,49 @@ def jarque_bera(df: DataFrame, x: str, by: str = "series") -> DataFrame:
 def adf_test(df: DataFrame, x: str, lags: int | None = None, trend: bool = True, drop_warmup: bool = True) -> DataFrame:
     """(series, t, p_step, lags, n, stationary): Dickey-Fuller regression with lagged differences, constant and trend.
 
-    Spark sums the regressors' products by series; the small system of each series is then solved. With drop_warmup=False the lags
-    that the first rows lack count as zero. The p value is a step function of critical values for a regression without trend."""
-    counts = df.where(F.col(x).isNotNull()).groupBy("series").agg(F.count("*").alias("_n"))
-    if lags is None:
-        top = counts.agg(F.max("_n")).first()[0] or 0
-        lags = int(12 * (top / 100) ** 0.25) if top else 0
-    d = windowed(df, {"_b": lambda w: F.lag(x).over(w)}, back=1).withColumn("_d", F.col(x) - F.col("_b"))
-    d = windowed(d, {f"_d{j}": (lambda w, j=j: F.lag("_d", j).over(w)) for j in range(1, lags + 1)}, back=max(lags, 1))
-    terms = ["_b", *[f"_d{j}" for j in range(1, lags + 1)]]
-    if not drop_warmup:
-        d = d.withColumns({t: F.coalesce(t, F.lit(0.0)) for t in terms[1:]})
-    d = d.dropna(subset=["_d", *terms]).withColumns({"_one": F.lit(1.0), "_t": F.col("idx").cast("double") / 1000})
-    names = [*terms, "_one", *(["_t"] if trend else [])]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for i, a in enumerate(names) for b in names[i:]] + [F.sum(F.col(a) * F.col("_d")).alias(f"{a}|y") for a in names]
-    grams = d.groupBy("series").agg(*sums, F.sum(F.col("_d") ** 2).alias("yy"), F.count("*").alias("n"))
-
-    def solve(batches):
-        for g in batches:
-            rows = []
-            for _, r in g.iterrows():
-                m = len(names)
-                a = np.array([[r[f"{names[min(i, j)]}|{names[max(i, j)]}"] for j in range(m)] for i in range(m)], float)
-                y, n = np.array([r[f"{k}|y"] for k in names], float), int(r["n"])
-                t = None
-                if n > max(50, m):
-                    inv = np.linalg.pinv(a)
-                    beta = inv @ y
-                    rss = max(float(r["yy"]) - float(beta @ y), 0.0)
-                    se = np.sqrt(rss / (n - m) * max(inv[0, 0], 0.0))
-                    t = float(beta[0] / se) if se > 0 else None
-                p = None if t is None else 0.01 if t <= -3.43 else 0.05 if t <= -2.86 else 0.10 if t <= -2.57 else 1.0
-                rows.append((r["series"], t, p, lags, n, bool(p is not None and p <= 0.05)))
-            yield pd.DataFrame(rows, columns=["series", "t", "p_step", "lags", "n", "stationary"])
-
-    return grams.mapInPandas(solve, f"series {dict(df.dtypes)['series']}, t double, p_step double, lags int, n bigint, stationary boolean")
+    Without `lags` each series takes int(12 (n / 100)^(1/4)) of its own n values. Haloed buckets of rows give the sums of the regressors'
+    products, which are added up by series; the small system of each series is then solved. With drop_warmup=False lags that a row
+    lacks count as zero. The p value is a step function of critical values for a regression without trend."""
+    kind = dict(df.dtypes)["series"]
+    own = F.lit(lags) if lags is not None else F.floor(12 * F.pow(F.col("_n") / 100, F.lit(0.25)))
+    counts = materialise(df.where(F.col(x).isNotNull()).groupBy("series").agg(F.count("*").alias("_n")).select("series", own.cast("int").alias("_lags")))
+    most = counts.agg(F.max("_lags")).first()[0] or 0
+    rows = halo(df.select("series", "idx", F.col(x).cast("double").alias("_x")), back=most + 1).join(counts, "series")
+
+    def products(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("idx")
+        k, v = int(g["_lags"].iat[0]), g["_x"].to_numpy(float)
+        before, d = (np.full(len(v), np.nan) for _ in range(2))
+        before[1:], d[1:] = v[:-1], v[1:] - v[:-1]
+        lagged = np.full((len(v), k), np.nan)
+        for j in range(1, min(k, len(v) - 1) + 1):
+            lagged[j:, j - 1] = d[:-j]
+        if not drop_warmup:
+            lagged = np.nan_to_num(lagged)
+        fixed = [np.ones(len(v)), *([g["idx"].to_numpy(float) / 1000] if trend else [])]
+        m = np.column_stack([before, lagged, *fixed, d])
+        m = m[g["_home"].to_numpy(bool) & ~np.isnan(m).any(axis=1)]
+        s = m.T @ m
+        i, j = np.triu_indices(len(s))
+        return pd.DataFrame({"series": g["series"].iat[0], "lags": k, "i": i, "j": j, "s": s[i, j]})
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        size = int(g["j"].max())  # the last row and column hold the regressand
+        a = np.zeros((size + 1, size + 1))
+        a[g["i"], g["j"]] = a[g["j"], g["i"]] = g["s"]
+        k = int(g["lags"].iat[0])
+        n, t = int(round(a[k + 1, k + 1])), None
+        if n > max(50, size):
+            inv = np.linalg.pinv(a[:size, :size])
+            beta = inv @ a[:size, size]
+            rss = max(float(a[size, size] - beta @ a[:size, size]), 0.0)
+            se = np.sqrt(rss / (n - size) * max(inv[0, 0], 0.0))
+            t = float(beta[0] / se) if se > 0 else None
+        p = None if t is None else 0.01 if t <= -3.43 else 0.05 if t <= -2.86 else 0.10 if t <= -2.57 else 1.0
+        return pd.DataFrame([(g["series"].iat[0], t, p, k, n, bool(p is not None and p <= 0.05))], columns=["series", "t", "p_step", "lags", "n", "stationary"])
+
+    sums = rows.groupBy("series", "_bucket").applyInPandas(products, f"series {kind}, lags int, i int, j int, s double").groupBy("series", "lags", "i", "j").agg(F.sum("s").alias("s"))
+    return sums.groupBy("series").applyInPandas(solve, f"series {kind}, t double, p_step double, lags int, n bigint, stationary boolean")
 
 
 def adf_batch(df: DataFrame, columns: list[str], lags: int = 4) -> DataFrame:

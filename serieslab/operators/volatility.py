@@ -6,21 +6,22 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import windowed, with_row_index
-from serieslab.operators.sampling import tail_sample
+from serieslab.core import lengths, quantiles, ratio, windowed, with_row_index
 from serieslab.operators.stationary import anchors
 from serieslab.operators.stats import autocorr, jarque_bera, moments
 
 
 def log_returns(df: DataFrame, p: str, most: int | None = None) -> DataFrame:
     """(series, idx, r): log returns of the last `most` positive prices, numbered anew."""
-    rows = df.where(F.col(p) > 0)
-    rows = tail_sample(rows, most) if most else rows
-    r = windowed(rows, {"r": lambda w: F.log(F.col(p) / F.lag(p).over(w))}, back=1).where("r is not null")
-    return with_row_index(r.select("series", F.col("idx").alias("_i"), "r"), ["series"], ["_i"]).drop("_i")
+    rows = with_row_index(df.where(F.col(p) > 0).select("series", F.col("idx").alias("_i"), p), ["series"], ["_i"]).drop("_i")
+    if most:
+        first = F.greatest(F.col("n") - most, F.lit(0))
+        rows = rows.join(lengths(rows), "series").where(F.col("idx") >= first).withColumn("idx", F.col("idx") - first).drop("n")
+    r = windowed(rows, {"r": lambda w: F.log(F.col(p) / F.lag(p).over(w))}, back=1).where("idx > 0")
+    return r.select("series", (F.col("idx") - 1).alias("idx"), "r")
 
 
 def _nll(r: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -97,7 +98,7 @@ def conditional_variance(r: DataFrame, fits: DataFrame, size: int = 20_000) -> D
     """(series, idx, r, h): h = omega + alpha r^2 + beta h of the row before, from the variance of r.
 
     A bucket of rows turns the variance before it into scale * h + shift; these pairs are composed along the buckets, then each bucket
-    starts from its own value. Only a bucket at a time is in a task."""
+    starts from its own value. A task holds a bucket of rows, or one pair for each bucket of a series."""
     var = r.groupBy("series").agg(F.var_pop("r").alias("h0"))
     rows = r.join(fits.select("series", "omega", "alpha", "beta"), "series").join(var, "series").withColumn("_b", F.floor(F.col("idx") / size))
     kind = dict(r.dtypes)["series"]
@@ -111,9 +112,16 @@ def conditional_variance(r: DataFrame, fits: DataFrame, size: int = 20_000) -> D
         return pd.DataFrame([(g["series"].iat[0], int(g["_b"].iat[0]), b ** len(g), shift, float(g["h0"].iat[0]))], columns=["series", "_b", "scale", "shift", "h0"])
 
     pairs = rows.groupBy("series", "_b").applyInPandas(summary, f"series {kind}, _b bigint, scale double, shift double, h0 double")
-    before = Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    listed = F.collect_list(F.struct("scale", "shift")).over(before)  # one entry a bucket
-    starts = pairs.withColumn("start", F.aggregate(listed, F.col("h0"), lambda h, x: x["scale"] * h + x["shift"])).select("series", "_b", "start")
+
+    def compose(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_b")
+        h, out = float(g["h0"].iat[0]), []
+        for scale, shift in zip(g["scale"], g["shift"], strict=True):
+            out.append(h)
+            h = scale * h + shift
+        return pd.DataFrame({"series": g["series"], "_b": g["_b"], "start": out})
+
+    starts = pairs.groupBy("series").applyInPandas(compose, f"series {kind}, _b bigint, start double")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
@@ -128,7 +136,7 @@ def conditional_variance(r: DataFrame, fits: DataFrame, size: int = 20_000) -> D
 
 
 def garch_loglik(path: DataFrame) -> DataFrame:
-    return path.groupBy("series").agg((-0.5 * F.sum(F.lit(math.log(2 * math.pi)) + F.log("h") + F.col("r") ** 2 / F.col("h"))).alias("loglik"))
+    return path.groupBy("series").agg((-0.5 * F.sum(F.lit(math.log(2 * math.pi)) + F.log("h") + ratio(F.col("r") ** 2, F.col("h")))).alias("loglik"))
 
 
 def vol_statistics(path: DataFrame) -> DataFrame:
@@ -136,8 +144,9 @@ def vol_statistics(path: DataFrame) -> DataFrame:
     v = path.withColumn("v", F.sqrt("h"))
     out = v.groupBy("series").agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.skewness("v").alias("skew"), (F.kurtosis("v") + 3).alias("kurt"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.25).alias("q25"), F.percentile("v", 0.75).alias("q75"),
     )
+    q = quantiles(v, "v", ["series"], [0.5, 0.25, 0.75], "_q").select("series", *[F.col("_q")[i].alias(n) for i, n in enumerate(("median", "q25", "q75"))])
+    out = out.join(q, "series")
     return out.withColumns({"range": F.col("max") - F.col("min"), "cv": F.when(F.col("mean") > 0, F.col("std") / F.col("mean"))})
 
 
@@ -146,22 +155,23 @@ def vol_autocorr(path: DataFrame) -> DataFrame:
 
 
 def residual_stats(path: DataFrame) -> DataFrame:
-    """Moments and Jarque-Bera of r over its volatility."""
-    z = path.withColumn("z", F.col("r") / F.sqrt("h"))
+    """Moments and Jarque-Bera of r over its volatility; rows without volatility are left out."""
+    z = path.withColumn("z", ratio(F.col("r"), F.sqrt("h")))
     return moments(z, "z").join(jarque_bera(z, "z"), "series")
 
 
 def vol_forecast(path: DataFrame, fits: DataFrame, horizons: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
-    """(series, horizon, vol): the last variance drawn to its long-run level by persistence to the power of the horizon."""
+    """(series, horizon, vol): the last variance drawn to its long-run level by persistence to the power of the horizon; null without a
+    long-run level."""
     last = path.groupBy("series").agg(F.max_by("h", "idx").alias("_h"))
-    long_run = F.col("omega") / (1 - F.col("persistence"))
+    long_run = ratio(F.col("omega"), 1 - F.col("persistence"))
     each = last.join(fits, "series").withColumn("horizon", F.explode(F.array(*[F.lit(k) for k in horizons])))
     return each.select("series", "horizon", F.sqrt(long_run + F.pow("persistence", "horizon") * (F.col("_h") - long_run)).alias("vol"))
 
 
 def vol_diagnostics(path: DataFrame, fits: DataFrame) -> DataFrame:
     """(series, asymmetry, clustering, reversion, half_life)."""
-    signs = path.groupBy("series").agg((F.stddev_pop(F.when(F.col("r") < 0, F.col("r"))) / F.stddev_pop(F.when(F.col("r") > 0, F.col("r")))).alias("asymmetry"))
+    signs = path.groupBy("series").agg(ratio(F.stddev_pop(F.when(F.col("r") < 0, F.col("r"))), F.stddev_pop(F.when(F.col("r") > 0, F.col("r")))).alias("asymmetry"))
     lag1 = autocorr(path.withColumn("v", F.sqrt("h")), "v", [1]).select("series", F.col("r").alias("clustering"))
     p = F.col("persistence")
     own = fits.select("series", (1 - p).alias("reversion"), F.when((p > 0) & (p < 1), F.log(F.lit(0.5)) / F.log(p)).alias("half_life"))

@@ -76,7 +76,7 @@ def _barrier(tp: float, sl: float, limit: int, least: int = 5) -> str:
     return (
         f"p AS (SELECT *, list(x) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN {least} FOLLOWING AND {limit} FOLLOWING) AS p, lead(x, {limit + least}) {_o} AS far FROM e), "
         f"u AS (SELECT *, list_min(list_filter(range(1, len(p) + 1), lambda i: p[i] >= x * (1 + {tp!r}))) AS u, list_min(list_filter(range(1, len(p) + 1), lambda i: p[i] <= x * (1 - {sl!r}))) AS d FROM p WHERE far IS NOT NULL), "
-        f"b AS (SELECT series, idx, x, (CASE WHEN u IS NOT NULL AND u <= coalesce(d, 1000000) THEN 1 WHEN d IS NOT NULL THEN -1 ELSE 0 END)::INTEGER AS label, (coalesce(least(u, d), len(p)) - 1 + {least})::INTEGER AS periods, p[coalesce(least(u, d), len(p))] / x - 1 AS ret FROM u)"
+        f"b AS (SELECT series, idx, x, (CASE WHEN u IS NOT NULL AND u <= coalesce(d, 1000000) THEN 1 WHEN d IS NOT NULL THEN -1 ELSE 0 END)::INTEGER AS label, (coalesce(least(u, d), len(p)) - 1 + {least})::INTEGER AS periods, p[coalesce(least(u, d), len(p))] / nullif(x, 0) - 1 AS ret FROM u)"
     )
 
 
