@@ -12,7 +12,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from serieslab.llm import chat, contamination, html_text, jaccard, language, lattice, mixing, quality, queries, secrets, trigrams, urls
+from serieslab.llm import chat, contamination, jaccard, language, lattice, mixing, quality, queries, secrets, trigrams, urls
 from tests.against_sql import same
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -330,27 +330,6 @@ def test_scores(spark, edge, none, monkeypatch):
     assert lattice.score_texts(none, F.lit(False), pieces).count() == 0
 
 
-# html
-PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href="/">Home</a></nav>
-<div class="cookie-notice">We use cookies, many cookies, and more cookies, really</div><div id="content"><h2>Head &amp; line</h2><p>First,  long paragraph
-with, commas &eacute; and text that goes on for a good while, really it does.<br>After break</p><ul><li>one<li>two</ul></div>
-<aside>related</aside><div class="comments"><p>Nice post, very, very, very, long, comment, with, many, commas, in, it, and so on.</p></div><footer>foot</footer>
-<script>var t = "</p>";</script></body></html>"""
-
-
-def test_main_text(spark):
-    want = "Head & line\nFirst, long paragraph with, commas é and text that goes on for a good while, really it does. After break\none\ntwo"
-    assert html_text.main_text(PAGE) == want
-    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
-    assert html_text.main_text("<div><p>open <b>bold text") == "open bold text"
-    assert len(html_text.main_text("<article><p>" + "word " * 100_000 + "</p></article>")) == 499_999
-    assert html_text.main_text("<div>" * 5000 + "<p>deep text, deep</p>") == "deep text, deep"
-    rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
-    got = html_text.extract_text(rows).collect()
-    assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, len(want)), (1, len(want)), (2, 0)]
-    assert html_text.extract_text(rows.limit(0)).count() == 0
-
-
 # urls
 def test_url_rules(spark):
     rules = [urls.UrlRule("block", "com", "/en/"), urls.UrlRule("allow", "example.com", "/en/7"), urls.UrlRule("block", "b.example.com", "/"), urls.UrlRule("block", "example.com", "/en/7"), urls.UrlRule("allow", "example.com", "")]
