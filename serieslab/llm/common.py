@@ -2,45 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow side of a join may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+from serieslab.core import BROADCAST_ROWS, materialise, sized, table
+
+__all__ = ["BROADCAST_ROWS", "WORD_SPACE", "counted", "materialise", "sized", "table", "words"]
 
 #: White space as the word definition `[^\x20\x09-\x0D]+` has it.
 WORD_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='serieslab-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors, and has a known size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/serieslab-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a materialised narrow table for broadcast if it has few enough rows; else the join shuffles it."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def counted(text: Column, characters: str | tuple[str, ...]) -> Column:
     """Occurrences of the given single characters, without a regular expression."""
     rest = text

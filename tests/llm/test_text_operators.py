@@ -351,30 +351,108 @@ def test_url_rules(spark):
 
 
 # contamination
+def naive_similarity(a, b, size=5):
+    """Weighted Jaccard similarity of two lists of words, counted anew."""
+
+    def shingles(w):
+        k = min(size, len(w))
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    x, y = shingles(a), shingles(b)
+    weigh = lambda c: sum(n * sum(map(len, g)) for g, n in c.items())
+    both = weigh(x & y)
+    return both / (weigh(x) + weigh(y) - both)
+
+
+def best_windows(text, items, threshold=0.8):
+    """{item_id: best similarity} over all windows."""
+    w, out = contamination.folded_words(text or ""), {}
+    for key, item in items:
+        v = contamination.folded_words(item or "")
+        if not w or not v or not set(w) & set(v):
+            continue
+        n = min(len(v), len(w))
+        top = max(naive_similarity(w[p : p + n], v) for p in range(len(w) - n + 1))
+        if top >= threshold - 1e-9:
+            out[key] = top
+    return out
+
+
 def test_windows_against_all(spark, edge, none):
     item = " ".join(f"word{i}" for i in range(40))
     words = item.split()
     edited = words[:20] + ["other"] + words[21:]
-    texts = [f"before {item} after", "Before, " + item.upper().replace(" ", ", ") + "!", " ".join(edited), " ".join(words[:39]), " ".join(words[:20]), "nothing here", None, f"{item} x {item}"]
-    items = spark.createDataFrame([(1, item), (2, None), (3, "tiny item"), (4, "")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in contamination.contaminated_windows(docs(spark, texts + ["a tiny item"]), items).collect()}
-    for i, t in enumerate(texts):
-        w = contamination.folded_words(t or "")
-        n = min(40, len(w))
-        best = max((contamination.similarity(w[p : p + n], words, 5) for p in range(len(w) - n + 1)), default=0) if w else 0
-        assert ((i, 1) in got) == (best >= 0.8) and got.get((i, 1), best) == pytest.approx(best)
-    assert got[8, 3] == 1
+    texts = [f"before {item} after", "Before, " + item.upper().replace(" ", ", ") + "!", " ".join(edited), " ".join(words[:39]), " ".join(words[:20]), "nothing here", None, f"{item} x {item}", "a tiny item"]
+    rows = [(1, item), (2, None), (3, "tiny item"), (4, ""), (5, item), (None, item)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    for most in (1, 100):
+        got: dict = {}
+        for r in contamination.contaminated_windows(docs(spark, texts), items, most_items=most).collect():
+            got.setdefault(r["doc_id"], {})[r["item_id"]] = pytest.approx(r["similarity"])
+        assert got == {i: b for i, t in enumerate(texts) if (b := best_windows(t, [r for r in rows if r[0]]))}
+    assert got[8] == {3: 1} and got[0] == {1: 1, 5: 1}
     assert contamination.contaminated_windows(edge, items).count() == 0 and contamination.contaminated_windows(none, items).count() == 0
     left = contamination.decontaminated(docs(spark, texts), items, most_items=1)
-    assert sorted(r["doc_id"] for r in left.collect()) == [i for i in range(len(texts)) if (i, 1) not in got] and left.columns == docs(spark, texts).columns
+    assert sorted(r["doc_id"] for r in left.collect()) == [i for i in range(len(texts)) if i not in got] and left.columns == docs(spark, texts).columns
     assert contamination.decontaminated(docs(spark, texts), items.limit(0)).count() == len(texts)
 
 
+def test_recall_of_the_query(spark, sf_dir):
+    from serieslab.llm.q_contamination import op10_contamination
+
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    got: dict = {}
+    for r in op10_contamination(spark, sf_dir).collect():
+        got.setdefault(r["doc_id"], {})[r["item_id"]] = r["similarity"]
+    texts = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["doc_id"] in got or r["doc_id"] % 7 == 0 and len(r["text"] or "") < 3000]
+    want = {r["doc_id"]: b for r in texts if (b := best_windows(r["text"], items))}
+    pairs = [(d, k) for d, b in want.items() for k in b]
+    assert len(pairs) >= 3 and sum(k in got.get(d, {}) for d, k in pairs) >= 0.9 * len(pairs)
+    assert all(k in want[d] and s <= want[d][k] + 1e-9 for d, g in got.items() for k, s in g.items())
+
+
+def test_edited_items_are_found():
+    import random
+
+    rng, v = random.Random(5), [f"w{i}" for i in range(500)]
+    items = [(k, " ".join(rng.choice(v) for _ in range(rng.randint(20, 90)))) for k in range(60)]
+    index, pairs, found = contamination.ItemIndex(items, 5), 0, 0
+    for key, item in items * 3:
+        w = item.split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice(v)
+        text = " ".join([*(rng.choice(v) for _ in range(rng.randint(0, 50))), *w, *(rng.choice(v) for _ in range(rng.randint(0, 50)))])
+        best = best_windows(text, [(key, item)])
+        got = {h[0]: h[4] for h in index.hits(text, contamination.RADIUS, 0.8)}
+        pairs += len(best)
+        found += sum(k in got and got[k] <= s + 1e-9 for k, s in best.items())
+    assert pairs > 80 and found >= 0.97 * pairs
+
+
+def test_long_texts_take_linear_time(monkeypatch):
+    import random
+    import time
+
+    rng = random.Random(0)
+    words = [f"w{rng.randrange(300)}" for _ in range(160_000)]
+    index, took = contamination.ItemIndex([(1, " ".join(words[5000:7000])), (2, " ".join(words[5000:5100] * 30))], 5), {}
+    for n in (20_000, 160_000):
+        start = time.perf_counter()
+        assert index.hits(" ".join(words[:n]), 17, 0.8)[0][:3] == (1, 5000, 2000)
+        took[n] = time.perf_counter() - start
+    assert took[160_000] < 30 * max(took[20_000], 0.02)
+    monkeypatch.setattr(contamination, "CHUNK", 100)
+    monkeypatch.setattr(contamination, "PAIRS", 7)
+    assert index.hits(" ".join(words[:20_000]), 17, 0.8)[0][:3] == (1, 5000, 2000)
+
+
 def test_index_finds_all_within_radius():
-    index = contamination.ItemIndex([(1, " ".join(f"w{i}" for i in range(30)))], 5)
-    f = index.print[0]
+    import numpy as np
+
+    index = contamination.ItemIndex([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(5)], 5).near[30]
     for k in range(200):
         bits = int(hashlib.sha256(str(k).encode()).hexdigest(), 16)
         flips = {(bits >> (6 * j)) % 64 for j in range(contamination.RADIUS)}
-        g = f ^ sum(1 << b for b in flips)
-        assert any(0 in found.get(v, ()) for found, v in zip(index.near[30], contamination.parts(g), strict=True))
+        g = int(index.prints[k % 5]) ^ sum(1 << b for b in flips)
+        place, item, distance = index.within(np.array([g], np.uint64), contamination.RADIUS)
+        assert (k % 5, len(flips)) in set(zip(item.tolist(), distance.tolist(), strict=True)) and len(place) == len(set(item.tolist()))
