@@ -1,9 +1,8 @@
 """Language identification by compression: a text belongs to the language whose dictionary lets it be encoded in the fewest bytes.
 
-A language's dictionary is raw content: words of a bounded sample of its texts. A whole text is folded to its distinct lower-case
-words in the order of their first appearance and encoded, in blocks, with every dictionary. In a short text the encoder hardly gets to
-use a dictionary; there the content is put before the text, and the bytes that the text adds are counted. A prediction whose margin
-over the next language is narrow is not accepted.
+A language's dictionary is raw content: whole texts of a bounded sample. A whole text is folded to lower-case words and encoded, in blocks of
+one size and at one level whatever its length, with every dictionary. A prediction whose margin over the next language is narrow is not
+accepted.
 """
 
 from __future__ import annotations
@@ -19,10 +18,8 @@ from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Bytes that are encoded at a time, the size up to which a text counts as short, and the one up to which level 6 is used, else 3.
-BLOCK, SHORT, MIDDLE = 4096, 400, 1500
-#: (bytes of content before a short text, compression level), the added bytes of which are summed up.
-BEFORE = ((2000, 19), (6000, 9))
+#: Bytes that are encoded at a time, and the compression level.
+BLOCK, LEVEL = 2048, 12
 
 
 def held_out(key: Column, folds: int) -> Column:
@@ -31,44 +28,38 @@ def held_out(key: Column, folds: int) -> Column:
 
 
 def folded(text: str) -> str:
-    return " ".join(dict.fromkeys(NOT_LETTERS.sub(" ", text.lower()).split()))
+    return NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
-def learn_dictionaries(docs: DataFrame, texts: int = 64, most_bytes: int = 24_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each language of docs. The sample: for each language the `texts` rows with the least hash of their key, and
-    of each an even share of `most_bytes`; rows without language, text or key are not used."""
+def learn_dictionaries(docs: DataFrame, texts: int = 256, most_bytes: int = 24_000, usual: int = 1500, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+    """A dictionary for each language of docs. The sample of a language: whole texts, those of up to `usual` bytes in the order of a hash of
+    their keys, then longer ones by length, as many as `texts` and `most_bytes` allow, one at least. Rows without language, text or key
+    are not used; rows with equal language and key count once, with the least text."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0))
-    order = Window.partitionBy("lang").orderBy("h", "key")
-    chosen = known.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string")).alias("h")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts)
-    wanted = F.broadcast(chosen.select("lang", "key"))  # texts rows for each language
-    share = most_bytes // texts
-    body = known.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, 2 * share).alias("body"))
-    out: dict[str, list[bytes]] = {}
-    for r in body.join(wanted, ["lang", "key"]).orderBy("lang", F.xxhash64("key"), "body").collect():
-        out.setdefault(r["lang"], []).append(folded(r["body"]).encode()[:share])
-    return {k: b" ".join(v) for k, v in sorted(out.items())}
+    order = Window.partitionBy("lang").orderBy("size", "h", "key")
+    sizes = known.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.greatest(F.octet_length(text), F.lit(usual)).alias("size"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    first = sizes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts)
+    sums = first.withColumn("bytes", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = F.broadcast(sums.where((F.col("bytes") <= 4 * most_bytes) | (F.col("place") == 1)).select("lang", "key").distinct())  # at most `texts` rows for each language
+    body = known.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("body")).join(wanted, ["lang", "key"])
+    out: dict[str, bytes] = {}
+    for r in body.groupBy("lang", "key").agg(F.min("body").alias("body")).orderBy("lang", F.greatest(F.octet_length("body"), F.lit(usual)), F.xxhash64(F.col("key").cast("string")), "key").collect():
+        own, more = out.get(r["lang"], b""), folded(r["body"]).encode("utf-8", "replace")
+        if not own or len(own) + len(more) < most_bytes:
+            out[r["lang"]] = own + b" " + more
+    return dict(sorted(out.items()))
 
 
 class Encoder:
     """Bytes that texts take with one language's content."""
 
     def __init__(self, content: bytes):
-        self.usual = []
-        for level in (6, 3):
-            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=level)
-            self.usual.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_dict_id=False))
-        self.short = []
-        for size, level in BEFORE:
-            bare = zstandard.ZstdCompressor(level=level)
-            before = content[:size] + b" "
-            self.short.append((bare, before, len(bare.compress(before))))
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=LEVEL)
+        self.zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
     def size(self, data: bytes) -> int:
-        if len(data) <= SHORT:
-            return sum(len(z.compress(before + data)) - alone for z, before, alone in self.short)
-        usual = self.usual[len(data) > MIDDLE]
-        return sum(len(usual.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK))
+        return sum(len(self.zstd.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK))
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.03, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,7 +67,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
 
     score is 1 - 2^(-m / margin), m being the share of bytes saved against the second best language, so 0.5 at the least margin that
     is accepted; with a single language it is 1. Null texts and texts without a letter, and all texts if there is no dictionary,
-    are `und` with score 0, not accepted. Of equally short encodings the first language by name is taken."""
+    are `und` with score 0, not accepted. Of equally short encodings the first language by name is taken. Repeated rows repeat; other
+    columns are not read, whatever their names."""
     names = list(dictionaries)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -84,7 +76,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
     def predict(body: str | None, made: list) -> tuple[str, float]:
         if body is None or not any(c.isalpha() for c in body) or not made:
             return UNKNOWN, 0.0
-        data = folded(body).encode()
+        data = folded(body).encode("utf-8", "replace")
         sizes = [max(1, e.size(data)) for e in made]
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         if len(order) == 1:
