@@ -1,9 +1,10 @@
 """URL filter by a sort-merge join of urls with host and path rules.
 
 A host's canonical key has its labels in reverse order, each closed by a dot: `com.example.blog.`. A rule's host and all its subdomains
-are then one interval of keys, those that start with the rule's key, and intervals of rules nest. Urls are range-partitioned and sorted
-by key; a task sweeps its urls and the sorted rules together and keeps the rules whose interval holds the current key on a stack. What
-the stack holds at a task's first url is found from the rules alone, so a host's urls may be spread over tasks.
+are then one interval of keys, those that start with the rule's key, and intervals of rules nest. Urls are range-partitioned by key and a
+hash, so a host's urls may be spread over many ranges. A rule goes to the ranges that its interval meets: that of its own key, and those
+of which it is an ancestor. Each range is then swept in the order of keys, rules before urls, with a stack of the rules whose interval
+holds the current key. No task and no closure holds all rules.
 """
 
 from __future__ import annotations
@@ -13,14 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serieslab.llm.common import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules that go to every task; a longer list is swept in runs of this many, over the same sorted urls.
-MOST_RULES = 200_000
 
 
 @dataclass(frozen=True)
@@ -52,88 +51,111 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def key_of(host: str) -> str:
-    return "".join(f"{x}." for x in reversed(host.split("."))) if host else ""
+def key_of(host: Column) -> Column:
+    """The canonical key of a host; empty for an empty one."""
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-class Sweep:
-    """Rules in the order of their keys, and the stack of those that are active."""
+def rules_table(spark: SparkSession, rules: list[UrlRule]) -> DataFrame:
+    return spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
 
-    def __init__(self, rules: list[UrlRule]):
-        by_key: dict[str, dict[str, UrlRule]] = {}
-        for r in sorted(rules, key=lambda r: (r.verdict != "block", r.host, r.path)):  # of equal rules block comes first
-            by_key.setdefault(key_of(r.host), {}).setdefault(r.path, r)
-        self.keys = sorted(k for k in by_key if k)
-        self.paths = by_key
-        self.lengths = {k: sorted({len(p) for p in v}, reverse=True) for k, v in by_key.items()}
-        self.next, self.stack = 0, []
 
-    def start(self, key: str) -> None:
-        """Takes the place before a task's first key: its ancestors are the rules already open there."""
-        self.next = bisect_left(self.keys, key)
-        labels = key.split(".")[:-1]
-        prefixes = ["".join(f"{x}." for x in labels[: i + 1]) for i in range(len(labels) - 1)]
-        self.stack = [p for p in prefixes if p in self.paths]
+class Stack:
+    """The rules whose interval holds the current key: an entry for each key, with its rules by path and the lengths of their paths."""
+
+    def __init__(self):
+        self.entries: list[tuple[str, int, dict[str, tuple[str, str]], list[int]]] = []
 
     def seek(self, key: str) -> None:
-        """Moves on to a key that does not lie before the last one."""
-        while self.stack and not key.startswith(self.stack[-1]):
-            self.stack.pop()
-        while self.next < len(self.keys) and self.keys[self.next] <= key:
-            k = self.keys[self.next]
-            if key.startswith(k):
-                self.stack.append(k)
-            self.next += 1
-
-    def best(self, path: str) -> UrlRule | None:
-        found = None
-        for k in self.stack:
-            paths = self.paths[k]
-            for n in self.lengths[k]:
-                if (r := paths.get(path[:n])) is not None and len(r.path) == n:
-                    if found is None or (len(r.name), len(r.host)) > (len(found.name), len(found.host)):
-                        found = r
+        while self.entries and not key.startswith(self.entries[-1][0]):
+            self.entries.pop()
+
+    def add(self, key: str, host: str, path: str, verdict: str) -> None:
+        self.seek(key)
+        if not self.entries or self.entries[-1][0] != key:
+            self.entries.append((key, len(host), {}, []))
+        _, _, paths, lengths = self.entries[-1]
+        if len(path) not in lengths:
+            lengths.append(len(path))
+            lengths.sort(reverse=True)
+        if path not in paths or verdict == "block":  # of equal rules block wins
+            paths[path] = (host + path, verdict)
+
+    def best(self, path: str) -> tuple[str, str] | None:
+        found, size = None, (-1, -1)
+        for _, host, paths, lengths in self.entries:
+            for n in lengths:
+                if n <= len(path) and (r := paths.get(path[:n])) is not None:
+                    if (host + n, host) > size:
+                        found, size = r, (host + n, host)
                     break
         return found
 
 
-def judge_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow", key: str = "page_id", url: str = "url", partitions: int | None = None) -> DataFrame:
+def _ranges_of(rules: DataFrame, bounds: list[tuple[str, str, int]]) -> DataFrame:
+    """A row of a rule for each range of urls (least key, greatest key, number; in order) that its interval meets."""
+    highs = [b[1] for b in bounds]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, numbers = [], []
+            for i, key in enumerate(b.column(0).to_pylist()):
+                k = bisect_left(highs, key)
+                while k < len(bounds) and (bounds[k][0] <= key or bounds[k][0].startswith(key)):
+                    rows.append(i)
+                    numbers.append(bounds[k][2])
+                    k += 1
+                    if len(rows) >= 50_000:
+                        yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(numbers, pa.int32())], ["key", "host", "path", "verdict", "part"])
+                        rows, numbers = [], []
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(numbers, pa.int32())], ["key", "host", "path", "verdict", "part"])
+
+    keyed = rules.select(key_of(F.col("host")).alias("key"), "host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("key <> ''")
+    return keyed.distinct().mapInArrow(spread, "key string, host string, path string, verdict string, part int")
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame | list[UrlRule], default: str = "allow", key: str = "page_id", url: str = "url", partitions: int | None = None) -> DataFrame:
     """A row for each row of pages: page_id, url, host, path, rule (null if none fits) and verdict (the rule's, else the default).
 
-    The longest fitting rule (host and path in characters) wins, of equally long ones the one with the longer host, of equal ones
-    block. Null urls and urls without `://` have an empty host and path and no rule. Repeated rows repeat; other columns are not read."""
+    rules: a table (verdict, host, path), or a short list. The longest fitting rule (host and path in characters) wins, of equally long
+    ones the one with the longer host, of equal ones block. Rules without host fit nothing; a null path is an empty one. Null urls and urls
+    without `://` have an empty host and path and no rule. Repeated rows repeat; other columns are not read, whatever their names."""
+    rules = rules if isinstance(rules, DataFrame) else rules_table(pages.sparkSession, rules)
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    labels = F.reverse(F.split("host", r"\."))
-    rows = rows.withColumn("key", F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.array_join(labels, "."), F.lit("."))))
+    kind = dict(rows.dtypes)["page_id"]
     spread = [F.col("key"), F.xxhash64("page_id", "url")]
+    rows = rows.withColumn("key", key_of(F.col("host")))
     dealt = rows.repartitionByRange(partitions, *spread) if partitions else rows.repartitionByRange(*spread)
-    sorted_ = dealt.sortWithinPartitions("key")
-    kind = dict(rows.dtypes)["page_id"]
-    ordered = sorted(rules, key=lambda r: key_of(r.host))
-    passes = [ordered[i : i + MOST_RULES] for i in range(0, len(ordered), MOST_RULES)] or [[]]
+    placed = materialise(dealt.withColumn("part", F.spark_partition_id()))
+    found = placed.where("key <> ''").groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("low", "high", "part").collect()  # a row for each range
+    ruled = _ranges_of(rules, [(r["low"], r["high"], r["part"]) for r in found])
+    none = lambda t: F.lit(None).cast(t)
+    both = placed.select("part", "key", F.lit(1).alias("kind"), "page_id", "url", "host", "path", none("string").alias("said")).unionByName(
+        ruled.select("part", "key", F.lit(0).alias("kind"), none(kind).alias("page_id"), none("string").alias("url"), "host", "path", F.col("verdict").alias("said"))
+    )
+    ordered = both.repartition(max(1, len(found)), "part").sortWithinPartitions("part", "key", "kind")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweeps, last = [Sweep(p) for p in passes], None
+        stack, part = Stack(), None
         for b in batches:
-            names, verdicts = [], []
-            for path, k in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                best = None
-                for s in sweeps:
-                    if k and k != last:
-                        if last is None:
-                            s.start(k)
-                        s.seek(k)
-                    r = s.best(path) if k else None
-                    if r is not None and (best is None or (len(r.name), len(r.host)) > (len(best.name), len(best.host))):
-                        best = r
-                last = k or last
-                names.append(best and best.name), verdicts.append(best.verdict if best else default)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "url", "host", "path", "rule", "verdict"])
-
-    return sorted_.mapInArrow(sweep, f"page_id {kind}, url string, host string, path string, rule string, verdict string")
-
-
-def filter_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow", url: str = "url") -> DataFrame:
+            at, names, verdicts = [], [], []
+            columns = [b.column(i).to_pylist() for i in (0, 1, 2, 5, 6, 7)]
+            for i, (p, k, is_url, host, path, said) in enumerate(zip(*columns, strict=True)):
+                if p != part:
+                    stack, part = Stack(), p
+                if not is_url:
+                    stack.add(k, host, path, said)
+                    continue
+                stack.seek(k)
+                best = stack.best(path) if k else None
+                at.append(i), names.append(best and best[0]), verdicts.append(best[1] if best else default)
+            urls = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*urls.columns[3:7], pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "url", "host", "path", "rule", "verdict"])
+
+    return ordered.mapInArrow(sweep, f"page_id {kind}, url string, host string, path string, rule string, verdict string")
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame | list[UrlRule], default: str = "allow", url: str = "url") -> DataFrame:
     """The rows, all columns kept, whose url is allowed. Each distinct url is judged once."""
     distinct = pages.select(F.col(url).alias("u")).distinct().select(F.monotonically_increasing_id().alias("page_id"), F.col("u").alias("url"))
     allowed = materialise(judge_urls(distinct, rules, default)).where("verdict = 'allow'").select(F.col("url").alias("_sl_url"))

@@ -191,13 +191,39 @@ def test_posterior_bounds():
 
 # language
 def test_held_out_accuracy(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
-    out = language.held_out(F.col("doc_id"), 5)
-    made = language.learn_dictionaries(df.where(~out))
-    got = language.classify(df.where(out), made).join(df.select("doc_id", "lang"), "doc_id").collect()
-    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
-    assert all(0 <= r["score"] <= 1 for r in got)
-    assert {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in got} == {r["doc_id"]: True for r in got}
+    from serieslab.llm.q_language import op4_language
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r["doc_id"]: r for r in op4_language(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows)
+    assert all(got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    for lengths in (range(300), range(300, 10**9)):
+        out = [r for r in rows if got[r["doc_id"]]["held_out"] and len(r["text"] or "") in lengths and r["lang"]]
+        assert sum(r["lang"] == got[r["doc_id"]]["lang_pred"] for r in out) >= (0.85 if lengths.start == 0 else 0.97) * len(out)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_dictionary_sample_takes_whole_texts(spark):
+    df = spark.createDataFrame([(i, f"wort{i % 7} und der", "de") for i in range(50)] + [(99, "solo " * 5000, "es"), (7, "andere", "de"), (None, "x", "fr")], "doc_id long, text string, lang string")
+    made = language.learn_dictionaries(df, most_bytes=400, usual=30)
+    assert set(made) == {"de", "es"} and made["es"].split() == [b"solo"] * 5000 and len(made["de"]) <= 400
+    assert made == language.learn_dictionaries(df.repartition(5), most_bytes=400, usual=30)
+
+
+def test_prediction_is_the_shortest_encoding(spark):
+    import zstandard
+
+    made = {"a": b"the house and the garden of the old man " * 20, "b": b"das haus und der garten vom alten mann " * 20}
+    texts = ["the house of the man", "der garten und das haus", "the garden " * 900, "das haus, 12 und der garten " * 900]
+    rows = {r["doc_id"]: r for r in language.classify(docs(spark, texts), made).collect()}
+    for i, t in enumerate(texts):
+        data, sizes = " ".join(re.findall(r"[^\W\d_]+", t.lower())).encode(), {}
+        for n, content in made.items():
+            z = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[n] = sum(len(z.compress(data[k : k + language.BLOCK])) for k in range(0, len(data), language.BLOCK))
+        low, high = sorted(sizes.values())
+        assert rows[i]["lang_pred"] == min(sizes, key=sizes.get) == "ab"[i % 2]
+        assert rows[i]["score"] == pytest.approx(1 - 2 ** (-(1 - low / high) / 0.03)) and rows[i]["accepted"] == (rows[i]["score"] >= 0.5)
 
 
 def test_language_edge_cases(spark, edge, none):
@@ -331,23 +357,45 @@ def test_scores(spark, edge, none, monkeypatch):
 
 
 # urls
+def naive_verdict(rules, url, default="allow"):
+    u = url or ""
+    rest = u.split("://", 1)[1] if "://" in u else ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fit = [x for x in rules if host and x.host and (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+    best = max(fit, key=lambda x: (len(x.name), len(x.host), x.verdict == "block"), default=None)
+    return host, path, best and best.name, best.verdict if best else default
+
+
 def test_url_rules(spark):
-    rules = [urls.UrlRule("block", "com", "/en/"), urls.UrlRule("allow", "example.com", "/en/7"), urls.UrlRule("block", "b.example.com", "/"), urls.UrlRule("block", "example.com", "/en/7"), urls.UrlRule("allow", "example.com", "")]
-    hosts = ["example.com", "a.example.com", "B.example.com", "example-x.com", "xexample.com", "com", "com.", "", "a..com", "b.example.com:80"]
-    paths = ["", "/", "/en/", "/en/7x?q=/en/", "#/en/", "/de"]
+    rule = urls.UrlRule
+    rules = [rule("block", "com", "/en/"), rule("allow", "example.com", "/en/7"), rule("block", "b.example.com", "/"), rule("block", "example.com", "/en/7"), rule("allow", "example.com", ""), rule("block", "", "/"), rule("block", "net", "/a"), rule("allow", "net", "/a")]
+    hosts = ["example.com", "a.example.com", "B.example.com", "example-x.com", "xexample.com", "com", "com.", "", "a..com", "b.example.com:80", "x.net"]
+    paths = ["", "/", "/en/", "/en/7x?q=/en/", "#/en/", "/de", "/abc"]
     all_urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "example.com/en/"]
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(all_urls + all_urls)], "page_id long, url string, host string").repartition(3)
-    got = urls.judge_urls(df, rules, partitions=5).collect()
-    assert len(got) == 2 * len(all_urls)
-    for r in got:
-        u = r["url"] or ""
-        rest = u.split("://", 1)[1] if "://" in u else ""
-        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
-        host = host.lower()
-        fit = [x for x in rules if host and (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
-        best = max(fit, key=lambda x: (len(x.name), len(x.host), x.verdict == "block"), default=None)
-        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best and best.name, best.verdict if best else "allow")
+    df = spark.createDataFrame([(i, u, "clash", "x") for i, u in enumerate(all_urls + all_urls)], "page_id long, url string, host string, key string").repartition(3)
+    for parts in (1, 5, 40):
+        got = urls.judge_urls(df, rules, partitions=parts).collect()
+        assert len(got) == 2 * len(all_urls)
+        for r in got:
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == naive_verdict(rules, r["url"])
     assert urls.judge_urls(df.limit(0), rules).count() == 0 and urls.judge_urls(df, []).where("rule is not null").count() == 0
+    kept = urls.filter_urls(df, rules)
+    assert kept.columns == df.columns and kept.count() == 2 * sum(naive_verdict(rules, u)[3] == "allow" for u in all_urls)
+
+
+def test_many_url_rules_as_a_table(spark):
+    import random
+
+    rng = random.Random(2)
+    name = lambda: ".".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    rules = [urls.UrlRule(rng.choice(["block", "allow"]), name(), rng.choice(["", "/", "/x", "/x/y", "/xy"])) for _ in range(300)]
+    all_urls = [f"https://{name()}{rng.choice(['', '/', '/x', '/x/y/z', '/xyz', '/q'])}" for _ in range(1500)] + ["https://a.a/x"] * 700
+    df = spark.createDataFrame(list(enumerate(all_urls)), "page_id long, url string").repartition(4)
+    got = urls.judge_urls(df, urls.rules_table(spark, rules).repartition(3), partitions=9).collect()
+    assert len(got) == len(all_urls)
+    for r in got:
+        assert (r["rule"], r["verdict"]) == naive_verdict(rules, r["url"])[2:]
 
 
 # contamination
