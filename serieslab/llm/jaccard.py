@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import materialise, sized
+from serieslab.llm.common import materialise, sized, spread
 from serieslab.llm.graphs import components
 
 #: Bands, MinHash values to a band, and values that comparisons may read, of which a byte each is kept.
 BANDS, ROWS, COMPARED, STEP = 40, 6, 64, 16
-#: Texts to a block of a bucket and of a cluster.
-BLOCK, EXACT_BLOCK = 1024, 256
+#: Texts to a block of a bucket and of a cluster, and shingles to a block of a cluster.
+BLOCK, EXACT_BLOCK, EXACT_SHINGLES = 256, 256, 1_000_000
+#: Rows of blocks to a task, and the most tasks.
+TASK_ROWS, TASKS = 1_000, 20_000
 CLASSES = "text_key binary, root binary, links bigint"
 
 
@@ -76,7 +78,7 @@ def minhash(hashes: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """doc_id, text_key (null where the text has no word), bands and the compared bytes."""
+    """doc_id, text_key (null where the text has no word), the number of shingles, bands and the compared bytes."""
     rows = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key"), F.col(text).cast("binary").alias("body"))
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -86,20 +88,20 @@ def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
         mix = rng.integers(1, 1 << 62, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         own = rng.integers(0, 1 << 62, BANDS, np.uint64)
         for b in batches:
-            keys, bands, kept = [], [], []
+            keys, sizes, bands, kept = [], [], [], []
             for k, t in zip(b.column(1), b.column(2), strict=True):
                 h = shingle_hashes(t.as_py() or b"", size)
                 if not len(h):
-                    keys.append(None), bands.append(None), kept.append(None)
+                    keys.append(None), sizes.append(0), bands.append(None), kept.append(None)
                     continue
                 m = minhash(h, family)
                 keyed = (m.reshape(BANDS, ROWS).astype(np.uint64) * mix).sum(axis=1, dtype=np.uint64) + own
                 keyed ^= keyed >> np.uint64(31)
                 keyed *= np.uint64(0x94D049BB133111EB)
-                keys.append(k.as_py()), bands.append(keyed.view(np.int64)), kept.append((m[:COMPARED] & 0xFF).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "text_key", "bands", "kept"])
+                keys.append(k.as_py()), sizes.append(len(h)), bands.append(keyed.view(np.int64)), kept.append((m[:COMPARED] & 0xFF).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "text_key", "shingles", "bands", "kept"])
 
-    return rows.mapInArrow(sign, f"doc_id {kind}, text_key binary, bands array<bigint>, kept binary")
+    return rows.mapInArrow(sign, f"doc_id {kind}, text_key binary, shingles bigint, bands array<bigint>, kept binary")
 
 
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
@@ -185,8 +187,8 @@ def bucket_edges(hits: DataFrame, compared: DataFrame, threshold: float, toleran
     members = hits.join(sized(buckets, 200_000), "bucket").where("text_key <> leader").join(compared, "text_key")
     tested = materialise(members.select("bucket", "n", "text_key", "leader", "kept", close("kept", "leader_kept").alias("near")))
     stars = tested.where("near").select(F.col("text_key").alias("u"), F.col("leader").alias("v")).distinct()
-    fallen = materialise(tested.where("n > 2 and not near").groupBy("bucket").agg(F.count("*").alias("far")))
-    rest = tested.where("n > 2").join(sized(fallen), "bucket")
+    fallen = materialise(tested.where("n > 2 and not near").groupBy("bucket").agg(F.count("*").alias("far"), F.first("n").alias("m")))
+    rest = tested.where("n > 2").join(sized(fallen.drop("m")), "bucket")
     cut = lambda n: f"cast(ceil(({n}) / {BLOCK}) as int)"
     own = "cast(pmod(xxhash64(text_key), %s) as int)"
     far_n, near_n = cut("far"), cut("n - 1 - far")
@@ -217,17 +219,18 @@ def bucket_edges(hits: DataFrame, compared: DataFrame, threshold: float, toleran
             yield pa.RecordBatch.from_arrays([pa.array(names[moved], pa.binary()), pa.array(names[root[moved]], pa.binary())], ["u", "v"])
 
     blocks = within.union(across).union(near)
-    more = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join_blocks, "u binary, v binary")
+    n_rows = fallen.selectExpr(f"far * ({far_n} + {cut('m - 1 - far')}) + (m - 1 - far) * {far_n} as r").agg(F.sum("r")).first()[0] or 0
+    more = spread(blocks, n_rows, keys, TASK_ROWS, TASKS).sortWithinPartitions(*keys).mapInArrow(join_blocks, "u binary, v binary")
     return stars.union(more.distinct())
 
 
 def exact_links(clusters: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(text_key, root, links): what verified pairs give each text of a cluster. clusters: (node, component); texts: (text_key, n,
+    """(text_key, root, links): what verified pairs give each text of a cluster. clusters: (node, component, shingles); texts: (text_key, n,
     body). links is the number of rows, copies counted, that the text is linked to, apart from its own copies."""
-    counts = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    rows = clusters.join(counts, "component").join(texts.withColumnRenamed("text_key", "node"), "node")
-    cut = f"cast(ceil(m / {EXACT_BLOCK}) as int)"
-    placed = rows.selectExpr("component", "node", "n", "body", f"cast(pmod(xxhash64(node), {cut}) as int) as own", f"explode(sequence(0, {cut} - 1)) as k")
+    cut = f"cast(ceil(greatest(count(*) / {EXACT_BLOCK}, sum(shingles) / {EXACT_SHINGLES})) as int) as parts"
+    counts = materialise(clusters.groupBy("component").agg(F.count("*").alias("m"), F.expr(cut)))
+    rows = clusters.drop("shingles").join(counts, "component").join(texts.withColumnRenamed("text_key", "node"), "node")
+    placed = rows.selectExpr("component", "node", "n", "body", "cast(pmod(xxhash64(node), parts) as int) as own", "explode(sequence(0, parts - 1)) as k")
     blocks = placed.selectExpr("component", "least(own, k) as i", "greatest(own, k) as j", "own", "node", "n", "body")
     keys = ["component", "i", "j"]
 
@@ -259,23 +262,22 @@ def exact_links(clusters: DataFrame, texts: DataFrame, size: int, threshold: flo
                 ["text_key", "root", "links"],
             )
 
-    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, CLASSES)
+    n_rows = counts.agg(F.sum(F.col("m") * F.col("parts"))).first()[0] or 0
+    return spread(blocks, n_rows, keys, TASK_ROWS, TASKS).sortWithinPartitions(*keys).mapInArrow(verify, CLASSES)
 
 
-def similarity_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, class_id (the least doc_id of its class) and n_links (the number of other rows whose
-    shingle sets have a Jaccard similarity of at least the threshold with its own; copies are counted).
-
-    Classes are the connected components of the links. A text under `size` words is a single shingle. Null and empty texts, and
-    texts of white space, have no shingles: no links, and class_id is their doc_id. Null keys are passed on; a class of null keys
-    only has a null class_id. Repeated rows are copies of one another."""
+def _classes(docs: DataFrame, threshold: float, size: int, tolerance: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and a row for each text that has copies or links: text_key, first_id (the least doc_id of its rows), n (its
+    rows), class_id, n_links, leads (whether it is the one text that stands for its class)."""
     signed = materialise(signatures(docs, size, key, text))
     reps = materialise(
-        signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("kept").alias("kept"))
+        signed.where("text_key is not null").groupBy("text_key").agg(
+            F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.first("kept").alias("kept")
+        )
     )
     hits = reps.select(F.explode("bands").alias("bucket"), "text_key")
     edges = bucket_edges(hits, reps.select("text_key", "kept"), threshold, tolerance)
-    clusters = materialise(components(edges))
+    clusters = materialise(components(edges).join(reps.select(F.col("text_key").alias("node"), "shingles"), "node"))
     wanted = sized(clusters.select(F.col("node").alias("text_key")))
     own = docs.select(F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key"), F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("body"))
     firsts = reps.join(wanted, "text_key", "left_semi").select("text_key", "n", F.col("first_id").alias("doc_id"))
@@ -285,13 +287,43 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, t
     linked = components(verified.select(F.col("text_key").alias("u"), F.col("root").alias("v")))
     of_text = reps.select("text_key", "first_id", "n").join(linked.withColumnRenamed("node", "text_key"), "text_key", "left").join(links, "text_key", "left")
     of_text = materialise(of_text.where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "text_key")))
-    ids = of_text.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    classes = materialise(of_text.join(ids, "component").select("text_key", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return signed.select("doc_id", "text_key").join(sized(classes), "text_key", "left").select(
+    lead = F.min_by("text_key", F.struct(F.col("first_id").isNull(), "first_id", "text_key"))
+    ids = of_text.groupBy("component").agg(F.min("first_id").alias("class_id"), lead.alias("lead"))
+    classes = of_text.join(ids, "component").select(
+        "text_key", "first_id", "n", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("text_key") == F.col("lead")).alias("leads")
+    )
+    return signed, materialise(classes)
+
+
+def similarity_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, class_id (the least doc_id of its class) and n_links (the number of other rows whose
+    shingle sets have a Jaccard similarity of at least the threshold with its own; copies are counted).
+
+    Classes are the connected components of the links. A text under `size` words is a single shingle. Null and empty texts, and
+    texts of white space, have no shingles: no links, and class_id is their doc_id. Null keys are passed on; a class of null keys
+    only has a null class_id. Repeated rows are copies of one another. Other columns are not read, whatever their names."""
+    signed, classes = _classes(docs, threshold, size, tolerance, key, text)
+    found = sized(classes.select("text_key", "class_id", "n_links"))
+    return signed.select("doc_id", "text_key").join(found, "text_key", "left").select(
         "doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
 
 
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, all columns kept, without all but one of each class of `similarity_classes`.
+
+    It is a row of the class's least key (null keys last, of equal keys the text with the least hash); of several rows with this key and
+    text the one with the least hash of all columns. Rows are told apart by their texts, so a key may be repeated or null. Rows without
+    words belong to no class and all stay."""
+    _, classes = _classes(docs, threshold, size, tolerance, key, text)
+    found = sized(classes.select(F.col("text_key").alias("_sl_key"), F.col("first_id").alias("_sl_first"), F.col("n").alias("_sl_n"), F.col("leads").alias("_sl_leads")))
+    rows = docs.withColumn("_sl_text", F.unhex(F.md5(F.coalesce(text, F.lit(""))))).join(found, F.col("_sl_text") == F.col("_sl_key"), "left")
+    single = rows.where("_sl_key is null or _sl_leads and _sl_n = 1").select(*docs.columns)
+    repeated = rows.where(F.col("_sl_leads") & (F.col("_sl_n") > 1) & F.col(key).eqNullSafe(F.col("_sl_first")))
+    one = repeated.groupBy("_sl_text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_sl_row")).select("_sl_row.*")
+    return single.unionByName(one)
+
+
 def _texts(own: DataFrame, firsts: DataFrame) -> DataFrame:
     """(text_key, n, body) for the wanted texts, each once."""
     f = sized(firsts.select(F.col("text_key").alias("f_key"), F.col("doc_id").alias("f_id"), "n"))
