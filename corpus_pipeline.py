@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from serieslab.llm.common import materialise, sized, table
 from serieslab.llm.contamination import decontaminated
-from serieslab.llm.jaccard import similarity_classes
-from serieslab.llm.mixing import mix
+from serieslab.llm.jaccard import one_of_each_class
+from serieslab.llm.mixing import copies_of
 from serieslab.llm.quality import base_failed, first_rule, learn_rules, text_statistics
 from serieslab.llm.secrets import redact_secrets
 
@@ -31,14 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar texts: the one with the least doc_id. Of repeated rows one stays."""
-    classes = similarity_classes(docs)
-    in_class = classes.where(F.col("n_links") > 0)
-    gone = sized(materialise(in_class.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()))
-    left = docs.join(gone, "doc_id", "left_anti")
-    twice = sized(materialise(in_class.groupBy("doc_id").count().where("count > 1").select("doc_id")))
-    repeated = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(repeated)
+    """One document of each class of similar texts: a row of the least doc_id. Repeated and null keys are told apart by their texts; of rows
+    with equal key and text one stays."""
+    return one_of_each_class(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +47,19 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their size in words, their source's target and the number of copies."""
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "h", "size", "target", "copies", "taken").dropDuplicates(["_id", "h"])
-    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
-    return keyed.join(taken, (F.col("_h") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, "size", "target", "copies", "taken")
+    """The documents that the mix takes, with their size in words, their source's target, the number of copies and the words that these have.
+    Columns of these names are replaced. Rows that are equal in all columns become one, whose copies count for all of them."""
+    numbers = ["size", "target", "copies", "taken"]
+    own = [c for c in docs.columns if c not in numbers]
+    h = F.xxhash64(*docs.columns)
+    found = copies_of(docs, h=h).where("copies > 0").withColumn("taken", F.col("copies") * F.col("size"))
+    found = materialise(found.select(F.col("h").alias("_sl_h"), F.col("doc_id").alias("_sl_id"), F.col("times").alias("_sl_times"), F.struct(*numbers).alias("_sl_numbers")))
+    keyed = docs.withColumn("_sl_own", h)
+    met = (F.col("_sl_own") == F.col("_sl_h")) & F.col("doc_id").eqNullSafe(F.col("_sl_id"))
+    single = keyed.join(sized(found.where("_sl_times = 1")), met).select(*own, "_sl_numbers.*")
+    several = keyed.join(sized(found.where("_sl_times > 1")), met)
+    one = several.groupBy("_sl_h", "_sl_id").agg(F.first(F.struct(*own, "_sl_numbers")).alias("_sl_row")).select("_sl_row.*").select(*own, "_sl_numbers.*")
+    return single.unionByName(one)
 
 
 STAGES: list[tuple[str, Stage]] = [
