@@ -38,7 +38,7 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
 )
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x20\x09-\x0D-]*?-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),

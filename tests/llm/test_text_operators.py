@@ -74,6 +74,19 @@ def test_large_candidate_sets_are_joined_by_shuffle(spark, edge):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
+def test_whole_private_keys_are_redacted(spark):
+    body = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nMIIEow/+ab==\nQx9\n-----END RSA PRIVATE KEY-----"
+    texts = [f"before {body} after {body}", "only -----BEGIN PRIVATE KEY----- here's no end", f"{body}\n{body}"]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs(spark, texts)).collect()}
+    assert got == {0: "before [SECRET] after [SECRET]", 1: "only [SECRET] here's no end", 2: "[SECRET]\n[SECRET]"}
+
+
+def test_clashing_columns_are_kept(spark):
+    df = docs(spark, ["password = abcdef1", None]).withColumn("rules", F.lit(1)).withColumn("trigram", F.lit("t")).withColumn("spans", F.lit("s"))
+    out = secrets.redact_secrets(df)
+    assert out.columns == df.columns and {r["text"] for r in out.collect()} == {"[SECRET]", None}
+
+
 def test_redaction(spark, edge):
     got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(edge).collect()}
     assert got[4] == "[SECRET]" and got[8] == "\U0001f600 [SECRET] \U0001f600" and got[0] is None and got[5] == EDGE[5]
