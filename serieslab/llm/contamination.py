@@ -88,6 +88,23 @@ def parts(values: np.ndarray) -> Iterator[np.ndarray]:
         values = values >> np.uint64(b)
 
 
+class Hashes:
+    """A set of hashes: a bitmap of their low bits refutes most others, the rest are looked up."""
+
+    def __init__(self, values: np.ndarray):
+        self.sorted = np.unique(values)
+        self.mask = np.uint64((1 << max(12, (32 * len(self.sorted)).bit_length())) - 1)
+        self.bitmap = np.zeros(int(self.mask) + 1, bool)
+        self.bitmap[self.sorted & self.mask] = True
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        """Where values are in the set, ascending."""
+        at = np.flatnonzero(self.bitmap[values & self.mask])
+        found = np.searchsorted(self.sorted, values[at])
+        found[found == len(self.sorted)] = 0
+        return at[self.sorted[found] == values[at]]
+
+
 class MultiIndex:
     """Fingerprints by the values of their parts and all values within two bits of these."""
 
@@ -171,8 +188,8 @@ class ItemIndex:
         by_length: dict[int, list[int]] = {}
         for k, item in enumerate(self.items):
             by_length.setdefault(item.n, []).append(k)
-        self.by_length = {n: (min(size, n), np.array(ks), np.unique(np.concatenate([self.items[k].shingles for k in ks]))) for n, ks in by_length.items()}
-        self.sizes = {s: np.unique(np.concatenate([g for t, _, g in self.by_length.values() if t == s])) for s in {s for s, _, _ in self.by_length.values()}}
+        self.by_length = {n: (min(size, n), np.array(ks), Hashes(np.concatenate([self.items[k].shingles for k in ks]))) for n, ks in by_length.items()}
+        self.sizes = {s: Hashes(np.concatenate([g.sorted for t, _, g in self.by_length.values() if t == s])) for s in {s for s, _, _ in self.by_length.values()}}
         self.near = {n: MultiIndex(np.array([self.print_of(self.items[k]) for k in ks], np.uint64)) for n, (_, ks, _) in self.by_length.items()}
 
     @staticmethod
@@ -185,17 +202,19 @@ class ItemIndex:
         if not words or not self.items:
             return []
         h = hashes(words)
-        known = {s: (r, r[at]) for s, g in self.sizes.items() if len(at := np.flatnonzero(np.isin(r := runs(h, s), g)))}
+        known = {s: (r, at) for s, g in self.sizes.items() if len(at := g.places(r := runs(h, s)))}
         if not known:
             return []
         weight = np.array([len(w) for w in words], np.int64)
         best: dict[int, tuple] = {}
         for n, (s, ks, own) in self.by_length.items():
-            if s not in known or not np.isin(known[s][1], own).any():
+            if s not in known:
+                continue
+            shingle, at = known[s]
+            places = at[own.places(shingle[at])]
+            if not len(places):
                 continue
-            shingle = known[s][0]
             width, last = min(n, len(words)), max(0, len(words) - n)
-            places = np.flatnonzero(np.isin(shingle, own))
             edge = np.zeros(last + 2, np.int64)  # windows that hold such a shingle, as merged intervals of starts
             np.add.at(edge, np.clip(places - n + s, 0, last), 1)
             np.add.at(edge, np.minimum(places, last) + 1, -1)
