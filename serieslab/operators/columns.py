@@ -46,9 +46,10 @@ def eligible_float_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list
     return [c for c, t in df.dtypes if t in ("double", "float") and not c.startswith((*TARGETS, *DIAGNOSTICS)) and c not in exclude]
 
 
-def leakage_guard(df: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, leaks): names that hold the future or a diagnostic."""
-    return df.sparkSession.createDataFrame([(c, c.startswith((*TARGETS[:1], *DIAGNOSTICS))) for c in names], "feature string, leaks boolean")
+def leakage_guard(features: DataFrame, feature: str = "feature") -> DataFrame:
+    """Adds leaks: whether a feature's name says that it holds the future or a diagnostic."""
+    met = [F.startswith(F.col(feature), F.lit(p)) for p in (*TARGETS[:1], *DIAGNOSTICS)]
+    return features.withColumn("leaks", F.coalesce(F.array_contains(F.array(*met), F.lit(True)), F.lit(False)))
 
 
 def drop_constant(df: DataFrame, columns: list[str]) -> DataFrame:

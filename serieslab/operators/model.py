@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serieslab.operators.metrics import skill_scores
@@ -30,4 +32,11 @@ def evaluate(said: DataFrame) -> DataFrame:
 def save_model(model, path: str, meta: DataFrame) -> None:
     """The fitted model and a table of facts about it, under one path."""
     model.write().overwrite().save(f"{path}/model")
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+    meta.withColumn("model_class", F.lit(type(model).__name__)).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_model(spark: SparkSession, path: str):
+    """(model, its table of facts) as saved under a path."""
+    meta = spark.read.parquet(f"{path}/meta")
+    kinds = {k.__name__: k for k in (GBTRegressionModel, GBTClassificationModel, RandomForestClassificationModel)}
+    return kinds[meta.select("model_class").first()[0]].load(f"{path}/model"), meta

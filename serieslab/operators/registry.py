@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from serieslab.core import finite
+
 
 def register_model(models: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """All models, the new ones numbered on within their keys; the highest version of each is active."""
@@ -92,3 +94,35 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, version: str) -> Da
     """The newest row of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(version))
     return current.unionByName(changes).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def ranked_features(features: DataFrame) -> DataFrame:
+    """Adds rank_selection and rank_final, by importance within each model, equal ones by name, to (model_id, feature, selection_importance,
+    final_importance); a missing importance comes last."""
+    place = lambda c: F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc_nulls_last(c), "feature"))
+    return features.withColumns({"rank_selection": place("selection_importance"), "rank_final": place("final_importance")})
+
+
+def finite_metrics(metrics: DataFrame) -> DataFrame:
+    """(model_id, metric, value) with a category; values that are missing or not finite are left out."""
+    return metrics.withColumn("value", finite(F.col("value"))).where("value is not null").withColumn("category", metric_category("metric"))
+
+
+def run_log(rows: DataFrame) -> DataFrame:
+    """(run_id, started, ended, status): each run folded from START, END and ERROR rows (run_id, event, at). A run with an error has failed, one
+    with an end is completed, any other is running."""
+    when = lambda s: F.when(F.col("event") == s, F.col("at"))
+    out = rows.groupBy("run_id").agg(F.min(when("START")).alias("started"), F.max(when("END")).alias("ended"), F.count_if(F.col("event") == "ERROR").alias("_errors"))
+    status = F.when(F.col("_errors") > 0, "FAILED").when(F.col("ended").isNotNull(), "COMPLETED").otherwise("RUNNING")
+    return out.select("run_id", "started", "ended", status.alias("status"))
+
+
+def latest_artifacts(rows: DataFrame) -> DataFrame:
+    """The newest path of each (task, stage, kind), ties by path, and how many there were."""
+    pick = F.max_by("path", F.struct("at", "path"))
+    return rows.groupBy("task", "stage", "kind").agg(pick.alias("path"), F.count("*").alias("n"))
+
+
+def task_info(tasks: DataFrame, status: DataFrame) -> DataFrame:
+    """All columns of tasks with the last status, its time, and whether the task is processed."""
+    return tasks.join(latest_status(status), "task", "left").withColumn("processed", F.coalesce(F.col("status") == "COMPLETED", F.lit(False)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from serieslab.core import table
+from serieslab.core import shared_dir, table
 from serieslab.operators import dependence as C
 from serieslab.operators import metrics as M
 from serieslab.operators import model as N
@@ -90,10 +93,10 @@ _dcor = (
     "c AS (SELECT a - avg(a) OVER (PARTITION BY i) - avg(a) OVER (PARTITION BY j) + avg(a) OVER () AS a, b - avg(b) OVER (PARTITION BY i) - avg(b) OVER (PARTITION BY j) + avg(b) OVER () AS b FROM p) "
     "SELECT 'q' AS feature, 600::BIGINT AS n, round(greatest(sum(a * b), 0) / sqrt(sum(a * a) * sum(b * b)), 6) AS dcor2, round(sqrt(greatest(sum(a * b), 0) / sqrt(sum(a * a) * sum(b * b))), 6) AS dcor FROM c"
 )
-_add("dcor_small", lambda s, f: rounded(C.distance_corr(line_series(s, f), "v", ["q"], 600, 200)), _dcor)
-_add("dcor_scores", lambda s, f: rounded(C.dcor_scores(line_series(s, f), "v", ["q", "d", "t"], 50, 4000)))
-_add("dcor_permutation", lambda s, f: rounded(C.dcor_permutation(line_series(s, f), "v", ["q", "d"], 30, most=400)))
-_add("dcor_rolling", lambda s, f: rounded(C.dcor_rolling(line_series(s, f), "v", ["q", "d"], 600, 300, 200, 6)))
+_add("dcor_small", lambda s, f: rounded(C.distance_corr(line_series(s, f), "v", ["q"], 600, 200)), _dcor)  # the last 600 pairs: the operator's own limit, as small as the SQL needs
+_add("dcor_scores", lambda s, f: rounded(C.dcor_scores(line_series(s, f), "v", ["q", "d", "t"])))
+_add("dcor_permutation", lambda s, f: rounded(C.dcor_permutation(line_series(s, f), "v", ["q", "d"])))
+_add("dcor_rolling", lambda s, f: rounded(C.dcor_rolling(line_series(s, f), "v", ["q", "d"])))
 _edge = lambda c: f"least(floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 32), 31)"
 _pairs = [("q", "v"), ("q", "d"), ("d", "t")]
 _h = lambda *k: f"(SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM b) AS p FROM b GROUP BY {', '.join(k)}))"
@@ -149,7 +152,7 @@ def _path(s, f):
     return V.conditional_variance(r, fits), fits
 
 
-_add("garch_fit", lambda s, f: rounded(V.garch_fit(events_series(s, f), "x", 1000), 4))
+_add("garch_fit", lambda s, f: rounded(V.garch_fit(events_series(s, f), "x"), 4))
 _add("garch_rolling", lambda s, f: rounded(V.garch_rolling(events_series(s, f), "x"), 4))
 _gpath = (
     "WITH RECURSIVE e AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, value AS x FROM events), "
@@ -179,3 +182,29 @@ _add(
     "vol_diagnostics", lambda s, f: rounded(V.vol_diagnostics(*_path(s, f))),
     _gpath + ", c AS (SELECT a.series, corr(sqrt(a.h), sqrt(b.h)) AS c FROM p a JOIN p b ON b.series = a.series AND b.idx = a.idx - 1 GROUP BY a.series) SELECT p.series, round(stddev_pop(CASE WHEN r < 0 THEN r END) / stddev_pop(CASE WHEN r > 0 THEN r END), 6) AS asymmetry, round(any_value(c), 6) AS clustering, 0.1::DOUBLE AS reversion, round(ln(0.5) / ln(0.9), 6) AS half_life FROM p JOIN c USING (series) GROUP BY p.series",
 )
+
+
+def _saved(s, f):
+    """Predictions of a model that was saved and loaded again."""
+    df, columns = _wide(s, f)
+    model, _ = N.train_final(df, "y", columns, **_fit)
+    path = f"{shared_dir(s)}/model-{uuid.uuid4().hex}"
+    N.save_model(model, path, s.createDataFrame([("all", len(columns))], "series string, n_features int"))
+    loaded, meta = N.load_model(s, path)
+    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(df)
+    return rounded(loaded.transform(rows).select("idx", "prediction").join(F.broadcast(meta.select("n_features"))), 4)  # one row
+
+
+_add("load_model", _saved)
+_add("corr_preprune", lambda s, f: (lambda d, c: s.createDataFrame([(x,) for x in S.corr_preprune(d, c, 0.6)], "feature string"))(*_wide(s, f)))
+
+
+def _mrmr(s, f):
+    df, columns = _wide(s, f)
+    scores = {r["feature"]: r["score"] for r in C.pearson_prefilter(df, "y", columns).collect()}
+    r = C.correlation(df, columns)
+    pairs = {(a, b): abs(float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j}
+    return s.createDataFrame(list(enumerate(S.mrmr(scores, pairs, 5))), "place int, feature string")
+
+
+_add("mrmr", _mrmr)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from serieslab.core import table
+from serieslab.core import shared_dir, table
 from serieslab.operators import columns as K
 from serieslab.operators import registry as G
 from serieslab.operators import relations as J
@@ -72,11 +74,14 @@ _add(
     "WITH m AS (SELECT o_custkey AS stage, count(*) AS features, avg((o_totalprice < 100000)::INTEGER) * 100 AS null_pct, max(o_totalprice) AS seconds FROM orders GROUP BY 1) SELECT stage, 'features' AS alert FROM m WHERE abs(features - 10) > 5 UNION ALL SELECT stage, 'nulls' FROM m WHERE null_pct > 50 UNION ALL SELECT stage, 'slow' FROM m WHERE seconds > 300000",
 )
 _add("validate_schema", lambda s, f: K.validate_schema(table(s, f, "part"), {"p_partkey": "bigint", "p_size": "double", "p_color": "string"}), "SELECT * FROM (VALUES ('warning', 'p_size', 'int instead of double'), ('error', 'p_color', 'missing')) v(level, \"column\", message)")
-_add("leakage_guard", lambda s, f: K.leakage_guard(table(s, f, "region"), ["y_ret_fwd_60m", "dcor_x", "y_close", "adf_stat_x"]))
+_add(
+    "leakage_guard", lambda s, f: K.leakage_guard(table(s, f, "part").select("p_partkey", F.concat(F.element_at(F.array(*[F.lit(x) for x in ("y_ret_fwd_", "dcor_", "y_", "adf_")]), (F.col("p_partkey") % 4 + 1).cast("int")), "p_brand").alias("feature"))),
+    "SELECT p_partkey, (['y_ret_fwd_', 'dcor_', 'y_', 'adf_'])[p_partkey % 4 + 1] || p_brand AS feature, p_partkey % 4 <> 2 AS leaks FROM part",
+)
 _add("candidate_features", lambda s, f: (lambda d: d.select(*K.candidate_features(d)))(table(s, f, "part").select(F.col("p_size").alias("y_size"), F.col("p_name").alias("y_name"), F.col("p_retailprice").alias("x_price"), F.col("p_partkey").alias("y_ret_fwd_5m"))), "SELECT p_size AS y_size, p_retailprice AS x_price FROM part")
 _add("eligible_float_columns", lambda s, f: (lambda d: d.select(*K.eligible_float_columns(d)))(table(s, f, "customer")), "SELECT c_acctbal FROM customer")
 _add("columns_by_role", lambda s, f: (lambda d: s.createDataFrame([(r, c) for r, cs in K.columns_by_role(d).items() for c in cs], "role string, name string"))(table(s, f, "events").select(*[F.col("value").alias(c) for c in ("y_close", "y_ret_1m", "y_tick_volume", "y_rv_30m", "y_spread_lvl", "y_ofi_raw", "y_ret_fwd_60m", "dcor_x")])))
-_add("table_info", lambda s, f: I.table_info(table(s, f, "nation")).select("column", "type", "files"))
+_add("table_info", lambda s, f: I.table_info(table(s, f, "nation")).select("column", "type", "files", "megabytes"))
 _add("discover_series", lambda s, f: I.discover_series(s, f))
 _add("scan_parquet", lambda s, f: I.scan_parquet(s, f"{f}/lineitem.parquet", ["l_orderkey", "l_quantity"]).where("l_quantity > 45"), "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
 
@@ -146,3 +151,56 @@ _add(
 )
 _add("stage_metrics", lambda s, f: G.stage_metrics(table(s, f, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_brand")).alias("value_text"))), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE p_brand END AS value_text, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE END AS value_float FROM part")
 _add("metric_category", lambda s, f: table(s, f, "part").select("p_partkey", F.element_at(F.array(F.lit("train_r2"), F.lit("test_mse"), F.lit("rmse"), F.lit("names")), (F.col("p_partkey") % 4 + 1).cast("int")).alias("metric")).withColumn("category", G.metric_category("metric")), "SELECT p_partkey, (['train_r2', 'test_mse', 'rmse', 'names'])[p_partkey % 4 + 1] AS metric, (['training', 'test', 'regression', 'other'])[p_partkey % 4 + 1] AS category FROM part")
+
+
+_add(
+    "register_features", lambda s, f: G.ranked_features(table(s, f, "lineitem").select(F.col("l_orderkey").alias("model_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string")).alias("feature"), F.col("l_extendedprice").alias("selection_importance"), F.col("l_quantity").alias("final_importance"))),
+    "WITH r AS (SELECT l_orderkey AS model_id, 'f' || l_linenumber || '_' || l_partkey AS feature, l_extendedprice AS selection_importance, l_quantity AS final_importance FROM lineitem) SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY selection_importance DESC, feature)::INTEGER AS rank_selection, row_number() OVER (PARTITION BY model_id ORDER BY final_importance DESC, feature)::INTEGER AS rank_final FROM r",
+)
+_add(
+    "register_metrics", lambda s, f: rounded(G.finite_metrics(_metrics(s, f).withColumn("value", F.when(F.col("model_id") % 5 == 0, F.lit(float("nan"))).when(F.col("model_id") % 5 == 1, F.lit(None)).otherwise(F.col("value"))))),
+    f"WITH {_M}, k AS (SELECT model_id, 'r2' AS metric, score / 1e6 AS value FROM models UNION ALL SELECT model_id, 'mse', score / 7 FROM models) SELECT model_id, metric, round(value, 6) AS value, 'regression' AS category FROM k WHERE model_id % 5 > 1",
+)
+_event = "(['START', 'END', 'ERROR', 'NOTE', 'NOTE'])[event_id % 5 + 1]"
+
+
+def _runs(s, f):
+    names = F.array(*[F.lit(x) for x in ("START", "END", "ERROR", "NOTE", "NOTE")])
+    return table(s, f, "events").select((F.col("event_id") % 211).alias("run_id"), F.get(names, (F.col("event_id") % 5).cast("int")).alias("event"), F.col("ts").alias("at"))
+
+
+_add(
+    "run_log", lambda s, f: G.run_log(_runs(s, f)),
+    f"WITH r AS (SELECT event_id % 211 AS run_id, {_event} AS event, ts FROM events) SELECT run_id, min(ts) FILTER (event = 'START') AS started, max(ts) FILTER (event = 'END') AS ended, "
+    "CASE WHEN count(*) FILTER (event = 'ERROR') > 0 THEN 'FAILED' WHEN count(*) FILTER (event = 'END') > 0 THEN 'COMPLETED' ELSE 'RUNNING' END AS status FROM r GROUP BY run_id",
+)
+_add(
+    "artifacts", lambda s, f: G.latest_artifacts(table(s, f, "events").select(F.col("user_id").alias("task"), F.col("event_type").alias("stage"), F.when(F.col("event_id") % 2 == 0, "table").otherwise("plot").alias("kind"), F.concat(F.lit("out/"), F.col("event_id").cast("string")).alias("path"), F.col("ts").alias("at"))),
+    "SELECT user_id AS task, event_type AS stage, CASE WHEN event_id % 2 = 0 THEN 'table' ELSE 'plot' END AS kind, arg_max('out/' || event_id, (ts, 'out/' || event_id)) AS path, count(*) AS n FROM events GROUP BY ALL",
+)
+_add(
+    "task_info", lambda s, f: G.task_info(table(s, f, "customer").select(F.col("c_custkey").alias("task"), "c_name"), _status(s, f)),
+    f"WITH {_S}, l AS (SELECT task, status, \"at\" FROM s QUALIFY row_number() OVER (PARTITION BY task ORDER BY \"at\" DESC, id DESC) = 1) SELECT c_custkey AS task, c_name, status, \"at\", coalesce(status = 'COMPLETED', false) AS processed FROM customer LEFT JOIN l ON task = c_custkey",
+)
+
+
+# written tables read again
+def _written(s, f):
+    path = f"{shared_dir(s)}/features-{uuid.uuid4().hex}"
+    I.write_features(events_series(s, f).select("series", "idx", "x", F.lit(1.0).alias("dcor_x")), path, ("dcor_",))
+    return rounded(s.read.parquet(path))
+
+
+def _staged(s, f):
+    return rounded(I.checkpoint_stage(events_series(s, f).select("series", "idx", "x"), f"{shared_dir(s)}/stages-{uuid.uuid4().hex}", "first"))
+
+
+def _scores(s, f):
+    path = f"{shared_dir(s)}/scores-{uuid.uuid4().hex}"
+    I.write_scores(table(s, f, "part").select(F.concat("p_brand", F.lit("_"), F.col("p_partkey").cast("string")).alias("feature"), F.col("p_retailprice").alias("score")), path)
+    return rounded(s.read.schema("feature string, score double").json(path))
+
+
+_add("write_features", _written, f"WITH {E} SELECT series, idx, round(x, 6) AS x FROM e")
+_add("checkpoint_stage", _staged, f"WITH {E} SELECT series, idx, round(x, 6) AS x FROM e")
+_add("write_scores", _scores, "SELECT p_brand || '_' || p_partkey AS feature, round(p_retailprice, 6) AS score FROM part ORDER BY p_retailprice DESC, 1 LIMIT 200")

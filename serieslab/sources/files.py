@@ -20,11 +20,14 @@ def discover_series(spark: SparkSession, root: str, pattern: str = "*.parquet")
 
 
 def table_info(df: DataFrame) -> DataFrame:
-    """(column, type, files, sample): names, types, the number of files behind the table, and a value of each column as text."""
-    n = len(df.inputFiles())
+    """(column, type, files, megabytes, sample): names, types, the files behind the table and their size, and a value of each column as text."""
+    files = df.inputFiles()
+    n = len(files)
+    found = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] if files else 0
+    size = (found or 0) / 1048576
     row = df.limit(1).first()
-    rows = [(c, t, n, None if row is None or row[c] is None else str(row[c])) for c, t in df.dtypes]
-    return df.sparkSession.createDataFrame(rows, "column string, type string, files int, sample string")
+    rows = [(c, t, n, size, None if row is None or row[c] is None else str(row[c])) for c, t in df.dtypes]
+    return df.sparkSession.createDataFrame(rows, "column string, type string, files int, megabytes double, sample string")
 
 
 def write_features(df: DataFrame, path: str, drop_prefixes: tuple[str, ...] = (), first: tuple[str, ...] = ("series", "idx"), codec: str = "zstd") -> None:
