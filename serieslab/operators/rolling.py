@@ -130,10 +130,10 @@ def cyclical_components(df: DataFrame, x: str, periods: tuple[int, ...] = (20, 5
     return windowed(df, made, back=max(periods) - 1)
 
 
-def average_ranks(df: DataFrame, x: str, name: str = "rank") -> DataFrame:
-    """Rank of each value in its series from 1, ties sharing the mean of theirs; null values have none."""
-    ranks = value_ranks(df, x, ["series"]).select("series", F.col("value").alias(x), (F.col("below") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(ranks, ["series", x], "left")
+def average_ranks(df: DataFrame, x: str, name: str = "rank", by: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Rank of each value in its series (or other group) from 1, ties sharing the mean of theirs; null values have none."""
+    ranks = value_ranks(df, x, list(by)).select(*by, F.col("value").alias(x), (F.col("below") + (F.col("n") + 1) / 2).alias(name))
+    return df.join(ranks, [*by, x], "left")
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

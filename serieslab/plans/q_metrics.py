@@ -7,7 +7,7 @@ import uuid
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from serieslab.core import shared_dir, table
+from serieslab.core import shared_dir, table, windowed
 from serieslab.operators import dependence as C
 from serieslab.operators import metrics as M
 from serieslab.operators import model as N
@@ -34,7 +34,14 @@ _skill = "count(*) AS n, round(avg({y}), 4) AS mean_y, round(stddev_pop({y}), 4)
 _add("skill_scores", lambda s, f: rounded(M.skill_scores(forecasts(s, f), "y", "p", "flag"), 4), f"WITH {P} SELECT flag, {_skill.format(y='y', p='p')} FROM p GROUP BY flag")
 _rank = lambda x: f"(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0)"
 _add("spearman_ic", lambda s, f: rounded(M.spearman_ic(forecasts(s, f), "y", "p")), f"WITH {P}, r AS (SELECT series, {_rank('y')}::DOUBLE AS a, {_rank('p')}::DOUBLE AS b FROM p) SELECT series, round(corr(a, b), 6) AS ic FROM r GROUP BY series")
-_add("ic_bootstrap", lambda s, f: rounded(M.ic_bootstrap(forecasts(s, f).where("idx < 5000"), "y", "p", 50)))
+
+
+def _next_values(s, f):
+    """Each event's value with the one before it in its series as its forecast."""
+    return windowed(events_series(s, f), {"p": lambda w: F.lag("x").over(w)}, back=1)
+
+
+_add("ic_bootstrap", lambda s, f: rounded(M.ic_bootstrap(_next_values(s, f), "x", "p")))
 _add(
     "directional_accuracy", lambda s, f: rounded(M.directional_accuracy(forecasts(s, f), "y", "p", "flag")),
     f"WITH {P} SELECT flag, round(coalesce(avg(CASE WHEN y <> 0 AND p <> 0 THEN (sign(y) = sign(p))::INTEGER END), 0.5), 6) AS accuracy FROM p GROUP BY flag",

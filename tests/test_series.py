@@ -205,3 +205,60 @@ def test_infinities_become_null(spark):
 
 def test_modes_add_up(walk):
     assert np.allclose(sum(stationary.sift(walk[:500], 10)), walk[:500])
+
+
+def test_bootstrap_ranks_within_each_round(spark):
+    rng = np.random.default_rng(4)
+    y, p = np.round(rng.normal(size=210), 1), np.round(rng.normal(size=210), 1)
+    df = spark.createDataFrame([("a", i, float(u), float(v)) for i, (u, v) in enumerate(zip(y, p, strict=True))] + [("b", i, float(i), float(i)) for i in range(30)], "series string, idx long, y double, p double").repartition(3)
+    got = {r["series"]: r for r in metrics.ic_bootstrap(df, "y", "p", 25).collect()}
+    keys = spark.range(25).select(F.lit("a").alias("series"), F.col("id").cast("int").alias("round")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    starts = {(r["round"], r["k"]): r["s"] for r in keys.withColumn("s", F.pmod(F.xxhash64("series", "round", "k", F.lit(42)), F.lit(210).cast("long"))).collect()}
+
+    def ranks(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    ics = []
+    for r in range(25):
+        at = np.concatenate([(starts[r, k] + np.arange(20)) % 210 for k in range(10)])
+        ics.append(np.corrcoef(ranks(y[at]), ranks(p[at]))[0, 1])
+    a = got["a"]
+    assert a["n_rounds"] == 25 and [a["mean"], a["std"], a["low"], a["high"]] == pytest.approx([np.mean(ics), np.std(ics), np.percentile(ics, 2.5), np.percentile(ics, 97.5)])
+    assert a["t"] == pytest.approx(np.mean(ics) / (np.std(ics) / 5))
+    b = got["b"]
+    assert (b["n_rounds"], b["mean"], b["std"], b["t"], b["p_value"]) == (0, pytest.approx(1), 0, 0, 1)
+
+
+@pytest.mark.parametrize("values", [[0.0] * 60, [2.0] * 60, [0.0, 1.0] * 30])
+def test_zeros_and_constants_do_not_fail(spark, values):
+    df = frame(spark, values).withColumn("y", F.lit(1.0))
+    assert labels.triple_barrier(df, "x", 0.1, 0.1, 3, 1).count() == len(values) - 4
+    flat = len(set(values)) == 1
+    assert all(r["r"] == 0 for r in stats.autocorr(df, "x", [1, 2]).collect()) == flat
+    assert stats.correlation_matrix(df, ["x", "y"]).first()["r"] == 0
+    assert set(column(rolling.rolling_corr(df, "x", "y", 5, 3), "corr")) == {None}
+    assert dependence.pearson_prefilter(df, "y", ["x"]).count() == 0
+    assert metrics.spearman_ic(df, "x", "y").first()["ic"] is None
+    path = df.withColumnRenamed("x", "r").withColumn("h", F.lit(0.0))
+    fits = spark.createDataFrame([("a", 0.1, 0.5, 0.5, 1.0)], "series string, omega double, alpha double, beta double, persistence double")
+    assert volatility.residual_stats(path).count() == 1 and volatility.vol_forecast(path, fits).where("vol is not null").count() == 0 and volatility.vol_diagnostics(path, fits).count() == 1
+    assert stationary.fracdiff_grid(df, "x", (0.5,)).count() == 1 and stats.adf_test(df, "x").count() <= 1
+    assert labels.winsorised(df, "x").count() == len(values)
+
+
+def test_lags_follow_each_series_and_buckets_do_not_matter(spark, walk, monkeypatch):
+    alone, longer = frame(spark, walk[:150], "s"), frame(spark, np.concatenate([walk, walk]), "l")
+    one = stats.adf_test(alone, "x").first()
+    both = {r["series"]: r for r in stats.adf_test(alone.union(longer), "x").collect()}
+    assert both["s"] == one and one["lags"] == int(12 * 1.5**0.25) and both["l"]["lags"] == int(12 * 14**0.25)
+    gaps = frame(spark, [None if i % 5 == 0 else float(v) for i, v in enumerate(walk[:60])])
+    kept = np.array([v for i, v in enumerate(walk[:60]) if i % 5])
+    assert np.allclose(column(volatility.log_returns(gaps, "x"), "r"), np.diff(np.log(kept)))
+    assert np.allclose(column(volatility.log_returns(gaps, "x", 10), "r"), np.diff(np.log(kept[-10:])))
+    assert column(volatility.log_returns(gaps, "x", 10), "idx") == list(range(9))
+
+
+def test_quantiles_are_exact(spark, walk):
+    df = frame(spark, [*walk, None, *walk[:50]])
+    got = core.quantiles(df, "x", ["series"], [0.0, 0.013, 0.5, 1.0]).first()["q"]
+    assert np.allclose(got, np.quantile([*walk, *walk[:50]], [0.0, 0.013, 0.5, 1.0]))
