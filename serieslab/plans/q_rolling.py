@@ -94,14 +94,17 @@ _add(
     "SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 )
 # stationarising
-_fw = S.fracdiff_weights(0.4, 15)
-_taps = " + ".join(f"{w!r} * lag(x, {j}) {_o}" for j, w in enumerate(_fw))
-_add("fracdiff_short", _events(lambda d: S.fracdiff(d, "x", 0.4, 15), "series", "idx", "fd"), f"WITH {E} SELECT series, idx, round({_taps}, 6) AS fd FROM e")
-_long = S.fracdiff_weights(0.5, 200)
-_add(
-    "fracdiff_long", _events(lambda d: S.fracdiff(d, "x", 0.5, 200), "series", "idx", "fd"),
-    f"WITH {E}, w AS (SELECT unnest(range({len(_long)})) AS j, unnest({_long}) AS c) SELECT e.series, e.idx, round(CASE WHEN e.idx >= {len(_long) - 1} THEN sum(w.c * b.x) END, 6) AS fd FROM e, w LEFT JOIN e b ON b.series = e.series AND b.idx = e.idx - w.j GROUP BY e.series, e.idx",
-)
+def _fractional(d: float, most: int) -> str:
+    """SQL of a fractional difference; the weights come from their own recursion there."""
+    return (
+        f"WITH RECURSIVE {E}, r(j, c) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT j + 1, c * (j - {d}) / (j + 1) FROM r WHERE j < {most}), "
+        "s AS (SELECT j, c, sum(abs(c)) OVER (ORDER BY j) AS upto, sum(abs(c)) OVER () AS whole FROM r), w AS (SELECT j, c FROM s WHERE upto - abs(c) < (1 - 1e-5) * whole) "
+        "SELECT e.series, e.idx, round(CASE WHEN e.idx >= (SELECT count(*) FROM w) - 1 THEN sum(w.c * b.x) END, 6) AS fd FROM e, w LEFT JOIN e b ON b.series = e.series AND b.idx = e.idx - w.j GROUP BY e.series, e.idx"
+    )
+
+
+_add("fracdiff_short", _events(lambda d: S.fracdiff(d, "x", 0.4, 15), "series", "idx", "fd"), _fractional(0.4, 15))
+_add("fracdiff_long", _events(lambda d: S.fracdiff(d, "x", 0.5, 200), "series", "idx", "fd"), _fractional(0.5, 200))
 _add("fracdiff_grid", lambda s, f: rounded(S.fracdiff_grid(events_series(s, f), "x"), 4))
 _add("fracdiff_search", lambda s, f: rounded(S.fracdiff_search(events_series(s, f), "x"), 4))
 for _kind, _f in (("log", "ln"), ("sqrt", "sqrt")):
@@ -109,8 +112,11 @@ for _kind, _f in (("log", "ln"), ("sqrt", "sqrt")):
         f"variance_{_kind}", _events(lambda d, k=_kind: S.variance_stabilised(d, "x", k), "series", "idx", "vs"),
         f"WITH {E} SELECT series, idx, round({_f}(x + CASE WHEN min(x) OVER (PARTITION BY series) <= 0 THEN abs(min(x) OVER (PARTITION BY series)) + 1e-8 ELSE 1e-8 END), 6) AS vs FROM e",
     )
-_bk = " + ".join(f"{w!r} * lag(x, {j}) {_o}" for j, w in enumerate(S.baxter_king_weights(12, 32, 6)))
-_add("baxter_king", _events(lambda d: S.baxter_king(d, "x"), "series", "idx", "bk"), f"WITH {E} SELECT series, idx, round({_bk}, 6) AS bk FROM e")
+_add(
+    "baxter_king", _events(lambda d: S.baxter_king(d, "x"), "series", "idx", "bk"),
+    f"WITH {E}, h AS (SELECT m + 12 AS j, CASE WHEN m = 0 THEN 2.0 / 6 - 2.0 / 32 ELSE (sin(2 * pi() * abs(m) / 6) - sin(2 * pi() * abs(m) / 32)) / (pi() * abs(m)) END AS c FROM (SELECT unnest(range(-12, 13)) AS m)), "
+    "w AS (SELECT j, c - avg(c) OVER () AS c FROM h) SELECT e.series, e.idx, round(CASE WHEN e.idx >= 24 THEN sum(w.c * b.x) END, 6) AS bk FROM e, w LEFT JOIN e b ON b.series = e.series AND b.idx = e.idx - w.j GROUP BY e.series, e.idx",
+)
 _add(
     "fill_borders", _events(lambda d: S.fill_borders(d, "x", 12, "b"), "series", "idx", "b"),
     f"WITH {E}, n AS (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM e), i AS (SELECT series, min_by(x, idx) AS f, max_by(x, idx) AS g FROM n WHERE idx >= 12 AND idx < n - 12 GROUP BY series) "
