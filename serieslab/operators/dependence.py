@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import lengths, safe_corr, with_row_index
+from serieslab.core import lengths, materialise, safe_corr, with_row_index
 
 
 def pearson_prefilter(df: DataFrame, y: str, columns: list[str], k: int = 50, least: int = 50) -> DataFrame:
@@ -103,16 +106,41 @@ def dcor_rolling(df: DataFrame, y: str, columns: list[str], window: int = 1200,
     )
 
 
-def nmi_pairs(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 32, least: int = 5) -> DataFrame:
-    """(a, b, nmi): mutual information of equal-width bins over the larger entropy; 0 for a constant or under `least` rows. All pairs are
-    scored in one job."""
+def nmi_pairs(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 32, least: int = 5, together: int = 4096) -> DataFrame:
+    """(a, b, nmi): mutual information of equal-width bins over the larger entropy; 0 for a constant or under `least` rows.
+
+    Values become bins once. Each partition then adds up the histograms of `together` pairs at a time, which bounds what a task holds; more
+    pairs take further passes over the table of bins."""
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, nmi double")
     names = sorted({c for p in pairs for c in p})
     edge = df.agg(*[f(c).alias(f"_{n}_{c}") for c in names for n, f in (("lo", F.min), ("hi", F.max))])
     own = df.join(F.broadcast(edge))  # one row
-    cut = {c: F.when(F.col(f"_hi_{c}") > F.col(f"_lo_{c}"), F.least(F.floor((F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * bins), F.lit(bins - 1))) for c in names}
-    binned = own.select(*[e.alias(f"b_{c}") for c, e in cut.items()])
-    long = binned.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"b_{a}").alias("x"), F.col(f"b_{b}").alias("y")) for a, b in pairs])).alias("p")).select("p.*")
-    cells = long.where("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.count("*").alias("c"))
+    cut = {c: F.when(F.col(c).isNotNull() & (F.col(f"_hi_{c}") > F.col(f"_lo_{c}")), F.least(F.floor((F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * bins), F.lit(bins - 1))) for c in names}
+    binned = own.select(*[F.coalesce(e, F.lit(bins)).cast("int").alias(f"b{i}") for i, e in enumerate(cut.values())])  # the last bin holds nulls
+    if len(pairs) > together:
+        binned = materialise(binned)
+    place, wide = {c: i for i, c in enumerate(names)}, bins + 1
+    cells = None
+    for first in range(0, len(pairs), together):
+        part = pairs[first : first + together]
+
+        def histograms(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros((len(part), wide * wide), dtype=np.int64)
+            for batch in batches:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                for i, (a, b) in enumerate(part):
+                    seen[i] += np.bincount(columns[place[a]] * wide + columns[place[b]], minlength=wide * wide)
+            at, cell = np.nonzero(seen)
+            x, y = cell // wide, cell % wide
+            whole = (x < bins) & (y < bins)
+            out = [at[whole].astype(np.int32), x[whole].astype(np.int32), y[whole].astype(np.int32), seen[at, cell][whole]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["pair", "x", "y", "c"])
+
+        one = binned.mapInArrow(histograms, "pair int, x int, y int, c bigint").groupBy("pair", "x", "y").agg(F.sum("c").alias("c")).withColumn("pair", F.col("pair") + first)
+        cells = one if cells is None else cells.unionByName(one)
+    every = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    cells = cells.join(F.broadcast(every), "pair").drop("pair")  # a row for each pair
     total = cells.groupBy("a", "b").agg(F.sum("c").alias("n"))
     joint = cells.join(F.broadcast(total), ["a", "b"]).withColumn("p", F.col("c") / F.col("n"))  # a row for each pair
     px = joint.groupBy("a", "b", "x").agg(F.sum("p").alias("px"))
@@ -123,7 +151,6 @@ def nmi_pairs(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 32, least
     out = hxy.join(hx, ["a", "b"]).join(hy, ["a", "b"])
     top = F.greatest("hx", "hy")
     value = F.when((F.col("n") >= least) & (top > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("hx") + F.col("hy") - F.col("hxy")) / top))).otherwise(0.0)
-    every = df.sparkSession.createDataFrame(pairs, "a string, b string")
     return every.join(out.select("a", "b", value.alias("nmi")), ["a", "b"], "left").select("a", "b", F.coalesce("nmi", F.lit(0.0)).alias("nmi"))
 
 

@@ -89,10 +89,10 @@ def two_sided_p(z: Column) -> Column:
 
 
 def vol_adjusted_metrics(df: DataFrame, y: str, p: str, sigma: str) -> DataFrame:
-    """skill_scores of y and p over sigma, cut at the quantiles of y."""
+    """skill_scores of y and p over sigma, cut at the quantiles of y; a missing value stays missing."""
     own = df.where(F.col(sigma) > 0).withColumns({"_y": F.col(y) / F.col(sigma), "_p": F.col(p) / F.col(sigma)})
     q = quantiles(own, "_y", ["series"], [0.001, 0.999], "_q")
-    cut = lambda c: F.least(F.greatest(F.col(c), F.col("_q")[0]), F.col("_q")[1])
+    cut = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col("_q")[0]), F.col("_q")[1]))
     return skill_scores(own.join(q, "series").withColumns({"_y": cut("_y"), "_p": cut("_p")}), "_y", "_p")
 
 

@@ -70,11 +70,11 @@ def shifts(df: DataFrame, x: str, k: int = 1) -> DataFrame:
 
 
 def rolling_relationship(df: DataFrame, a: str, b: str, k: int, name: str = "relationship") -> DataFrame:
-    """Product of the two trailing means over the sum of their sizes, cut to [-1, 1]."""
+    """Product of the two trailing means over the sum of their sizes, cut to [-1, 1]; null where a window has no value."""
 
     def made(w: WindowSpec) -> Column:
         ma, mb = F.avg(a).over(trailing(w, k)), F.avg(b).over(trailing(w, k))
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ma * mb / (F.abs(ma) + F.abs(mb) + 1e-8)))
+        return F.when(ma.isNotNull() & mb.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ma * mb / (F.abs(ma) + F.abs(mb) + 1e-8))))
 
     return windowed(df, {name: made}, back=k - 1)
 

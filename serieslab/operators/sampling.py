@@ -40,8 +40,9 @@ def time_split(df: DataFrame, test: float = 0.2, name: str = "split") -> DataFra
 
 
 def random_split(df: DataFrame, keys: list[str], test: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
-    """By a hash of the keys, so the same rows always fall on the same side."""
-    return df.withColumn(name, F.when(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1000)) < int(test * 1000), "test").otherwise("train"))
+    """By a hash of the keys, so the same rows always fall on the same side, here and in any other engine. Null keys count as absent."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(seed).cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn(name, F.when(drawn % 1000 < int(test * 1000), "test").otherwise("train"))
 
 
 def _with_folds(df: DataFrame, folds: list[tuple], columns: str) -> DataFrame:

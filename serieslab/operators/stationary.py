@@ -41,32 +41,69 @@ def fracdiff(df: DataFrame, x: str, d: float, most: int = 1000, tolerance: float
 
     def convolve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
-        v, at = g[x].to_numpy(float), g["idx"].to_numpy()
-        out = np.full(len(v), np.nan)
-        if len(v) >= len(kernel):
-            out[len(kernel) - 1 :] = np.convolve(np.nan_to_num(v), kernel)[len(kernel) - 1 : len(v)]
-            gone = np.convolve(np.isnan(v), np.ones(len(kernel)))[: len(v)] > 0.5
-            out[gone] = np.nan
-        out[at < len(kernel) - 1] = np.nan
-        return g.assign(**{name: out})[g["_home"].to_numpy()]
+        return g.assign(**{name: convolved(g[x].to_numpy(float), g["idx"].to_numpy(), kernel)})[g["_home"].to_numpy()]
 
     spread = halo(df, back=len(weights) - 1, size=size)
     kind = ", ".join(f"`{c}` {t}" for c, t in spread.dtypes) + f", `{name}` double"
     return spread.groupBy("series", "_bucket").applyInPandas(convolve, kind).withColumn(name, F.nanvl(name, F.lit(None))).drop("_bucket", "_home")
 
 
-def fracdiff_grid(df: DataFrame, x: str, orders: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9), most: int = 60, tolerance: float = 1e-5) -> DataFrame:
-    """(series, d, n, t, p, var_ratio): for each order the Dickey-Fuller t of the difference, its stepped p and its variance against that of x."""
-    out = None
-    for d in orders:
-        y = windowed(fracdiff(df, x, d, most, tolerance, "_y"), {"_before": lambda w: F.lag("_y").over(w)}, back=1).withColumn("_d", F.col("_y") - F.col("_before"))
-        t = df_t(F.regr_slope("_d", "_before"), F.regr_sxx("_d", "_before"), F.regr_syy("_d", "_before"), F.regr_count("_d", "_before"))
-        row = y.groupBy("series").agg(F.count("_y").alias("n"), t.alias("t"), ratio(F.var_pop("_y"), F.var_pop(x)).alias("var_ratio")).withColumn("d", F.lit(d))
-        out = row if out is None else out.unionByName(row)
-    return out.select("series", "d", "n", "t", F.when(F.col("n") < 50, 1.0).otherwise(stepped_p(F.col("t"))).alias("p"), "var_ratio")
+def convolved(v: np.ndarray, at: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Sums of kernel[j] times the value j rows before, for consecutive rows of a series; NaN where a tap is missing."""
+    k = len(kernel)
+    out = np.full(len(v), np.nan)
+    if len(v) >= k:
+        out[k - 1 :] = np.convolve(np.nan_to_num(v), kernel)[k - 1 : len(v)]
+        missing = np.concatenate([[0], np.cumsum(np.isnan(v))])
+        out[k - 1 :][missing[k:] > missing[:-k]] = np.nan
+    out[at < k - 1] = np.nan
+    return out
 
 
-def fracdiff_search(df: DataFrame, x: str, orders: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5), alpha: float = 0.05, most: int = 60) -> DataFrame:
+def fracdiff_grid(df: DataFrame, x: str, orders: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9), most: int = 1000, tolerance: float = 1e-5, size: int = 50_000) -> DataFrame:
+    """(series, d, n, t, p, var_ratio): for each order the Dickey-Fuller t of the difference, its stepped p and its variance against that of x.
+
+    One pass over haloed buckets serves all orders: each bucket gives counts, means and centred products, which are pooled by series. A
+    constant series has no t."""
+    kernels = {d: np.array(fracdiff_weights(d, most, tolerance)) for d in orders}
+    spread = halo(df.select("series", "idx", F.col(x).cast("double").alias("_x")), back=max(map(len, kernels.values())), size=size)
+
+    def centred(*columns: np.ndarray) -> list[float]:
+        """n, the means, and the products of the centred columns."""
+        m = np.column_stack(columns)
+        m = m[~np.isnan(m).any(axis=1)]
+        mean = m.mean(axis=0) if len(m) else np.zeros(len(columns))
+        s = (m - mean).T @ (m - mean)
+        return [float(len(m)), *mean, *s[np.triu_indices(len(columns))]]
+
+    def products(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("idx")
+        v, at, home = g["_x"].to_numpy(float), g["idx"].to_numpy(), g["_home"].to_numpy(bool)
+        rows = []
+        for d, kernel in kernels.items():
+            y = convolved(v, at, kernel)
+            before = np.concatenate([[np.nan], y[:-1]])
+            rows.append((g["series"].iat[0], d, *centred(v[home]), *centred(y[home]), *centred(before[home], (y - before)[home])))
+        return pd.DataFrame(rows, columns=names)
+
+    values = ["nx", "mx", "xx", "ny", "my", "yy", "n", "mb", "ms", "bb", "bs", "ss"]
+    names = ["series", "d", *values]
+    parts = spread.groupBy("series", "_bucket").applyInPandas(products, f"series {dict(df.dtypes)['series']}, d double, " + ", ".join(f"{c} double" for c in values))
+
+    def pooled(n: str, a: str, b: str, s: str) -> Column:
+        return F.sum(s) + F.sum(F.col(n) * F.col(a) * F.col(b)) - ratio(F.sum(F.col(n) * F.col(a)) * F.sum(F.col(n) * F.col(b)), F.sum(n))
+
+    sums = parts.groupBy("series", "d").agg(
+        F.sum("ny").cast("bigint").alias("n"), pooled("nx", "mx", "mx", "xx").alias("xx"), F.sum("nx").alias("nx"), pooled("ny", "my", "my", "yy").alias("yy"), F.sum("ny").alias("ny"),
+        pooled("n", "mb", "mb", "bb").alias("bb"), pooled("n", "mb", "ms", "bs").alias("bs"), pooled("n", "ms", "ms", "ss").alias("ss"), F.sum("n").alias("m"), F.sum(F.col("n") * F.col("mb") ** 2).alias("level"),
+    )
+    bb = F.when(F.col("bb") > 1e-20 * F.col("level"), F.col("bb"))
+    t = df_t(ratio(F.col("bs"), bb), bb, F.col("ss"), F.col("m"))
+    made = sums.select("series", "d", "n", t.alias("t"), ratio(ratio(F.col("yy"), F.col("ny")), ratio(F.col("xx"), F.col("nx"))).alias("var_ratio"))
+    return made.select("series", "d", "n", "t", F.when(F.col("n") < 50, 1.0).otherwise(stepped_p(F.col("t"))).alias("p"), "var_ratio")
+
+
+def fracdiff_search(df: DataFrame, x: str, orders: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5), alpha: float = 0.05, most: int = 1000) -> DataFrame:
     """(series, d, found, p, var_ratio): the least order whose difference passes the test, else the one with a variance ratio nearest one."""
     grid = fracdiff_grid(df, x, orders, most)
     passed = F.col("p") <= alpha

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import halo, materialise, quantiles, ratio, safe_corr, unpivoted, windowed
+from serieslab.core import halo, materialise, quantiles, ratio, safe_corr, trailing, unpivoted, windowed
 from serieslab.operators.rolling import df_t
-from serieslab.operators.stationary import stepped_p
+from serieslab.operators.stationary import fracdiff_grid, spectral_features, stepped_p, variance_stabilised
 
 
 def df_test(df: DataFrame, x: str) -> DataFrame:
@@ -73,16 +73,31 @@ def hist_entropy(df: DataFrame, x: str, most: int = 50) -> DataFrame:
     return counts.join(total, "series").groupBy("series", "bins").agg((-F.sum(p * F.log(p + 1e-9))).alias("entropy"))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
-    """(series, a, b, r) for every pair of columns, over the rows that have both; 0 with `least` such rows or fewer."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    made = []
-    for i, (a, b) in enumerate(pairs):
-        n = F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
-        made.append(F.when(n > least, safe_corr(a, b)).otherwise(0.0).alias(f"p{i}"))
-    row = df.groupBy("series").agg(*made)
-    long = row.select("series", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x"))
-    return long.select("series", "x.a", "x.b", F.coalesce(F.nanvl("x.r", F.lit(0.0)), F.lit(0.0)).alias("r"))
+def correlation_matrix(df: DataFrame, columns: list[str], least: int = 10, size: int = 50_000) -> DataFrame:
+    """(series, a, b, r) for every pair of columns, over the rows that have both; 0 with `least` such rows or fewer, or for a constant.
+
+    Each bucket of rows gives matrices of counts, sums and products of the values less their mean; these are added up by series."""
+    p, kind = len(columns), dict(df.dtypes)["series"]
+    means = df.groupBy("series").agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
+    rows = df.join(means, "series").select("series", F.floor(F.col("idx") / size).alias("_bucket"), *[(F.col(c) - F.col(f"_m{i}")).alias(f"v{i}") for i, c in enumerate(columns)])
+    above = np.triu_indices(p, 1)
+
+    def products(g: pd.DataFrame) -> pd.DataFrame:
+        v = g[[f"v{i}" for i in range(p)]].to_numpy(float)
+        has = (~np.isnan(v)).astype(float)
+        v = np.nan_to_num(v)
+        n, sx, sxx, sxy = has.T @ has, v.T @ has, (v * v).T @ has, v.T @ v
+        own = {"i": above[0], "j": above[1], "n": n[above], "sx": sx[above], "sy": sx.T[above], "sxx": sxx[above], "syy": sxx.T[above], "sxy": sxy[above]}
+        return pd.DataFrame({"series": g["series"].iat[0], **own})
+
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    parts = rows.groupBy("series", "_bucket").applyInPandas(products, f"series {kind}, i int, j int, " + ", ".join(f"{c} double" for c in names))
+    s = parts.groupBy("series", "i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    vx, vy = (F.col("n") * F.col(f"s{c}{c}") - F.col(f"s{c}") ** 2 for c in "xy")
+    varies = (vx > 1e-12 * F.col("n") * F.col("sxx")) & (vy > 1e-12 * F.col("n") * F.col("syy"))
+    r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(vx) * F.sqrt(vy))
+    name = F.array(*[F.lit(c) for c in columns])
+    return s.select("series", name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), F.when((F.col("n") > least) & varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).otherwise(0.0).alias("r"))
 
 
 def jarque_bera(df: DataFrame, x: str, by: str = "series") -> DataFrame:
@@ -139,24 +154,46 @@ def adf_test(df: DataFrame, x: str, lags: int | None = None, trend: bool = True,
 
 
 def adf_batch(df: DataFrame, columns: list[str], lags: int = 4) -> DataFrame:
-    """adf_test of each column: (series, feature, t, p_step, lags, n, stationary)."""
-    out = None
-    for c in columns:
-        one = adf_test(df.select("series", "idx", c), c, lags).withColumn("feature", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return out.select("series", "feature", "t", "p_step", "lags", "n", "stationary")
-
-
-def feature_profile(df: DataFrame, x: str) -> DataFrame:
-    """(series, measure, value): variance ratio, autocorrelation, trend, histogram entropy and moments, one row each."""
+    """adf_test of each column: (series, feature, t, p_step, lags, n, stationary). All columns are tested in the same jobs, each pair of
+    column and series as a series of its own."""
+    name = F.array(*[F.lit(c) for c in columns])
+    key = F.concat_ws("|", F.array_position(name, F.col("feature")).cast("string"), F.col("series").cast("string"))  # no bar: a null series
+    found = adf_test(unpivoted(df, columns).select(key.alias("series"), "idx", "value"), "value", lags)
+    place, bar = F.substring_index("series", "|", 1), F.instr("series", "|")
+    own = F.when(bar > 0, F.expr("substring(series, instr(series, '|') + 1)")).cast(dict(df.dtypes)["series"])
+    return found.select(own.alias("series"), F.element_at(name, place.cast("int")).alias("feature"), "t", "p_step", "lags", "n", "stationary")
+
+
+def feature_profile(df: DataFrame, x: str, windows: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
+    """(series, measure, value): variance ratio, autocorrelation, trend, histogram entropy, moments, means of the spectral features over the
+    blocks, and of each fractional difference t, p and variance ratio. The columns of feature_columns come as their mean and standard
+    deviation."""
+    grid = fracdiff_grid(df, x)
+    made = feature_columns(df.select("series", "idx", x), x, windows)
+    names = [c for c in made.columns if c not in ("series", "idx", x)]
+    averages = made.groupBy("series").agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     parts = [
         variance_ratio(df, x).select("series", F.lit("variance_ratio").alias("measure"), F.col("ratio").alias("value")),
         autocorr(df, x, [1, 5, 10]).select("series", F.concat(F.lit("autocorr_"), F.col("lag").cast("string")).alias("measure"), F.col("r").alias("value")),
         trend_strength(df, x).select("series", F.lit("trend").alias("measure"), F.col("trend").alias("value")),
         hist_entropy(df, x).select("series", F.lit("entropy").alias("measure"), F.col("entropy").alias("value")),
         moments(df, x).unpivot(["series"], ["mean", "std", "skew", "kurt"], "measure", "value"),
+        spectral_features(df, x).groupBy("series").agg(*[F.avg(c).alias(f"spectral_{c}") for c in ("dominant", "entropy", "centroid")]).unpivot(["series"], [f"spectral_{c}" for c in ("dominant", "entropy", "centroid")], "measure", "value"),
+        grid.withColumn("d", F.col("d").cast("string")).unpivot(["series", "d"], ["t", "p", "var_ratio"], "_name", "value").select("series", F.concat(F.lit("frac_diff_d"), "d", F.lit("_"), "_name").alias("measure"), "value"),
+        averages.unpivot(["series"], [c for c in averages.columns if c != "series"], "measure", "value"),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def feature_columns(df: DataFrame, x: str, windows: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
+    """Adds rolling mean, std, min and max and the distance from the rolling mean for each window, and x stabilised by logarithm and by
+    root. All windows are taken in one pass over haloed buckets."""
+    made = {f"rolling_{n}_{k}": (lambda w, f=f, k=k: f(x).over(trailing(w, k))) for k in windows for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))}
+    made |= {f"cycle_{k}": (lambda w, k=k: F.col(x) - F.avg(x).over(trailing(w, k))) for k in windows}
+    out = windowed(df, made, back=max(windows) - 1)
+    for kind in ("log", "sqrt"):
+        out = variance_stabilised(out, x, kind, f"stabilised_{kind}")
+    return out

@@ -103,7 +103,16 @@ _dcor = (
 _add("dcor_small", lambda s, f: rounded(C.distance_corr(line_series(s, f), "v", ["q"], 600, 200)), _dcor)  # the last 600 pairs: the operator's own limit, as small as the SQL needs
 _add("dcor_scores", lambda s, f: rounded(C.dcor_scores(line_series(s, f), "v", ["q", "d", "t"])))
 _add("dcor_permutation", lambda s, f: rounded(C.dcor_permutation(line_series(s, f), "v", ["q", "d"])))
-_add("dcor_rolling", lambda s, f: rounded(C.dcor_rolling(line_series(s, f), "v", ["q", "d"])))
+_dpair = lambda c: ", ".join(f"sum(abs(i.{c} - j.{c}){m}) AS {c}{n}" for n, m in (("a", ""), ("p", " * abs(i.v - j.v)"), ("s", f" * abs(i.{c} - j.{c})")))
+_dcen = lambda p, r, u, w: f"(sum({p}) - 2 / 1200.0 * sum({r}) + sum({u}) * sum({w}) / 1200.0 / 1200.0)"
+_add(
+    "dcor_rolling", lambda s, f: rounded(C.dcor_rolling(line_series(s, f), "v", ["q", "d"])),
+    f"WITH {L}, n AS (SELECT (max(idx) + 1 - 1200) // 500 AS k FROM l), a AS (SELECT k * 500 + 1200 AS top, unnest(range(greatest(0, k - 19), k + 1)) * 500 + 1200 AS anchor FROM n), "
+    "r AS (SELECT anchor, idx, q::DOUBLE AS q, d::DOUBLE AS d, v::DOUBLE AS v FROM l JOIN a ON idx >= anchor - 1200 AND idx < anchor), "
+    f"s AS (SELECT i.anchor, i.idx, {_dpair('q')}, {_dpair('d')}, sum(abs(i.v - j.v)) AS va, sum((i.v - j.v) ** 2) AS vs FROM r i JOIN r j ON i.anchor = j.anchor GROUP BY i.anchor, i.idx), "
+    + "c AS (" + " UNION ALL ".join(f"SELECT anchor, '{c}' AS feature, greatest({_dcen(f'{c}p', f'{c}a * va', f'{c}a', 'va')}, 0) / sqrt({_dcen(f'{c}s', f'{c}a * {c}a', f'{c}a', f'{c}a')} * {_dcen('vs', 'va * va', 'va', 'va')}) AS r FROM s GROUP BY anchor" for c in "qd") + ") "
+    + "SELECT 'lineitem' AS series, feature, count(*) AS windows, round(median(r), 6) AS median, round(avg(r), 6) AS mean, round(min(r), 6) AS min, round(max(r), 6) AS max, round(quantile_cont(r, 0.25), 6) AS p25, round(quantile_cont(r, 0.75), 6) AS p75 FROM c GROUP BY feature",
+)
 _edge = lambda c: f"least(floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 32), 31)"
 _pairs = [("q", "v"), ("q", "d"), ("d", "t")]
 _h = lambda *k: f"(SELECT -sum(p * ln(p)) FROM (SELECT count(*) / (SELECT count(*) FROM b) AS p FROM b GROUP BY {', '.join(k)}))"

@@ -93,6 +93,9 @@ _add(
     "latest_per_key", lambda s, f: R.latest_per_key(s.read.parquet(f"{f}/events.parquet").select("user_id", "event_id", "event_type", "ts"), "user_id", [F.desc("ts"), F.desc("event_id")]),
     "SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 )
+_p = lambda t: f"CASE WHEN {t} <= -3.43 THEN 0.01 WHEN {t} <= -2.86 THEN 0.05 WHEN {t} <= -2.57 THEN 0.1 ELSE 1.0 END::DOUBLE"
+
+
 # stationarising
 def _fractional(d: float, most: int) -> str:
     """SQL of a fractional difference; the weights come from their own recursion there."""
@@ -105,8 +108,26 @@ def _fractional(d: float, most: int) -> str:
 
 _add("fracdiff_short", _events(lambda d: S.fracdiff(d, "x", 0.4, 15), "series", "idx", "fd"), _fractional(0.4, 15))
 _add("fracdiff_long", _events(lambda d: S.fracdiff(d, "x", 0.5, 200), "series", "idx", "fd"), _fractional(0.5, 200))
-_add("fracdiff_grid", lambda s, f: rounded(S.fracdiff_grid(events_series(s, f), "x"), 4))
-_add("fracdiff_search", lambda s, f: rounded(S.fracdiff_search(events_series(s, f), "x"), 4))
+
+
+def _orders(orders: tuple[float, ...]) -> str:
+    """SQL of g(series, d, n, t, p, var_ratio): the test and the variance ratio of the difference of each order, with up to 1000 lags."""
+    return (
+        f"WITH RECURSIVE {E}, o AS (SELECT unnest({list(orders)})::DOUBLE AS d), r(d, j, c) AS (SELECT d, 0, 1.0::DOUBLE FROM o UNION ALL SELECT d, j + 1, c * (j - d) / (j + 1) FROM r WHERE j < 1000), "
+        "s AS (SELECT d, j, c, sum(abs(c)) OVER (PARTITION BY d ORDER BY j) AS upto, sum(abs(c)) OVER (PARTITION BY d) AS whole FROM r), w AS (SELECT d, j, c FROM s WHERE upto - abs(c) < (1 - 1e-5) * whole), "
+        "k AS (SELECT d, count(*) AS k FROM w GROUP BY d), y AS (SELECT w.d, b.series, b.idx + w.j AS idx, sum(w.c * b.x) AS y FROM w, e b JOIN k ON k.d = w.d WHERE b.idx + w.j >= k.k - 1 GROUP BY ALL), "
+        "z AS (SELECT d, series, idx, y, lag(y) OVER (PARTITION BY d, series ORDER BY idx) AS b FROM y JOIN e USING (series, idx)), "
+        "q AS (SELECT d, series, count(y) AS n, var_pop(y) AS vy, regr_slope(y - b, b) AS s, regr_sxx(y - b, b) AS sxx, regr_syy(y - b, b) AS syy, regr_count(y - b, b) AS m FROM z GROUP BY ALL), v AS (SELECT series, var_pop(x) AS vx FROM e GROUP BY series), "
+        f"t AS (SELECT series, d, n, {_t('s', 'sxx', 'syy', 'm')} AS t, vy / vx AS var_ratio FROM q JOIN v USING (series)), "
+        f"g AS (SELECT series, d, n, t, CASE WHEN n < 50 THEN 1.0 ELSE {_p('t')} END::DOUBLE AS p, var_ratio FROM t) "
+    )
+
+
+_add("fracdiff_grid", lambda s, f: rounded(S.fracdiff_grid(events_series(s, f), "x"), 4), _orders((0.1, 0.3, 0.5, 0.7, 0.9)) + "SELECT series, d, n, round(t, 4) AS t, p, round(var_ratio, 4) AS var_ratio FROM g")
+_add(
+    "fracdiff_search", lambda s, f: rounded(S.fracdiff_search(events_series(s, f), "x"), 4),
+    _orders((0.1, 0.2, 0.3, 0.4, 0.5)) + "SELECT series, d, p <= 0.05 AS found, p, round(var_ratio, 4) AS var_ratio FROM g QUALIFY row_number() OVER (PARTITION BY series ORDER BY p > 0.05, CASE WHEN p <= 0.05 THEN d ELSE abs(var_ratio - 1) END, d) = 1",
+)
 for _kind, _f in (("log", "ln"), ("sqrt", "sqrt")):
     _add(
         f"variance_{_kind}", _events(lambda d, k=_kind: S.variance_stabilised(d, "x", k), "series", "idx", "vs"),
@@ -126,11 +147,16 @@ _add(
     "seasonal_decompose", lambda s, f: rounded(S.seasonal_decompose(events_series(s, f), "x", 24).select("series", "idx", "trend", "seasonal", "resid"), 9),
     f"WITH {E}, t AS (SELECT *, avg(x) OVER {_w(24)} AS trend FROM e), s AS (SELECT series, idx % 24 AS k, avg(x - trend) AS seasonal FROM t GROUP BY ALL) SELECT t.series, idx, round(trend, 9) AS trend, round(seasonal, 9) AS seasonal, round(x - trend - seasonal, 9) AS resid FROM t JOIN s ON s.series = t.series AND s.k = t.idx % 24",
 )
-_add("spectral_features", lambda s, f: rounded(S.spectral_features(events_series(s, f), "x")))
+_add(
+    "spectral_features", lambda s, f: rounded(S.spectral_features(events_series(s, f), "x")),
+    f"WITH {E}, b AS (SELECT series, idx // 256 AS block, idx % 256 AS k, x, count(*) OVER w AS n, avg(x) OVER w AS m FROM e WINDOW w AS (PARTITION BY series, idx // 256)), "
+    "c AS (SELECT series, block, f / 256.0::DOUBLE AS f, sum((x - m) * cos(2 * pi() * f * k / 256)) ** 2 + sum((x - m) * sin(2 * pi() * f * k / 256)) ** 2 AS p FROM b, (SELECT unnest(range(1, 129)) AS f) WHERE n = 256 GROUP BY series, block, f), "
+    "s AS (SELECT series, block, f, p, p / sum(p) OVER (PARTITION BY series, block) AS r FROM c) "
+    "SELECT series, block, 256::BIGINT AS n, round(arg_max(f, p), 6) AS dominant, round(-sum(r * ln(r + 1e-9)), 6) AS entropy, round(sum(f * r), 6) AS centroid FROM s GROUP BY series, block",
+)
 _add("rolling_modes", lambda s, f: S.rolling_modes(line_series(s, f), "q", 500, 50))
 # statistics
 _b = f"b AS (SELECT series, idx, x, lag(x) {_o} AS b FROM e)"
-_p = lambda t: f"CASE WHEN {t} <= -3.43 THEN 0.01 WHEN {t} <= -2.86 THEN 0.05 WHEN {t} <= -2.57 THEN 0.1 ELSE 1.0 END::DOUBLE"
 _add(
     "df_test", _events(lambda d: T.df_test(d, "x"), "series", "n", "t", "p"),
     f"WITH {E}, {_b}, r AS (SELECT series, count(x) AS n, regr_slope(x - b, b) AS s, regr_sxx(x - b, b) AS sxx, regr_syy(x - b, b) AS syy, regr_count(x - b, b) AS m FROM b GROUP BY series), t AS (SELECT series, n, {_t('s', 'sxx', 'syy', 'm')} AS t FROM r) SELECT series, n, round(t, 6) AS t, CASE WHEN n < 50 THEN 1.0 ELSE {_p('t')} END::DOUBLE AS p FROM t",
@@ -170,3 +196,8 @@ _add(
 _add("adf_test", lambda s, f: rounded(T.adf_test(events_series(s, f), "x")))
 _add("adf_batch", lambda s, f: rounded(T.adf_batch(line_series(s, f), ["q", "d"])))
 _add("feature_profile", lambda s, f: rounded(T.feature_profile(events_series(s, f), "x")))
+_rolled = ", ".join(f"round({f}(x) OVER {_w(k)}, 9) AS rolling_{n}_{k}" for k in (20, 50, 100) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+_moved = ", ".join(f"round(x - avg(x) OVER {_w(k)}, 9) AS cycle_{k}" for k in (20, 50, 100))
+_low = "min(x) OVER (PARTITION BY series)"
+_still = ", ".join(f"round({f}(x + CASE WHEN {_low} <= 0 THEN abs({_low}) + 1e-8 ELSE 1e-8 END), 9) AS stabilised_{n}" for n, f in (("log", "ln"), ("sqrt", "sqrt")))
+_add("feature_columns", lambda s, f: rounded(T.feature_columns(events_series(s, f).select("series", "idx", "x"), "x").drop("x"), 9), f"WITH {E} SELECT series, idx, {_rolled}, {_moved}, {_still} FROM e")

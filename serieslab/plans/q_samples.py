@@ -37,7 +37,10 @@ _add(
     "q AS (SELECT DISTINCT flag, m, least(greatest(1, floor(m * 500 / n + 0.5)), m)::BIGINT AS q FROM c), k AS (SELECT DISTINCT flag, CASE WHEN q = 1 THEN 0 ELSE j * (m - 1) // (q - 1) END AS place FROM (SELECT flag, m, q, unnest(range(q)) AS j FROM q)) SELECT idx, flag FROM c SEMI JOIN k USING (flag, place)",
 )
 _add("time_split", _events(lambda d: P.time_split(d), "series", "idx", "split"), f"WITH {E}, {_n} SELECT series, idx, CASE WHEN idx < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM n")
-_add("random_split", _events(lambda d: P.random_split(d, ["event_id"]), "series", "idx", "split"))
+_add(
+    "random_split", _events(lambda d: P.random_split(d, ["event_id"]), "series", "idx", "split"),
+    f"WITH {E} SELECT series, idx, CASE WHEN ('0x' || substr(md5(event_id || '|42'), 1, 8))::BIGINT % 1000 < 200 THEN 'test' ELSE 'train' END AS split FROM e",
+)
 _add(
     "expanding_splits", _events(lambda d: P.expanding_splits(d, 5, 50), "series", "idx", "fold", "role"),
     f"WITH {E}, {_n}, f AS (SELECT *, unnest(range(5))::INTEGER AS fold, n // 6 AS size FROM n), g AS (SELECT *, n - (5 - fold) * size AS start FROM f) "
