@@ -64,7 +64,7 @@ def fracdiff_grid(df: DataFrame, x: str, orders: tuple[float, ...] = (0.1, 0.3,
     """(series, d, n, t, p, var_ratio): for each order the Dickey-Fuller t of the difference, its stepped p and its variance against that of x.
 
     One pass over haloed buckets serves all orders: each bucket gives counts, means and centred products, which are pooled by series. A
-    constant series has no t."""
+    constant series has no t; one that is shorter than the weights has n = 0 and p = 1."""
     kernels = {d: np.array(fracdiff_weights(d, most, tolerance)) for d in orders}
     spread = halo(df.select("series", "idx", F.col(x).cast("double").alias("_x")), back=max(map(len, kernels.values())), size=size)
 
@@ -107,7 +107,7 @@ def fracdiff_search(df: DataFrame, x: str, orders: tuple[float, ...] = (0.1, 0.2
     """(series, d, found, p, var_ratio): the least order whose difference passes the test, else the one with a variance ratio nearest one."""
     grid = fracdiff_grid(df, x, orders, most)
     passed = F.col("p") <= alpha
-    pick = F.struct((~passed).cast("int"), F.when(passed, F.col("d")).otherwise(F.abs(F.col("var_ratio") - 1)), F.col("d"))
+    pick = F.struct((~passed).cast("int"), F.when(passed, F.col("d")).otherwise(F.coalesce(F.abs(F.col("var_ratio") - 1), F.lit(float("inf")))), F.col("d"))
     best = grid.groupBy("series").agg(F.min_by(F.struct("d", passed.alias("found"), "p", "var_ratio"), pick).alias("b"))
     return best.select("series", "b.*")
 

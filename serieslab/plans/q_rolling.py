@@ -118,7 +118,7 @@ def _orders(orders: tuple[float, ...]) -> str:
         "k AS (SELECT d, count(*) AS k FROM w GROUP BY d), y AS (SELECT w.d, b.series, b.idx + w.j AS idx, sum(w.c * b.x) AS y FROM w, e b JOIN k ON k.d = w.d WHERE b.idx + w.j >= k.k - 1 GROUP BY ALL), "
         "z AS (SELECT d, series, idx, y, lag(y) OVER (PARTITION BY d, series ORDER BY idx) AS b FROM y JOIN e USING (series, idx)), "
         "q AS (SELECT d, series, count(y) AS n, var_pop(y) AS vy, regr_slope(y - b, b) AS s, regr_sxx(y - b, b) AS sxx, regr_syy(y - b, b) AS syy, regr_count(y - b, b) AS m FROM z GROUP BY ALL), v AS (SELECT series, var_pop(x) AS vx FROM e GROUP BY series), "
-        f"t AS (SELECT series, d, n, {_t('s', 'sxx', 'syy', 'm')} AS t, vy / vx AS var_ratio FROM q JOIN v USING (series)), "
+        f"t AS (SELECT v.series, k.d, coalesce(n, 0) AS n, {_t('s', 'sxx', 'syy', 'm')} AS t, vy / vx AS var_ratio FROM k CROSS JOIN v LEFT JOIN q ON q.d = k.d AND q.series = v.series), "
         f"g AS (SELECT series, d, n, t, CASE WHEN n < 50 THEN 1.0 ELSE {_p('t')} END::DOUBLE AS p, var_ratio FROM t) "
     )
 
