@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import quantiles, ratio, windowed
+from serieslab.core import quantiles, ratio, sized, windowed
 from serieslab.operators.rolling import rolling_coverage, rolling_vol
 
 
@@ -96,14 +96,19 @@ def session_mask(df: DataFrame, ts: str, schedule: DataFrame, holidays: DataFram
     slots = schedule.where(F.col("driver") == driver).select("weekday", F.explode(F.sequence("start_min", F.col("end_min") - 1)).alias("_m")).distinct()
     closed = holidays.where(F.col("driver") == driver).select(F.col("date").alias("_h")).distinct()
     own = df.withColumns({"_w": F.weekday(t), "_min": F.hour(t) * 60 + F.minute(t), "_date": F.to_date(t)})
-    hit = own.join(F.broadcast(slots.withColumn("_in", F.lit(True))), (F.col("_w") == F.col("weekday")) & (F.col("_min") == F.col("_m")), "left")
-    off = hit.join(F.broadcast(closed.withColumn("_off", F.lit(True))), F.col("_date") == F.col("_h"), "left")
+    hit = own.join(sized(slots.withColumn("_in", F.lit(True))), (F.col("_w") == F.col("weekday")) & (F.col("_min") == F.col("_m")), "left")
+    off = hit.join(sized(closed.withColumn("_off", F.lit(True))), F.col("_date") == F.col("_h"), "left")
     return off.withColumn(name, F.coalesce("_in", F.lit(False)) & F.col("_off").isNull()).select(*df.columns, name)
 
 
 def driver_of(features: DataFrame, mapping: DataFrame, feature: str = "feature") -> DataFrame:
-    """(feature, driver): by the longest substring of the name, letters in either case; null if there is none."""
-    met = features.join(F.broadcast(mapping), F.contains(F.lower(feature), F.lower("substring")), "left")
+    """(feature, driver): by the longest substring of the name, letters in either case; null if there is none. All substrings of a name
+    are looked up by an equality join, so neither side has to be small."""
+    name = F.lower(feature)
+    n = F.length(name)
+    some = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(name, i, k))))
+    each = features.select(feature, F.explode_outer(F.array_distinct(F.concat(some, F.array(F.lit(""))))).alias("_part"))
+    met = each.join(mapping.select("driver", "substring", F.lower("substring").alias("_part")), "_part", "left")
     return met.groupBy(feature).agg(F.max_by("driver", F.struct(F.length("substring"), "substring")).alias("driver"))
 
 

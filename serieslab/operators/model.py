@@ -8,17 +8,23 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serieslab.core import lengths, with_row_index
+from serieslab.operators.labels import task_type
 from serieslab.operators.metrics import skill_scores
-from serieslab.operators.sampling import time_split
 from serieslab.operators.selection import fit_trees
 
 
 def train_final(df: DataFrame, y: str, columns: list[str], test: float = 0.2, task: str = "regression", least: int = 100, **fit):
-    """(model, rows with split and prediction): complete rows, split by time, an ensemble on the first part."""
-    rows = time_split(df.dropna(subset=[*columns, y]), test)
+    """(model, rows with split and prediction): complete rows, split by time, an ensemble on the first part. The last tenth of that part stops
+    the boosting early. The task "auto" follows from the target's values."""
+    complete = with_row_index(df.dropna(subset=[*columns, y]), ["series"], ["idx"], "_place")
+    head = F.floor(F.col("_n") * (1 - test))
+    rows = complete.join(lengths(complete).withColumnRenamed("n", "_n"), "series").withColumn("split", F.when(F.col("_place") < head, "train").otherwise("test"))
     if rows.limit(least).count() < least:
         raise ValueError(f"fewer than {least} complete rows")
-    model = fit_trees(rows.where("split = 'train'"), y, columns, task, **fit)
+    if task == "auto":
+        task = task_type(rows.select(F.lit("all").alias("series"), y), y).first()["task"]
+    model = fit_trees(rows.where("split = 'train'"), y, columns, task, checks=F.col("_place") >= F.floor(head * 0.9), **fit)
     said = model.transform(VectorAssembler(inputCols=columns, outputCol="_x").transform(rows))
     return model, said.select("series", "idx", F.col(y).cast("double").alias("y"), "split", "prediction")
 

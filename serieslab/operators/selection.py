@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serieslab.operators.dependence import correlation, dcor_scores, gram, nmi_pairs
@@ -86,11 +86,17 @@ def mi_clusters(df: DataFrame, columns: list[str], scores: dict[str, float], thr
     for r in rows:
         d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = 1 - r["nmi"] / top
     groups = [[i] for i in range(len(columns))]
+    d[np.tril_indices(len(columns))] = np.inf  # only i < j are looked at
     while len(groups) > 1:
-        best = min(((d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j), key=lambda x: x[0])
-        if best[0] > 1 - threshold:
+        i, j = np.unravel_index(int(d.argmin()), d.shape)
+        if d[i, j] > 1 - threshold:
             break
-        groups[best[1]] += groups.pop(best[2])
+        own, other = len(groups[i]), len(groups[j])
+        whole = np.minimum(d, d.T)
+        mean = (own * whole[i] + other * whole[j]) / (own + other)  # average linkage to the merged cluster
+        d[:i, i], d[i, i + 1 :] = mean[:i], mean[i + 1 :]
+        d = np.delete(np.delete(d, j, 0), j, 1)
+        groups[i] += groups.pop(j)
     out = []
     for k, g in enumerate(groups):
         keep = max(g, key=lambda i: (scores.get(columns[i], 0.0), -i))
@@ -123,11 +129,16 @@ def _learner(task: str, classes: int, rounds: int, depth: int, rate: float, seed
     return RandomForestClassifier(numTrees=rounds, **common)
 
 
-def fit_trees(df: DataFrame, y: str, columns: list[str], task: str = "regression", rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42):
-    """A fitted MLlib tree ensemble on the complete rows."""
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(df.dropna(subset=[*columns, y]).withColumn("_y", F.col(y).cast("double")))
+def fit_trees(df: DataFrame, y: str, columns: list[str], task: str = "regression", rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42, checks: Column | None = None):
+    """A fitted MLlib tree ensemble on the complete rows. Rows for which `checks` holds are not learnt from: boosting stops early once the
+    error on them falls no more. Class labels are whole numbers from 0."""
+    own = df.withColumn("_checks", F.coalesce(checks, F.lit(False)) if checks is not None else F.lit(False))
+    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(own.dropna(subset=[*columns, y]).withColumn("_y", F.col(y).cast("double")))
     classes = rows.select("_y").distinct().count() if task != "regression" else 0
-    return _learner(task, classes, rounds, depth, rate, seed).fit(rows.select("_x", "_y"))
+    learner = _learner(task, classes, rounds, depth, rate, seed)
+    if checks is None or not learner.hasParam("validationIndicatorCol") or not rows.where("_checks").limit(1).count():
+        return learner.fit(rows.where("not _checks").select("_x", "_y"))
+    return learner.setValidationIndicatorCol("_checks").fit(rows.select("_x", "_y", "_checks"))
 
 
 def importances_of(spark: SparkSession, model, columns: list[str]) -> DataFrame:
@@ -135,11 +146,12 @@ def importances_of(spark: SparkSession, model, columns: list[str]) -> DataFrame:
 
 
 def embedded_select(df: DataFrame, y: str, columns: list[str], task: str = "regression", folds: int = 3, rule: str | float = "median", k: int | None = None, cpcv: tuple[int, int] | None = None, **fit) -> DataFrame:
-    """(feature, importance, kept): tree importances averaged over expanding (or combinatorial) folds, kept from the threshold on."""
+    """(feature, importance, kept): tree importances averaged over expanding (or combinatorial) folds, kept from the threshold on. Each fold's
+    test rows stop its boosting early."""
     spark = df.sparkSession
     split = cpcv_splits(df, *cpcv).withColumnRenamed("combo", "fold") if cpcv else expanding_splits(df, folds)
     ids = [r["fold"] for r in split.select("fold").distinct().orderBy("fold").collect()]
-    parts = [importances_of(spark, fit_trees(split.where((F.col("fold") == i) & (F.col("role") == "train")), y, columns, task, **fit), columns) for i in ids]
+    parts = [importances_of(spark, fit_trees(split.where((F.col("fold") == i) & F.col("role").isin("train", "test")), y, columns, task, checks=F.col("role") == "test", **fit), columns) for i in ids]
     parts = parts or [importances_of(spark, fit_trees(df, y, columns, task, **fit), columns)]
     every = parts[0]
     for p in parts[1:]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from serieslab.core import shared_dir, table, windowed
+from serieslab.core import materialise, shared_dir, table, windowed
 from serieslab.operators import dependence as C
 from serieslab.operators import metrics as M
 from serieslab.operators import model as N
@@ -140,10 +140,12 @@ _add(
 )
 
 
-def _wide(s, f, n: int = 8):
+def _wide(s, f, n: int = 64):
+    """All dimensions of the embeddings, and a column that two of them give."""
     cols = [F.col("embedding")[i].cast("double").alias(f"x_{i}") for i in range(n)]
     rows = table(s, f, "embeddings").select(F.lit("all").alias("series"), F.col("vec_id").alias("idx"), F.col("label").cast("double").alias("y"), *cols)
-    return rows.withColumn("x_sum", F.col("x_0") + F.col("x_1")), [f"x_{i}" for i in range(n)] + ["x_sum"]
+    made = materialise(rows.withColumn("x_sum", F.col("x_0") + F.col("x_1")))  # fits make many passes over it
+    return made, [f"x_{i}" for i in range(n)] + ["x_sum"]
 
 
 _add("vif_select", lambda s, f: rounded(S.vif_select(*_wide(s, f)), 4))

@@ -80,7 +80,17 @@ _add(
 )
 _add("candidate_features", lambda s, f: (lambda d: d.select(*K.candidate_features(d)))(table(s, f, "part").select(F.col("p_size").alias("y_size"), F.col("p_name").alias("y_name"), F.col("p_retailprice").alias("x_price"), F.col("p_partkey").alias("y_ret_fwd_5m"))), "SELECT p_size AS y_size, p_retailprice AS x_price FROM part")
 _add("eligible_float_columns", lambda s, f: (lambda d: d.select(*K.eligible_float_columns(d)))(table(s, f, "customer")), "SELECT c_acctbal FROM customer")
-_add("columns_by_role", lambda s, f: (lambda d: s.createDataFrame([(r, c) for r, cs in K.columns_by_role(d).items() for c in cs], "role string, name string"))(table(s, f, "events").select(*[F.col("value").alias(c) for c in ("y_close", "y_ret_1m", "y_tick_volume", "y_rv_30m", "y_spread_lvl", "y_ofi_raw", "y_ret_fwd_60m", "dcor_x")])))
+_ROLES = [("price", "y_close_"), ("return", "y_ret_"), ("volume", "y_tick_volume_"), ("volatility", "y_rv_"), ("spread", "y_spread_"), ("ofi", "y_ofi_"), ("target", "y_ret_fwd_"), ("metric", "dcor_")]
+
+
+def _by_brand(s, f):
+    """A column for each brand and kind of feature that the parts name."""
+    kind = F.element_at(F.array(*[F.lit(n) for _, n in _ROLES]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(s, f, "part").select("p_size", F.concat(kind, "p_brand").alias("name")).groupBy().pivot("name").agg(F.avg("p_size"))
+
+
+_add("columns_by_role", lambda s, f: (lambda d: s.createDataFrame([(r, c) for r, cs in K.columns_by_role(d).items() for c in cs], "role string, name string"))(_by_brand(s, f)),
+     f"SELECT DISTINCT ({[r for r, _ in _ROLES]})[p_partkey % 8 + 1] AS role, ({[n for _, n in _ROLES]})[p_partkey % 8 + 1] || p_brand AS name FROM part")
 _add("table_info", lambda s, f: I.table_info(table(s, f, "nation")).select("column", "type", "files", "megabytes"))
 _add("discover_series", lambda s, f: I.discover_series(s, f))
 _add("scan_parquet", lambda s, f: I.scan_parquet(s, f"{f}/lineitem.parquet", ["l_orderkey", "l_quantity"]).where("l_quantity > 45"), "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")

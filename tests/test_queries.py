@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from serieslab import catalogue
-from serieslab.operators import dependence, metrics, rolling, sampling, selection, stationary, stats
+from serieslab.operators import dependence, labels, metrics, model, rolling, sampling, selection, stationary, stats
 from tests.test_series import column, frame
 
 QUERIES = catalogue.queries()
@@ -163,3 +164,47 @@ def test_batch_of_columns_equals_single_tests(spark, mixed):
     for c in "ac":
         for r in stats.adf_test(df.select("series", "idx", c), c, 3).collect():
             assert got[r["series"], c]["t"] == pytest.approx(r["t"]) and got[r["series"], c]["n"] == r["n"]
+
+
+def test_average_linkage(spark):
+    """Clusters of features against a plain walk over all pairs of clusters."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(1500, 3))
+    v = np.column_stack([base[:, i % 3] + 0.15 * (i // 3) * rng.normal(size=1500) for i in range(9)])
+    names = [f"c{i}" for i in range(9)]
+    df = wide(spark, v, names)
+    for threshold in (0.1, 0.3, 0.6):
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+        nmi = {(r["a"], r["b"]): r["nmi"] for r in dependence.nmi_pairs(df, pairs, 16).collect()}
+        far = lambda a, b: 1 - nmi[(a, b) if a < b else (b, a)] / max(nmi.values())
+        groups = [[c] for c in names]
+        while len(groups) > 1:
+            d, i, j = min((np.mean([far(a, b) for a in groups[i] for b in groups[j]]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+            if d > 1 - threshold:
+                break
+            groups[i] += groups.pop(j)
+        got = {}
+        for r in selection.mi_clusters(df, names, {}, threshold, 16).collect():
+            got.setdefault(r["cluster"], set()).add(r["feature"])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
+
+
+def test_driver_is_the_longest_substring(spark):
+    features = spark.createDataFrame([("SPX_dxy_1",), ("xspx",), ("none",), ("",), (None,), ("xspx",)], "feature string")
+    mapping = spark.createDataFrame([("spx", "a"), ("spx_d", "b"), ("DXY", "c")], "substring string, driver string")
+    got = {r["feature"]: r["driver"] for r in labels.driver_of(features, mapping).collect()}
+    assert got == {"SPX_dxy_1": "b", "xspx": "a", "none": None, "": None, None: None}
+
+
+def test_boosting_stops_early_and_rows_that_check_are_not_learnt(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=400)
+    noise = wide(spark, np.column_stack([x, rng.normal(size=400)]), ["a", "y"])
+    assert selection.fit_trees(noise, "y", ["a"], rounds=15, checks=F.col("idx") >= 300).getNumTrees < 15
+    odd = wide(spark, np.column_stack([x, np.where(np.arange(400) < 300, x, x + 1000)]), ["a", "y"])
+    said = selection.fit_trees(odd, "y", ["a"], rounds=3, checks=F.col("idx") >= 300)
+    rows = VectorAssembler(inputCols=["a"], outputCol="_x").transform(odd)
+    assert said.transform(rows).agg(F.max("prediction")).first()[0] < 10
+    late = wide(spark, np.column_stack([np.where(np.arange(400) < 200, np.nan, x), x]), ["a", "y"])
+    _, split = model.train_final(late, "y", ["a"], rounds=2, depth=2)
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 160, "test": 40}
