@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_secrets", "q_quality", "q_jaccard", "q_language", "q_mixing", "q_chat", "q_lattice", "q_html", "q_urls", "q_contamination", "q_importance", "q_divergence")
+MODULES = ("q_secrets", "q_quality", "q_jaccard", "q_language", "q_mixing", "q_chat", "q_lattice", "q_html", "q_urls", "q_contamination", "q_importance", "q_divergence", "q_warc")
 
 
 def _all(name: str) -> dict:
