@@ -14,6 +14,8 @@ def rows_of_sql(sf_dir: str, sql: str) -> tuple[list[str], list[tuple]]:
     con.execute("SET TimeZone = 'UTC'")
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
+        if not os.path.exists(path):
+            continue
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     found = con.execute(sql)
     return [c[0] for c in found.description], found.fetchall()
