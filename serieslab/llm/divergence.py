@@ -107,13 +107,10 @@ def distances(cells: DataFrame) -> DataFrame:
         code, terms = pd.factorize(real["term"])
         shares = np.repeat(marks["p"].fillna(0).to_numpy(np.int64)[:, None], len(terms), axis=1)
         shares[pd.Index(sources).get_indexer(real["source"]), code] = real["p"].to_numpy(np.int64)
-        made = []
-        for i in own:
-            value = np.abs(shares - shares[i]).sum(axis=1)
-            others = np.arange(len(sources)) != i
-            made.append(pd.DataFrame({"source": sources[i], "item": sources[others], "value": value[others]}))
-        out = pd.concat(made) if made else pd.DataFrame({"source": [], "item": [], "value": []})
-        return out.assign(lang=g["lang"].iloc[0])[["lang", "source", "item", "value"]]
+        values = np.array([np.abs(shares - shares[i]).sum(axis=1) for i in own], np.int64).reshape(len(own), len(sources))
+        other = own[:, None] != np.arange(len(sources))[None, :]
+        at, to = np.nonzero(other)
+        return pd.DataFrame({"lang": g["lang"].iloc[0], "source": sources[own[at]], "item": sources[to], "value": values[other]})
 
     sums = cells.groupBy("lang", "shard", "block").applyInPandas(shard_sums, "lang string, source string, item string, value long")
     return sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
@@ -147,7 +144,7 @@ def audit_sources(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     width = F.greatest(F.lit(1).cast("long"), F.least(F.lit(BLOCK).cast("long"), F.floor(F.lit(PAIRS) / F.col("sources"))))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     place = Window.partitionBy("lang").orderBy("source")
-    marks = groups.withColumns({"at": F.row_number().over(place) - 1, "shard": upto(shards)}).withColumn("block", upto(F.ceil(F.col("sources") / width)))
+    marks = groups.withColumn("at", F.row_number().over(place) - 1).withColumn("shard", upto(shards)).withColumn("block", upto(F.ceil(F.col("sources") / width)))
     absent = share(F.lit(0).cast("long"), F.col("total"), F.col("terms"), smoothing)
     marks = marks.select("lang", "shard", "block", "source", F.lit(None).cast("string").alias("term"), absent.alias("p"), (F.floor(F.col("at") / width) == F.col("block")).alias("own"))
     cells = shares.withColumn("shard", F.pmod(F.xxhash64("term"), shards)).withColumn("block", upto(F.ceil(F.col("sources") / width)))
