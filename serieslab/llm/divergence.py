@@ -23,10 +23,11 @@ from serieslab.llm.common import materialise, sized
 
 #: Fixed value: what stands between terms.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bytes of text counted at a time; rows of partial counts that a task holds before it hands them on; cells of a shard's matrix.
-SLICE, HELD, CELLS = 16 << 20, 400_000, 1_000_000
-#: Sources whose distances to all others a task computes, and such distances.
-BLOCK, PAIRS = 200, 1_000_000
+#: Bytes of text counted at a time; rows of partial counts that a task holds before it hands them on; cells of
+#: a shard's matrix, if its sources are not more than its terms.
+SLICE, HELD, CELLS = 16 << 20, 400_000, 16_000
+#: Sources whose distances to all others a task computes, and such distances; most cells of a shard's matrix.
+BLOCK, PAIRS, MOST = 200, 1_000_000, 2_000_000
 KEYS = ["lang", "source", "term"]
 
 
@@ -140,7 +141,8 @@ def audit_sources(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     typical = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     typical = typical.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
-    shards = F.ceil(F.greatest(F.col("terms") * F.col("sources") / F.lit(CELLS), F.lit(1)))
+    of_shard = F.greatest(F.lit(1.0), F.least(F.greatest(F.col("sources"), CELLS / F.col("sources")), MOST / F.col("sources")))
+    shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("terms") / of_shard))
     width = F.greatest(F.lit(1).cast("long"), F.least(F.lit(BLOCK).cast("long"), F.floor(F.lit(PAIRS) / F.col("sources"))))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     place = Window.partitionBy("lang").orderBy("source")

@@ -176,7 +176,7 @@ def audited(rows, least, smoothing=5, top=50):
 def test_divergence_by_brute_force(spark, monkeypatch):
     rows = [(i, " ".join(f"w{chr(97 + (i * j + j) % 23)}é" for j in range(i % 30)), ["en", "de", None][i % 3], f"s{i % 7}" if i % 11 else None) for i in range(300)]
     rows += [(900, "rare", "fr", "s1"), (901, None, "fr", "s2"), *ODD]
-    for least, sizes in ((5, {}), (1, {"CELLS": 60, "BLOCK": 2, "PAIRS": 10, "SLICE": 64, "HELD": 40})):
+    for least, sizes in ((5, {}), (1, {"CELLS": 60, "MOST": 60, "BLOCK": 2, "PAIRS": 10, "SLICE": 64, "HELD": 40})):
         for k, v in sizes.items():
             monkeypatch.setattr(divergence, k, v)
         got = divergence.audit_sources(frame(spark, rows), least=least, top=4).collect()
