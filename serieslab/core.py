@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,9 +123,18 @@ def lengths(df: DataFrame) -> DataFrame:
     return df.groupBy("series").agg(F.count("*").alias("n"))
 
 
-def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Adds the columns of a table with one row for each series."""
-    return df.join(scalars, "series", "left")
+def matched(df: DataFrame, other: DataFrame, keys: list[str] | str, how: str = "inner") -> DataFrame:
+    """A join on keys of which null is one like any other; the other columns of `other` come along."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    met = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_jk_{k}")) for k in keys])
+    out = df.join(other.withColumnsRenamed({k: f"_jk_{k}" for k in keys}), met, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_jk_{k}" for k in keys])
+
+
+def with_scalars(df: DataFrame, scalars: DataFrame, how: str = "inner", keys: list[str] | str = "series") -> DataFrame:
+    """Adds the columns of a table with one row for each series (or other keys), a null series included. The table is written down and
+    broadcast if it is small, so that rows stay where they are, however long a series is."""
+    return matched(df, sized(materialise(scalars)), keys, how)
 
 
 def running(df: DataFrame, sums: dict[str, Column], size: int = BUCKET) -> DataFrame:
@@ -133,7 +144,7 @@ def running(df: DataFrame, sums: dict[str, Column], size: int = BUCKET) -> DataF
     before = Window.partitionBy("series").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("series", "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums])
     inside = Window.partitionBy("series", "_bucket").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    joined = own.join(carried, ["series", "_bucket"])
+    joined = matched(own, carried, ["series", "_bucket"])
     out = joined.withColumns({n: F.col(f"_c_{n}") + F.coalesce(F.sum(f"_s_{n}").over(inside), F.lit(0)) for n in sums})
     return out.drop("_bucket", *[f"_s_{n}" for n in sums], *[f"_c_{n}" for n in sums])
 
@@ -148,7 +159,7 @@ def filled(df: DataFrame, columns: list[str], forward: bool = True, size: int =
     span = Window.partitionBy("series").orderBy("_bucket").rowsBetween(*((rest, -1) if forward else (1, rest)))
     carried = ends.select("series", "_bucket", *[pick(f"_e_{c}", ignorenulls=True).over(span).alias(f"_c_{c}") for c in columns])
     inside = Window.partitionBy("series", "_bucket").orderBy("idx").rowsBetween(*((rest, 0) if forward else (0, rest)))
-    joined = own.join(carried, ["series", "_bucket"])
+    joined = matched(own, carried, ["series", "_bucket"])
     return joined.withColumns({c: F.coalesce(pick(c, ignorenulls=True).over(inside), F.col(f"_c_{c}")) for c in columns}).drop("_bucket", *[f"_c_{c}" for c in columns])
 
 
@@ -162,14 +173,14 @@ def value_ranks(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     offsets = totals.select(*by, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*by, "_pid").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     own = ranged.withColumn("_below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return own.join(sized(materialise(offsets)), [*by, "_pid"]).select(*by, "value", "n", (F.col("_below") + F.col("_offset")).alias("below"))
+    return with_scalars(own, offsets, keys=[*by, "_pid"]).select(*by, "value", "n", (F.col("_below") + F.col("_offset")).alias("below"))
 
 
 def quantiles(df: DataFrame, column: str, by: list[str], shares: list[float], name: str = "q") -> DataFrame:
     """(by, name array): exact quantiles, interpolated between neighbours. The values' ranks give them, so no task holds a series' values."""
     ranks = materialise(value_ranks(df, column, by))
     total = ranks.groupBy(*by).agg((F.sum("n") - 1).alias("_top"))
-    rows = ranks.join(total, by)
+    rows = with_scalars(ranks, total, keys=by)
     inside = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("value").cast("double")))
     made = []
     for p in shares:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import filled, finite, quantiles, trailing, windowed
+from serieslab.core import filled, finite, quantiles, trailing, windowed, with_scalars
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 #: Name parts by which columns get a role, and prefixes that must not be features.
@@ -80,7 +80,7 @@ def impute(df: DataFrame, columns: list[str], method: str = "median", most_missi
     if method == "median":
         for c in kept:
             middle = quantiles(df, c, ["series"], [0.5], "_m")
-            df = df.join(middle, "series", "left").withColumn(c, F.coalesce(c, F.col("_m")[0])).drop("_m")
+            df = with_scalars(df, middle, "left").withColumn(c, F.coalesce(c, F.col("_m")[0])).drop("_m")
         return df
     return {"ffill": lambda: filled(df, kept), "bfill": lambda: filled(df, kept, forward=False), "both": lambda: fill_both_ways(df, kept)}[method]()
 
@@ -114,7 +114,7 @@ def series_quality(df: DataFrame, x: str, windows: tuple[int, ...] = (10, 20, 50
         made[f"_f{k}"] = lambda w, k=k: (F.coalesce(F.when(F.count(x).over(trailing(w, k)) >= max(3, k // 2), F.stddev_samp(x).over(trailing(w, k))), F.lit(0.0)) < 1e-8).cast("double")
     own = windowed(df, made, back=max(windows) - 1)
     m = own.groupBy("series").agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
-    out = own.join(m, "series").groupBy("series").agg(
+    out = own.transform(with_scalars, m).groupBy("series").agg(
         F.count("*").alias("n"), (F.avg(F.col(x).isNull().cast("double")) * 100).alias("missing_pct"), F.greatest(*[F.avg(f"_f{k}") for k in windows], F.lit(0.0)).alias("flat_share"),
         F.avg(F.coalesce((F.abs(F.col(x) - F.col("_m")) > 3 * F.col("_s")).cast("double"), F.lit(0.0))).alias("outlier_share"),
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import lengths, materialise, safe_corr, with_row_index
+from serieslab.core import lengths, materialise, safe_corr, with_row_index, with_scalars
 
 
 def pearson_prefilter(df: DataFrame, y: str, columns: list[str], k: int = 50, least: int = 50) -> DataFrame:
@@ -29,7 +29,7 @@ def _tiles(df: DataFrame, y: str, columns: list[str], most: int, tile: int, grou
     rows = df.select(*groups, "idx", F.col(y).cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("f"))
     rows = rows.select(*groups, "idx", "y", "f.feature", "f.x").where("x is not null and y is not null")
     keys = [*groups, "feature"]
-    dense = with_row_index(rows, keys, ["idx"], "_p").join(rows.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    dense = with_row_index(rows, keys, ["idx"], "_p").transform(with_scalars, rows.groupBy(*keys).agg(F.count("*").alias("_n")), "inner", keys)
     last = dense.where(F.col("_p") >= F.col("_n") - most).withColumn("_p", F.col("_p") - F.greatest(F.col("_n") - most, F.lit(0))).withColumn("_n", F.least("_n", F.lit(most)))
     last = last.withColumns({"_t": F.floor(F.col("_p") / tile).cast("int"), "_k": F.floor((F.col("_n") - 1) / tile).cast("int")})
     return last.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k")))).select(*keys, "_n", F.least("_t", "_o").alias("_i"), F.greatest("_t", "_o").alias("_j"), "_t", "_p", "x", "y")
@@ -97,9 +97,9 @@ def dcor_rolling(df: DataFrame, y: str, columns: list[str], window: int = 1200,
     """(feature, windows, median, mean, min, max, p25, p75) of the distance correlation over the last windows of one series."""
     from serieslab.operators.stationary import anchors
 
-    spread = anchors(df.select("series", "idx", y, *columns), window, step).join(lengths(df), "series").where(F.col("anchor") <= F.col("n"))
+    spread = anchors(df.select("series", "idx", y, *columns), window, step).transform(with_scalars, lengths(df)).where(F.col("anchor") <= F.col("n"))
     last = spread.groupBy("series").agg(F.max("anchor").alias("_top"))
-    kept = spread.join(last, "series").where(F.col("anchor") > F.col("_top") - most_windows * step).drop("n", "_top")
+    kept = spread.transform(with_scalars, last).where(F.col("anchor") > F.col("_top") - most_windows * step).drop("n", "_top")
     scored = distance_corr(kept, y, columns, window, 1000, ["series", "anchor"]).where(F.col("n") >= least)
     return scored.groupBy("series", "feature").agg(
         F.count("*").alias("windows"), F.percentile("dcor2", 0.5).alias("median"), F.avg("dcor2").alias("mean"), F.min("dcor2").alias("min"), F.max("dcor2").alias("max"), F.percentile("dcor2", 0.25).alias("p25"), F.percentile("dcor2", 0.75).alias("p75")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import quantiles, ratio, sized, windowed
+from serieslab.core import matched, quantiles, ratio, sized, windowed, with_scalars
 from serieslab.operators.rolling import rolling_coverage, rolling_vol
 
 
@@ -47,7 +47,7 @@ def label_summary(labels: DataFrame, by: list[str]) -> DataFrame:
     """(by, label, n, share, periods, ret) and, on every row, the expected return, win rate and score of the group."""
     each = labels.groupBy(*by, "label").agg(F.count("*").alias("n"), F.avg("periods").alias("periods"), F.avg("ret").alias("ret"))
     whole = labels.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("ret").alias("expected"), F.avg((F.col("label") == 1).cast("double")).alias("win_rate"))
-    out = each.join(whole, by).withColumn("share", F.col("n") / F.col("_n")).withColumn("score", F.col("win_rate") * 100 * F.col("expected") * 1000)
+    out = matched(each, whole, by).withColumn("share", F.col("n") / F.col("_n")).withColumn("score", F.col("win_rate") * 100 * F.col("expected") * 1000)
     return out.select(*by, "label", "n", "share", "periods", "ret", "expected", "win_rate", "score")
 
 
@@ -69,14 +69,14 @@ def barrier_sweep(df: DataFrame, p: str, settings: list[tuple] = BARRIERS, least
 def winsorised(df: DataFrame, x: str, low: float = 0.001, high: float = 0.999, name: str = "w") -> DataFrame:
     """Cut at the series' quantiles."""
     q = quantiles(df, x, ["series"], [low, high], "_q")
-    return df.join(q, "series", "left").withColumn(name, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
+    return with_scalars(df, q, "left").withColumn(name, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
 
 
 def vol_scaled(df: DataFrame, y: str, k: int = 50, mode: str = "rolling", least: int = 10) -> DataFrame:
     """Adds sigma, scaled (y / sigma, winsorised at 0.1 and 99.9 %) and weight (1 / sigma). mode: rolling, garch and realized use the
     trailing standard deviation, constant the one of the whole series."""
     if mode == "constant":
-        own = df.join(df.groupBy("series").agg(F.greatest(F.stddev_samp(y), F.lit(1e-6)).alias("sigma")), "series")
+        own = with_scalars(df, df.groupBy("series").agg(F.greatest(F.stddev_samp(y), F.lit(1e-6)).alias("sigma")))
     else:
         own = rolling_vol(df, y, k, least)
     return winsorised(own.withColumn("_s", F.col(y) / F.col("sigma")), "_s", name="scaled").drop("_s").withColumn("weight", 1 / F.col("sigma"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.core import lengths, materialise, quantiles, safe_corr, value_ranks, windowed, with_row_index
+from serieslab.core import lengths, matched, materialise, quantiles, safe_corr, value_ranks, windowed, with_row_index, with_scalars
 from serieslab.operators.rolling import average_ranks
 
 
@@ -43,11 +43,11 @@ def ic_bootstrap(df: DataFrame, y: str, p: str, rounds: int = 1000, block: int |
     draws = n.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / F.col("_b")).cast("int") - 1)))
     starts = draws.withColumn("_s", F.pmod(F.xxhash64("series", "round", "_k", F.lit(seed)), F.col("n")))
     rows = starts.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    picked = materialise(rows.select("series", "round", F.pmod(F.col("_s") + F.col("_j"), F.col("n")).alias("idx")).join(dense, ["series", "idx"]).select("series", "round", "_y", "_p"))
+    picked = materialise(rows.select("series", "round", F.pmod(F.col("_s") + F.col("_j"), F.col("n")).alias("idx")).transform(matched, dense, ["series", "idx"]).select("series", "round", "_y", "_p"))
     by = ("series", "round")
     ics = average_ranks(average_ranks(picked, "_y", "_ry", by), "_p", "_rp", by).groupBy(*by).agg(safe_corr("_ry", "_rp").alias("ic"))
     found = ics.groupBy("series").agg(F.count("ic").alias("n_rounds"), F.avg("ic").alias("mean"), F.stddev_pop("ic").alias("std"), F.percentile("ic", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    out = spearman_ic(dense, "_y", "_p").join(found, "series", "left")
+    out = spearman_ic(dense, "_y", "_p").transform(matched, found, "series", "left")
     whole, spread = F.coalesce("ic", F.lit(0.0)), F.coalesce("std", F.lit(0.0))
     t = F.when(spread > 0, F.col("mean") / (spread / F.sqrt("n_rounds"))).otherwise(0.0)
     out = out.select("series", F.coalesce("n_rounds", F.lit(0).cast("long")).alias("n_rounds"), F.coalesce("mean", whole).alias("mean"), spread.alias("std"), t.alias("t"), F.coalesce(F.col("_q")[0], whole).alias("low"), F.coalesce(F.col("_q")[1], whole).alias("high"))
@@ -67,7 +67,7 @@ def diebold_mariano(df: DataFrame, y: str, p: str) -> DataFrame:
     d = with_row_index(d, ["series"], ["_i"]).drop("_i")
     facts = d.groupBy("series").agg(F.avg("_d").alias("_mean"), F.floor(4 * F.pow(F.count("*") / 100, F.lit(2 / 9))).cast("int").alias("_h"))
     h = facts.agg(F.max("_h")).first()[0] or 0
-    centred = d.join(facts, "series").withColumn("_c", F.col("_d") - F.col("_mean"))
+    centred = with_scalars(d, facts).withColumn("_c", F.col("_d") - F.col("_mean"))
     lagged = windowed(centred, {f"_c{k}": (lambda w, k=k: F.lag("_c", k).over(w)) for k in range(1, h + 1)}, back=max(h, 1))
     long_run = F.sum(F.col("_c") ** 2)
     for k in range(1, h + 1):
@@ -93,7 +93,7 @@ def vol_adjusted_metrics(df: DataFrame, y: str, p: str, sigma: str) -> DataFrame
     own = df.where(F.col(sigma) > 0).withColumns({"_y": F.col(y) / F.col(sigma), "_p": F.col(p) / F.col(sigma)})
     q = quantiles(own, "_y", ["series"], [0.001, 0.999], "_q")
     cut = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col("_q")[0]), F.col("_q")[1]))
-    return skill_scores(own.join(q, "series").withColumns({"_y": cut("_y"), "_p": cut("_p")}), "_y", "_p")
+    return skill_scores(with_scalars(own, q).withColumns({"_y": cut("_y"), "_p": cut("_p")}), "_y", "_p")
 
 
 def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -110,7 +110,7 @@ def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 def auc_roc(df: DataFrame, y: str, score: str, by: str = "series") -> DataFrame:
     """Exact area under the curve, ties counting one half, from distinct scores."""
     ranks = value_ranks(df.where(F.col(y).isNotNull()), score, [by])
-    at = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(by, F.col(score).alias("value")).agg(F.sum(y).alias("_pos")).join(ranks, [by, "value"])
+    at = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(by, F.col(score).alias("value")).agg(F.sum(y).alias("_pos")).transform(matched, ranks, [by, "value"])
     s = at.groupBy(by).agg(F.sum("_pos").alias("pos"), F.sum("n").alias("_n"), F.sum(F.col("_pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("_r"))
     neg = F.col("_n") - F.col("pos")
     return s.select(by, F.when((F.col("pos") > 0) & (neg > 0), (F.col("_r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)).alias("auc"))
@@ -122,7 +122,7 @@ def average_precision(df: DataFrame, y: str, score: str, by: str = "series") ->
     ranks = value_ranks(rows, score, [by])
     pos = value_ranks(rows.where(F.col(y) == 1), score, [by]).select(by, "value", F.col("n").alias("_p"), F.col("below").alias("_pb"))
     total = rows.groupBy(by).agg(F.count("*").alias("_n"), F.sum(y).alias("_t"))
-    at = pos.join(ranks, [by, "value"]).join(total, by)
+    at = matched(pos, ranks, [by, "value"]).transform(with_scalars, total, "inner", by)
     precision = (F.col("_t") - F.col("_pb")) / (F.col("_n") - F.col("below"))
     return at.groupBy(by).agg(F.sum(F.col("_p") / F.col("_t") * precision).alias("ap"))
 
@@ -139,7 +139,7 @@ def precision_at_top(df: DataFrame, y: str, score: str, share: float, tie: str,
     """Precision among the max(1, int(n * share)) highest scores, ties by a column. Rows are placed by ranges, not in one task."""
     ranked = with_row_index(df.withColumn("_neg", -F.col(score)), [by], ["_neg", tie], "_place")
     n = df.groupBy(by).agg(F.count("*").alias("_n"))
-    return ranked.join(n, by).where(F.col("_place") < F.greatest(F.lit(1), F.floor(F.col("_n") * share))).groupBy(by).agg(F.count("*").alias("k"), F.avg(y).alias("precision"))
+    return ranked.transform(with_scalars, n, "inner", by).where(F.col("_place") < F.greatest(F.lit(1), F.floor(F.col("_n") * share))).groupBy(by).agg(F.count("*").alias("k"), F.avg(y).alias("precision"))
 
 
 def fold_mean(metrics: DataFrame) -> DataFrame:

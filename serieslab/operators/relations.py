@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from serieslab.core import matched, with_scalars
+
 
 def attach_features(df: DataFrame, features: DataFrame, on: list[str]) -> DataFrame:
     return df.join(features, on, "left")
@@ -12,17 +14,17 @@ def attach_features(df: DataFrame, features: DataFrame, on: list[str]) -> DataFr
 
 def attach_by_position(df: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of both with the same series and idx."""
-    return df.join(other, ["series", "idx"])
+    return matched(df, other, ["series", "idx"])
 
 
 def reindex_to(df: DataFrame, base: DataFrame) -> DataFrame:
     """All rows of base, with the other's values where it has the row."""
-    return base.select("series", "idx").join(df, ["series", "idx"], "left")
+    return matched(base.select("series", "idx"), df, ["series", "idx"], "left")
 
 
 def broadcast_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Adds one row's values for each series to all its rows; Spark picks the join by the table's size."""
-    return df.join(scalars, "series", "left")
+    return with_scalars(df, scalars, "left")
 
 
 def feature_pairs(features: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from serieslab.core import running, safe_corr, trailing, value_ranks, windowed
+from serieslab.core import running, safe_corr, trailing, value_ranks, windowed, with_scalars
 
 
 def gated(value: Column, x: str, w: WindowSpec, least: int) -> Column:
@@ -133,7 +133,7 @@ def cyclical_components(df: DataFrame, x: str, periods: tuple[int, ...] = (20, 5
 def average_ranks(df: DataFrame, x: str, name: str = "rank", by: tuple[str, ...] = ("series",)) -> DataFrame:
     """Rank of each value in its series (or other group) from 1, ties sharing the mean of theirs; null values have none."""
     ranks = value_ranks(df, x, list(by)).select(*by, F.col("value").alias(x), (F.col("below") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, x], "left")
+    return with_scalars(df, ranks, "left", [*by, x])
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serieslab.operators.boosting import Ensemble, boost
 from serieslab.operators.dependence import correlation, dcor_scores, gram, nmi_pairs
-from serieslab.operators.sampling import cpcv_splits, expanding_splits
+from serieslab.operators.sampling import cpcv_roles, expanding_roles, fold_bits, has_bit
 
 
 def score_filter(scores: DataFrame, least: float = 0.5, k: int = 80, percentile: float = 0.0) -> DataFrame:
@@ -120,58 +118,52 @@ def importance_threshold(importances: DataFrame, rule: str | float = "median") -
     return positive.agg(F.percentile("importance", q)).first()[0] or 0.0
 
 
-def _learner(task: str, classes: int, rounds: int, depth: int, rate: float, seed: int):
-    common = {"featuresCol": "_x", "labelCol": "_y", "maxDepth": depth, "seed": seed}
-    if task == "regression":
-        return GBTRegressor(maxIter=rounds, stepSize=rate, subsamplingRate=0.7, **common)
-    if classes == 2:
-        return GBTClassifier(maxIter=rounds, stepSize=rate, subsamplingRate=0.7, **common)
-    return RandomForestClassifier(numTrees=rounds, **common)
+def importances_of(spark: SparkSession, model: Ensemble) -> DataFrame:
+    return spark.createDataFrame(list(model.importances().items()), "feature string, importance double")
 
 
-def fit_trees(df: DataFrame, y: str, columns: list[str], task: str = "regression", rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42, checks: Column | None = None):
-    """A fitted MLlib tree ensemble on the complete rows. Rows for which `checks` holds are not learnt from: boosting stops early once the
-    error on them falls no more. Class labels are whole numbers from 0."""
-    own = df.withColumn("_checks", F.coalesce(checks, F.lit(False)) if checks is not None else F.lit(False))
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(own.dropna(subset=[*columns, y]).withColumn("_y", F.col(y).cast("double")))
-    classes = rows.select("_y").distinct().count() if task != "regression" else 0
-    learner = _learner(task, classes, rounds, depth, rate, seed)
-    if checks is None or not learner.hasParam("validationIndicatorCol") or not rows.where("_checks").limit(1).count():
-        return learner.fit(rows.where("not _checks").select("_x", "_y"))
-    return learner.setValidationIndicatorCol("_checks").fit(rows.select("_x", "_y", "_checks"))
+def fold_models(df: DataFrame, y: str, columns: list[str], task: str = "regression", folds: int = 5, least_train: int = 200, cpcv: tuple[int, int] | None = None, purge: int = 50, embargo: int = 100, **fit) -> list[Ensemble]:
+    """An ensemble for each combinatorial (cpcv: groups and how many to leave out) or else expanding fold with enough rows; each fold's test
+    rows end its boosting. Without such folds one ensemble learns from all rows. All folds grow in the same passes, and rows are not copied:
+    they carry the folds as bits."""
+    roles = cpcv_roles(*cpcv, purge, embargo) if cpcv else expanding_roles(folds, least_train)
+    rows = fold_bits(df, roles)
+    found = boost(rows, y, columns, task, [(has_bit("train_bits", i), has_bit("test_bits", i)) for i in range(len(roles))], **fit)
+    enough = lambda m: m.metrics.get("train", {}).get("n", 0) >= max(10, least_train) and m.metrics.get("check", {}).get("n", 0) >= max(5, least_train // 5)
+    return [m for m in found if enough(m)] or boost(df, y, columns, task, **fit)
 
 
-def importances_of(spark: SparkSession, model, columns: list[str]) -> DataFrame:
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+def fold_metrics(spark: SparkSession, models: list[Ensemble]) -> DataFrame:
+    """(fold, part, metric, value) of ensembles: errors or class metrics of the rows learnt from and the rows that check, and the number of trees."""
+    rows = [(i, part, name, float(v)) for i, m in enumerate(models) for part, values in m.metrics.items() for name, v in values.items()]
+    rows += [(i, "train", "trees", float(len(m.trees))) for i, m in enumerate(models)]
+    return spark.createDataFrame(rows, "fold int, part string, metric string, value double")
 
 
-def embedded_select(df: DataFrame, y: str, columns: list[str], task: str = "regression", folds: int = 3, rule: str | float = "median", k: int | None = None, cpcv: tuple[int, int] | None = None, **fit) -> DataFrame:
-    """(feature, importance, kept): tree importances averaged over expanding (or combinatorial) folds, kept from the threshold on. Each fold's
-    test rows stop its boosting early."""
+def mean_importances(spark: SparkSession, models: list[Ensemble]) -> DataFrame:
+    each = [m.importances() for m in models]
+    return spark.createDataFrame([(c, float(np.mean([e[c] for e in each]))) for c in models[0].columns], "feature string, importance double")
+
+
+def embedded_select(df: DataFrame, y: str, columns: list[str], task: str = "regression", rule: str | float = "median", k: int | None = None, **fit) -> DataFrame:
+    """(feature, importance, kept): importances averaged over the folds of `fold_models`, kept from the threshold on."""
     spark = df.sparkSession
-    split = cpcv_splits(df, *cpcv).withColumnRenamed("combo", "fold") if cpcv else expanding_splits(df, folds)
-    ids = [r["fold"] for r in split.select("fold").distinct().orderBy("fold").collect()]
-    parts = [importances_of(spark, fit_trees(split.where((F.col("fold") == i) & F.col("role").isin("train", "test")), y, columns, task, checks=F.col("role") == "test", **fit), columns) for i in ids]
-    parts = parts or [importances_of(spark, fit_trees(df, y, columns, task, **fit), columns)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    mean = every.groupBy("feature").agg(F.avg("importance").alias("importance"))
+    mean = mean_importances(spark, fold_models(df, y, columns, task, **fit))
     cut = importance_threshold(mean, rule)
     top = [r["feature"] for r in mean.where(F.col("importance") >= cut).orderBy(F.desc("importance"), "feature").limit(k or len(columns)).collect()]
     return mean.withColumn("kept", F.col("feature").isin(top))
 
 
-def stability_select(df: DataFrame, y: str, columns: list[str], share: float = 0.65, folds: int = 3, **fit) -> DataFrame:
+def stability_select(df: DataFrame, y: str, columns: list[str], share: float = 0.65, **fit) -> DataFrame:
     """(feature, share, kept): features whose importance is at least the median in that share of the folds."""
-    split = expanding_splits(df, folds)
-    ids = [r["fold"] for r in split.select("fold").distinct().collect()]
-    every = None
-    for i in ids:
-        one = importances_of(df.sparkSession, fit_trees(split.where((F.col("fold") == i) & (F.col("role") == "train")), y, columns, **fit), columns)
-        one = one.withColumn("hit", (F.col("importance") >= importance_threshold(one)).cast("double"))
-        every = one if every is None else every.union(one)
-    return every.groupBy("feature").agg(F.avg("hit").alias("share")).withColumn("kept", F.col("share") >= share)
+    spark, hits = df.sparkSession, dict.fromkeys(columns, 0)
+    models = fold_models(df, y, columns, **fit)
+    for m in models:
+        own = m.importances()
+        cut = np.median([v for v in own.values() if v > 0] or [0.0])
+        for c, v in own.items():
+            hits[c] += v > 0 and v >= cut
+    return spark.createDataFrame([(c, float(n / len(models)), bool(n / len(models) >= share)) for c, n in hits.items()], "feature string, share double, kept boolean")
 
 
 def mrmr(relevance: dict[str, float], redundancy: dict[tuple[str, str], float], k: int = 30) -> list[str]:
@@ -185,12 +177,13 @@ def mrmr(relevance: dict[str, float], redundancy: dict[tuple[str, str], float],
 
 
 def importance_rank(df: DataFrame, y: str, columns: list[str], k: int = 50, task: str = "classification", **fit) -> DataFrame:
-    return importances_of(df.sparkSession, fit_trees(df, y, columns, task, **fit), columns).orderBy(F.desc("importance"), "feature").limit(k)
+    """(feature, importance): the k highest of one ensemble over all rows."""
+    return importances_of(df.sparkSession, boost(df, y, columns, task, **fit)[0]).orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def select_features(df: DataFrame, y: str, columns: list[str], least: float = 0.0, k: int = 80, vif: float = 5.0, nmi: float = 0.5, task: str = "regression", **fit) -> DataFrame:
+def select_features(df: DataFrame, y: str, columns: list[str], least: float = 0.5, k: int = 80, vif: float = 5.0, nmi: float = 0.1, clusters: float | None = None, task: str = "regression", **fit) -> DataFrame:
     """(stage, feature, score, kept): dependence, score filter, variance inflation, redundancy and trees, in this order. Features without a
-    score count as zero and are listed."""
+    score count as zero and are listed. With `clusters` redundant features are clustered at that threshold instead of dropped pair by pair."""
     spark = df.sparkSession
     scores = {r["feature"]: r["score"] for r in dcor_scores(df, y, columns).collect()}
     out = [("dcor", c, scores.get(c), c in scores) for c in columns]
@@ -201,7 +194,7 @@ def select_features(df: DataFrame, y: str, columns: list[str], least: float = 0.
         rows = vif_select(df, sorted(live), vif).collect()
         out += [("vif", r["feature"], r["vif"], r["kept"]) for r in rows]
         live = [r["feature"] for r in rows if r["kept"]]
-        rows = mi_redundancy(df, sorted(live), scores, nmi).collect()
+        rows = (mi_redundancy(df, sorted(live), scores, nmi) if clusters is None else mi_clusters(df, sorted(live), scores, clusters)).collect()
         out += [("redundancy", r["feature"], scores.get(r["feature"]), r["kept"]) for r in rows]
         live = [r["feature"] for r in rows if r["kept"]]
     if live:
@@ -210,12 +203,15 @@ def select_features(df: DataFrame, y: str, columns: list[str], least: float = 0.
     return spark.createDataFrame(out, "stage string, feature string, score double, kept boolean")
 
 
-def post_selection_check(df: DataFrame, y: str, every: list[str], kept: list[str], **fit) -> DataFrame:
-    """(n_before, n_after, r2_before, r2_after, drop, reduction) of ensembles with all features and with the kept ones, on the last fifth."""
-    from serieslab.operators.model import evaluate, train_final
-
-    a, b = (evaluate(train_final(df, y, c, **fit)[1]).where("split = 'test'").first()["r2"] for c in (every, kept))
-    return df.sparkSession.createDataFrame([(len(every), len(kept), a, b, (a or 0.0) - (b or 0.0), 1 - len(kept) / len(every))], "n_before int, n_after int, r2_before double, r2_after double, drop double, reduction double")
+def post_selection_check(df: DataFrame, y: str, every: list[str], kept: list[str], task: str = "regression", **fit) -> DataFrame:
+    """(n_before, n_after, score_before, score_after, drop, reduction_pct, efficiency) of ensembles with all features and with the kept ones, over
+    the same folds. The score is the mean R2 (classes: F1) of the rows that check, or without folds of the rows learnt from; efficiency is the
+    later score for each kept feature."""
+    name = "r2" if task == "regression" else "f1"
+    score = lambda ms: float(np.mean([m.metrics.get("check", m.metrics.get("train", {})).get(name, 0.0) for m in ms]))
+    a, b = (score(fold_models(df, y, c, task, **fit)) for c in (every, kept))
+    kind = "n_before int, n_after int, score_before double, score_after double, drop double, reduction_pct double, efficiency double"
+    return df.sparkSession.createDataFrame([(len(every), len(kept), a, b, a - b, 100 * (1 - len(kept) / len(every)), b / len(kept))], kind)
 
 
 def multi_target_sweep(df: DataFrame, targets: list[str], columns: list[str], **options) -> DataFrame:

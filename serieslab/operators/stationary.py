@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from serieslab.core import halo, lengths, ratio, trailing, windowed
+from serieslab.core import halo, lengths, matched, ratio, trailing, windowed, with_scalars
 from serieslab.operators.rolling import df_t
 
 
@@ -122,7 +122,7 @@ def variance_stabilised(df: DataFrame, x: str, kind: str = "log", name: str = "v
     low = df.groupBy("series").agg(F.min(x).alias("_low"))
     shift = F.when(F.col("_low") <= 0, F.abs("_low") + 1e-8).otherwise(F.lit(1e-8))
     made = {"log": F.log, "sqrt": F.sqrt, "boxcox": F.log}[kind](F.col(x) + shift)
-    return df.join(low, "series").withColumn(name, made).drop("_low")
+    return with_scalars(df, low).withColumn(name, made).drop("_low")
 
 
 def baxter_king_weights(k: int, low: float, high: float) -> list[float]:
@@ -145,9 +145,9 @@ def baxter_king(df: DataFrame, x: str, k: int = 12, low: float = 32, high: float
 def fill_borders(df: DataFrame, x: str, k: int, name: str) -> DataFrame:
     """The first and last k rows get the nearest valid value inside."""
     inside = (F.col("idx") >= k) & (F.col("idx") < F.col("n") - k) & F.col(x).isNotNull()
-    sized = df.join(lengths(df), "series")
+    sized = with_scalars(df, lengths(df))
     ends = sized.groupBy("series").agg(F.min_by(x, F.when(inside, F.col("idx"))).alias("_first"), F.max_by(x, F.when(inside, F.col("idx"))).alias("_last"))
-    out = sized.join(ends, "series")
+    out = with_scalars(sized, ends)
     value = F.when(F.col("idx") < k, F.col("_first")).when(F.col("idx") >= F.col("n") - k, F.col("_last")).otherwise(F.col(x))
     return out.withColumn(name, value).drop("n", "_first", "_last")
 
@@ -156,7 +156,7 @@ def seasonal_decompose(df: DataFrame, x: str, period: int) -> DataFrame:
     """trend (trailing mean), seasonal (mean of what is left at the same place of the period) and resid."""
     t = windowed(df, {"trend": lambda w: F.avg(x).over(trailing(w, period))}, back=period - 1).withColumn("_place", F.col("idx") % period)
     means = t.groupBy("series", "_place").agg(F.avg(F.col(x) - F.col("trend")).alias("seasonal"))
-    return t.join(means, ["series", "_place"]).withColumn("resid", F.col(x) - F.col("trend") - F.col("seasonal")).drop("_place")
+    return t.transform(with_scalars, means, "inner", ["series", "_place"]).withColumn("resid", F.col(x) - F.col("trend") - F.col("seasonal")).drop("_place")
 
 
 def spectral_features(df: DataFrame, x: str, block: int = 256) -> DataFrame:
@@ -219,4 +219,4 @@ def rolling_modes(df: DataFrame, x: str, window: int = 500, step: int = 50, emba
     found = spread.groupBy("series", "anchor").applyInPandas(last_values, f"series {dict(df.dtypes)['series']}, anchor bigint, modes array<double>")
     at = (F.col("idx") - window - F.pmod(F.col("idx") - window, F.lit(step))) + window
     rows = df.select("series", "idx", at.alias("anchor")).where((F.col("idx") >= window) & (F.col("idx") - F.col("anchor") >= embargo))
-    return rows.join(found, ["series", "anchor"]).select("series", "idx", "modes")
+    return matched(rows, found, ["series", "anchor"]).select("series", "idx", "modes")

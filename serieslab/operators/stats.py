@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import halo, materialise, quantiles, ratio, safe_corr, trailing, unpivoted, windowed
+from serieslab.core import halo, matched, materialise, quantiles, ratio, safe_corr, trailing, unpivoted, windowed, with_scalars
 from serieslab.operators.rolling import df_t
 from serieslab.operators.stationary import fracdiff_grid, spectral_features, stepped_p, variance_stabilised
 
@@ -26,7 +26,7 @@ def variance_ratio(df: DataFrame, x: str, lags: tuple[int, ...] = (2, 4, 8, 16),
     base = d.groupBy("series").agg(F.var_pop("_d").alias("_v"), F.count("_d").alias("_n"))
     each = d.select("series", "idx", "_d", F.explode(F.array(*[F.lit(q) for q in lags])).alias("q"))
     sums = each.groupBy("series", "q", F.floor((F.col("idx") - 1) / F.col("q")).alias("_g")).agg(F.sum("_d").alias("_s"), F.count("*").alias("_c")).where("_c = q")
-    by_q = sums.groupBy("series", "q").agg(F.var_pop("_s").alias("_vq")).join(base, "series").where("_n >= 2 * q and _v > 0")
+    by_q = sums.groupBy("series", "q").agg(F.var_pop("_s").alias("_vq")).transform(matched, base, "series").where("_n >= 2 * q and _v > 0")
     out = by_q.groupBy("series").agg(F.avg(F.col("_vq") / (F.col("q") * F.col("_v"))).alias("ratio"), F.first("_n").alias("_n")).where(F.col("_n") + 1 >= least)
     return out.select("series", "ratio", (F.abs(F.col("ratio") - 1) < 0.1).alias("stationary"))
 
@@ -47,7 +47,7 @@ def summaries(df: DataFrame, columns: list[str], mask: Column | None = None) ->
         F.skewness("value").alias("skew"), (F.kurtosis("value") + 3).alias("kurt"),
     )
     middle = quantiles(rows, "value", ["series", "feature"], [0.5], "_q").select("series", "feature", F.col("_q")[0].alias("median"))
-    return out.join(middle, ["series", "feature"])
+    return matched(out, middle, ["series", "feature"])
 
 
 def autocorr(df: DataFrame, x: str, lags: list[int]) -> DataFrame:
@@ -66,11 +66,11 @@ def trend_strength(df: DataFrame, x: str) -> DataFrame:
 def hist_entropy(df: DataFrame, x: str, most: int = 50) -> DataFrame:
     """(series, bins, entropy) of an equal-width histogram of min(most, n / 10) bins, the last one closed."""
     edge = df.groupBy("series").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.least(F.lit(most), F.floor(F.count(x) / 10)).cast("int").alias("bins")).where("bins > 0 and _hi > _lo")
-    binned = df.where(F.col(x).isNotNull()).join(edge, "series").withColumn("_b", F.least(F.floor((F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("bins")), F.col("bins") - 1))
+    binned = df.where(F.col(x).isNotNull()).transform(with_scalars, edge).withColumn("_b", F.least(F.floor((F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("bins")), F.col("bins") - 1))
     counts = binned.groupBy("series", "bins", "_b").agg(F.count("*").alias("_c"))
     total = counts.groupBy("series").agg(F.sum("_c").alias("_n"))
     p = F.col("_c") / F.col("_n")
-    return counts.join(total, "series").groupBy("series", "bins").agg((-F.sum(p * F.log(p + 1e-9))).alias("entropy"))
+    return matched(counts, total, "series").groupBy("series", "bins").agg((-F.sum(p * F.log(p + 1e-9))).alias("entropy"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], least: int = 10, size: int = 50_000) -> DataFrame:
@@ -79,7 +79,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], least: int = 10, size:
     Each bucket of rows gives matrices of counts, sums and products of the values less their mean; these are added up by series."""
     p, kind = len(columns), dict(df.dtypes)["series"]
     means = df.groupBy("series").agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
-    rows = df.join(means, "series").select("series", F.floor(F.col("idx") / size).alias("_bucket"), *[(F.col(c) - F.col(f"_m{i}")).alias(f"v{i}") for i, c in enumerate(columns)])
+    rows = with_scalars(df, means).select("series", F.floor(F.col("idx") / size).alias("_bucket"), *[(F.col(c) - F.col(f"_m{i}")).alias(f"v{i}") for i, c in enumerate(columns)])
     above = np.triu_indices(p, 1)
 
     def products(g: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +115,7 @@ def adf_test(df: DataFrame, x: str, lags: int | None = None, trend: bool = True,
     own = F.lit(lags) if lags is not None else F.floor(12 * F.pow(F.col("_n") / 100, F.lit(0.25)))
     counts = materialise(df.where(F.col(x).isNotNull()).groupBy("series").agg(F.count("*").alias("_n")).select("series", own.cast("int").alias("_lags")))
     most = counts.agg(F.max("_lags")).first()[0] or 0
-    rows = halo(df.select("series", "idx", F.col(x).cast("double").alias("_x")), back=most + 1).join(counts, "series")
+    rows = halo(df.select("series", "idx", F.col(x).cast("double").alias("_x")), back=most + 1).transform(with_scalars, counts)
 
     def products(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")

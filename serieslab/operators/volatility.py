@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import lengths, quantiles, ratio, windowed, with_row_index
+from serieslab.core import lengths, matched, quantiles, ratio, windowed, with_row_index, with_scalars
 from serieslab.operators.stationary import anchors
 from serieslab.operators.stats import autocorr, jarque_bera, moments
 
@@ -19,7 +19,7 @@ def log_returns(df: DataFrame, p: str, most: int | None = None) -> DataFrame:
     rows = with_row_index(df.where(F.col(p) > 0).select("series", F.col("idx").alias("_i"), p), ["series"], ["_i"]).drop("_i")
     if most:
         first = F.greatest(F.col("n") - most, F.lit(0))
-        rows = rows.join(lengths(rows), "series").where(F.col("idx") >= first).withColumn("idx", F.col("idx") - first).drop("n")
+        rows = with_scalars(rows, lengths(rows)).where(F.col("idx") >= first).withColumn("idx", F.col("idx") - first).drop("n")
     r = windowed(rows, {"r": lambda w: F.log(F.col(p) / F.lag(p).over(w))}, back=1).where("idx > 0")
     return r.select("series", (F.col("idx") - 1).alias("idx"), "r")
 
@@ -91,7 +91,7 @@ def garch_rolling(df: DataFrame, p: str, window: int = 1000, step: int = 100, em
     found = anchors(rows, window, step).groupBy("series", "anchor").applyInPandas(fit, f"series {dict(df.dtypes)['series']}, anchor bigint, omega double, alpha double, beta double")
     at = F.floor((F.col("idx") - window) / step) * step + window
     own = df.select("series", "idx", at.alias("anchor")).where((F.col("idx") >= window) & (F.col("idx") - F.col("anchor") >= embargo))
-    return own.join(found, ["series", "anchor"]).select("series", "idx", "omega", "alpha", "beta", (F.col("alpha") + F.col("beta")).alias("persistence"))
+    return matched(own, found, ["series", "anchor"]).select("series", "idx", "omega", "alpha", "beta", (F.col("alpha") + F.col("beta")).alias("persistence"))
 
 
 def conditional_variance(r: DataFrame, fits: DataFrame, size: int = 20_000) -> DataFrame:
@@ -100,7 +100,7 @@ def conditional_variance(r: DataFrame, fits: DataFrame, size: int = 20_000) -> D
     A bucket of rows turns the variance before it into scale * h + shift; these pairs are composed along the buckets, then each bucket
     starts from its own value. A task holds a bucket of rows, or one pair for each bucket of a series."""
     var = r.groupBy("series").agg(F.var_pop("r").alias("h0"))
-    rows = r.join(fits.select("series", "omega", "alpha", "beta"), "series").join(var, "series").withColumn("_b", F.floor(F.col("idx") / size))
+    rows = r.transform(with_scalars, fits.select("series", "omega", "alpha", "beta")).transform(with_scalars, var).withColumn("_b", F.floor(F.col("idx") / size))
     kind = dict(r.dtypes)["series"]
 
     def summary(g: pd.DataFrame) -> pd.DataFrame:
@@ -132,7 +132,7 @@ def conditional_variance(r: DataFrame, fits: DataFrame, size: int = 20_000) -> D
             h = w + a * x * x + b * h
         return pd.DataFrame({"series": g["series"], "idx": g["idx"], "r": g["r"], "h": out})
 
-    return rows.join(starts, ["series", "_b"]).groupBy("series", "_b").applyInPandas(run, f"series {kind}, idx bigint, r double, h double")
+    return matched(rows, starts, ["series", "_b"]).groupBy("series", "_b").applyInPandas(run, f"series {kind}, idx bigint, r double, h double")
 
 
 def garch_loglik(path: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def vol_statistics(path: DataFrame) -> DataFrame:
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.skewness("v").alias("skew"), (F.kurtosis("v") + 3).alias("kurt"), F.min("v").alias("min"), F.max("v").alias("max"),
     )
     q = quantiles(v, "v", ["series"], [0.5, 0.25, 0.75], "_q").select("series", *[F.col("_q")[i].alias(n) for i, n in enumerate(("median", "q25", "q75"))])
-    out = out.join(q, "series")
+    out = matched(out, q, "series")
     return out.withColumns({"range": F.col("max") - F.col("min"), "cv": F.when(F.col("mean") > 0, F.col("std") / F.col("mean"))})
 
 
@@ -157,7 +157,7 @@ def vol_autocorr(path: DataFrame) -> DataFrame:
 def residual_stats(path: DataFrame) -> DataFrame:
     """Moments and Jarque-Bera of r over its volatility; rows without volatility are left out."""
     z = path.withColumn("z", ratio(F.col("r"), F.sqrt("h")))
-    return moments(z, "z").join(jarque_bera(z, "z"), "series")
+    return moments(z, "z").transform(matched, jarque_bera(z, "z"), "series")
 
 
 def vol_forecast(path: DataFrame, fits: DataFrame, horizons: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
@@ -165,7 +165,7 @@ def vol_forecast(path: DataFrame, fits: DataFrame, horizons: tuple[int, ...] = (
     long-run level."""
     last = path.groupBy("series").agg(F.max_by("h", "idx").alias("_h"))
     long_run = ratio(F.col("omega"), 1 - F.col("persistence"))
-    each = last.join(fits, "series").withColumn("horizon", F.explode(F.array(*[F.lit(k) for k in horizons])))
+    each = matched(last, fits, "series").withColumn("horizon", F.explode(F.array(*[F.lit(k) for k in horizons])))
     return each.select("series", "horizon", F.sqrt(long_run + F.pow("persistence", "horizon") * (F.col("_h") - long_run)).alias("vol"))
 
 
@@ -175,5 +175,5 @@ def vol_diagnostics(path: DataFrame, fits: DataFrame) -> DataFrame:
     lag1 = autocorr(path.withColumn("v", F.sqrt("h")), "v", [1]).select("series", F.col("r").alias("clustering"))
     p = F.col("persistence")
     own = fits.select("series", (1 - p).alias("reversion"), F.when((p > 0) & (p < 1), F.log(F.lit(0.5)) / F.log(p)).alias("half_life"))
-    return signs.join(lag1, "series").join(own, "series")
+    return matched(matched(signs, lag1, "series"), own, "series")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from serieslab.core import materialise, shared_dir, table, windowed
@@ -13,6 +12,7 @@ from serieslab.operators import metrics as M
 from serieslab.operators import model as N
 from serieslab.operators import selection as S
 from serieslab.operators import volatility as V
+from serieslab.operators.boosting import predicted
 from serieslab.operators.sampling import time_split
 from serieslab.plans.frames import D, L, P, events_series, forecasts, line_series, rounded, scored_documents
 
@@ -149,17 +149,38 @@ def _wide(s, f, n: int = 64):
 
 
 _add("vif_select", lambda s, f: rounded(S.vif_select(*_wide(s, f)), 4))
-_add("mi_redundancy", lambda s, f: (lambda d, c: S.mi_redundancy(d, c, {}, 0.3, 16))(*_wide(s, f)))
-_add("mi_clusters", lambda s, f: (lambda d, c: S.mi_clusters(d, c, {}, 0.6, 16))(*_wide(s, f)))
-_fit = {"rounds": 5, "depth": 3}
-_add("embedded_select", lambda s, f: (lambda d, c: rounded(S.embedded_select(d, "y", c, folds=2, **_fit)))(*_wide(s, f)))
-_add("stability_select", lambda s, f: (lambda d, c: rounded(S.stability_select(d, "y", c, folds=2, **_fit)))(*_wide(s, f)))
-_add("importance_rank", lambda s, f: (lambda d, c: rounded(S.importance_rank(d.withColumn("y", (F.col("y") % 2)), "y", c, 5, **_fit)))(*_wide(s, f)))
-_add("select_features", lambda s, f: (lambda d, c: rounded(S.select_features(d, "y", c, task="regression", folds=2, **_fit), 4))(*_wide(s, f)))
-_add("post_selection_check", lambda s, f: (lambda d, c: rounded(S.post_selection_check(d, "y", c, c[:4], **_fit), 4))(*_wide(s, f)))
-_add("train_final", lambda s, f: (lambda d, c: rounded(N.train_final(d, "y", c, **_fit)[1], 4))(*_wide(s, f)))
-_add("evaluate_final", lambda s, f: rounded(N.evaluate(time_split(forecasts(s, f)).withColumnRenamed("p", "prediction")), 4),
-     f"WITH {P}, s AS (SELECT *, CASE WHEN idx < floor(count(*) OVER (PARTITION BY series) * 0.8) THEN 'train' ELSE 'test' END AS split FROM p) SELECT split, count(*) AS n, round(avg((y - p) ** 2), 4) AS mse, round(1 - avg((y - p) ** 2) / var_pop(y), 4) AS r2, round(1 - avg((y - p) ** 2) / avg(y ** 2), 4) AS skill_zero, round(1 - avg((y - p) ** 2) / avg(y ** 2), 4) AS primary FROM s GROUP BY split".replace(" AS primary", ' AS "primary"'))
+def _scored(s, f):
+    """The wide table, its columns, and their dependence on the label."""
+    df, columns = _wide(s, f)
+    return df, columns, {r["feature"]: r["score"] for r in C.pearson_prefilter(df, "y", columns).collect()}
+
+
+_add("mi_redundancy", lambda s, f: S.mi_redundancy(*_scored(s, f), 0.1))
+_add("mi_clusters", lambda s, f: S.mi_clusters(*_scored(s, f), 0.3))
+# trees grow with the parameters in force; the score filter lets all features pass, so that the later stages have work
+_add("embedded_select", lambda s, f: (lambda d, c: rounded(S.embedded_select(d, "y", c, least_train=10)))(*_wide(s, f)))
+_add("fold_metrics", lambda s, f: (lambda d, c: rounded(S.fold_metrics(s, S.fold_models(d, "y", c, least_train=10))))(*_wide(s, f)))
+_add("stability_select", lambda s, f: (lambda d, c: rounded(S.stability_select(d, "y", c, least_train=10)))(*_wide(s, f)))
+_add("importance_rank", lambda s, f: (lambda d, c: rounded(S.importance_rank(d.withColumn("y", (F.col("y") % 2)), "y", c)))(*_wide(s, f)))
+_add("select_features", lambda s, f: (lambda d, c: rounded(S.select_features(d, "y", c, least=0.0, clusters=0.3, least_train=10), 4))(*_wide(s, f)))
+_add("post_selection_check", lambda s, f: (lambda d, c: rounded(S.post_selection_check(d, "y", c, c[:4], least_train=10), 4))(*_wide(s, f)))
+_add("train_final", lambda s, f: (lambda d, c: rounded(N.train_final(d, "y", c)[1], 4))(*_wide(s, f)))
+_mid = lambda x: f"(rank() OVER (PARTITION BY split ORDER BY {x}) + (count(*) OVER (PARTITION BY split, {x}) - 1) / 2.0)::DOUBLE"
+_add(
+    "evaluate_final", lambda s, f: rounded(N.evaluate(time_split(forecasts(s, f)).withColumnRenamed("p", "prediction")), 4),
+    f"WITH {P}, s AS (SELECT *, CASE WHEN idx < floor(count(*) OVER (PARTITION BY series) * 0.8) THEN 'train' ELSE 'test' END AS split FROM p), i AS (SELECT split, corr(a, b) AS ic FROM (SELECT split, {_mid('y')} AS a, {_mid('p')} AS b FROM s) GROUP BY split) "
+    "SELECT split, count(*) AS n, round(avg((y - p) ** 2), 4) AS mse, round(avg(abs(y - p)), 4) AS mae, round(1 - avg((y - p) ** 2) / var_pop(y), 4) AS r2, round(1 - avg((y - p) ** 2) / avg(y ** 2), 4) AS skill_zero, round(any_value(ic), 4) AS ic, "
+    'round(avg(p), 4) AS pred_mean, round(stddev_pop(p), 4) AS pred_std, round(avg(y), 4) AS target_mean, round(stddev_pop(y), 4) AS target_std, round(1 - avg((y - p) ** 2) / avg(y ** 2), 4) AS "primary" FROM s JOIN i USING (split) GROUP BY split',
+)
+_cells = lambda e: f"sum(({e})::INTEGER)::DOUBLE"
+_add(
+    "evaluate_classes", lambda s, f: rounded(N.evaluate(scored_documents(s, f).select(F.col("series").alias("split"), "y", (F.col("s") > 0.02).cast("int").alias("prediction")), "classification")),
+    f"WITH {D}, a AS (SELECT series AS split, y, (s > 0.02)::INTEGER AS p FROM d), c AS (SELECT split, count(*)::DOUBLE AS n, avg(p) AS pm, stddev_pop(p) AS ps, avg(y) AS ym, stddev_pop(y) AS ys, {_cells('y = 1 AND p = 1')} AS tp, {_cells('y = 0 AND p = 1')} AS fp, {_cells('y = 1 AND p = 0')} AS fn, {_cells('y = 0 AND p = 0')} AS tn FROM a GROUP BY split), "
+    "k AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tn / nullif(tn + fn, 0), 0) AS p0, tp / nullif(tp + fn, 0) AS r1, tn / nullif(tn + fp, 0) AS r0 FROM c), "
+    "g AS (SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0 FROM k), w AS (SELECT *, (tp + fn) / n AS w1, (tn + fp) / n AS w0 FROM g) "
+    "SELECT split, n::BIGINT AS n, round((tp + tn) / n, 6) AS accuracy, round(p1 * w1 + p0 * w0, 6) AS precision, round(coalesce(r1, 0) * w1 + coalesce(r0, 0) * w0, 6) AS recall, round(f1 * w1 + f0 * w0, 6) AS f1, round(CASE WHEN w1 > 0 AND w0 > 0 THEN (r1 + r0) / 2 END, 6) AS auc, "
+    'round(pm, 6) AS pred_mean, round(ps, 6) AS pred_std, round(ym, 6) AS target_mean, round(ys, 6) AS target_std, round(f1 * w1 + f0 * w0, 6) AS "primary" FROM w',
+)
 
 
 # volatility: the path follows fixed parameters, so that SQL can check what is taken from it
@@ -205,12 +226,11 @@ _add(
 def _saved(s, f):
     """Predictions of a model that was saved and loaded again."""
     df, columns = _wide(s, f)
-    model, _ = N.train_final(df, "y", columns, **_fit)
+    model, _ = N.train_final(df, "y", columns)
     path = f"{shared_dir(s)}/model-{uuid.uuid4().hex}"
-    N.save_model(model, path, s.createDataFrame([("all", len(columns))], "series string, n_features int"))
+    N.save_model(s, model, path, s.createDataFrame([("all", len(columns))], "series string, n_features int"))
     loaded, meta = N.load_model(s, path)
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(df)
-    return rounded(loaded.transform(rows).select("idx", "prediction").join(F.broadcast(meta.select("n_features"))), 4)  # one row
+    return rounded(predicted(df, loaded).select("idx", "prediction").join(F.broadcast(meta.select("n_features"))), 4)  # one row
 
 
 _add("load_model", _saved)

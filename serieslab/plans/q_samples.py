@@ -59,17 +59,22 @@ _add(
 )
 
 
-def _cpcv(span: bool) -> str:
-    a, b = (_role(_start(g, 6), _start(g + " + 1", 6), 20, 30) for g in ("a", "b"))
-    gone = f"idx >= {_start('a', 6)} - 20 AND idx < {_start('b + 1', 6)} + 50" if span else f"{a} = 'purged' OR {b} = 'purged'"
+def _cpcv(span: bool, k: int = 6, purge: int = 20, embargo: int = 30) -> str:
+    a, b = (_role(_start(g, k), _start(g + " + 1", k), purge, embargo) for g in ("a", "b"))
+    gone = f"idx >= {_start('a', k)} - {purge} AND idx < {_start('b + 1', k)} + {purge + embargo}" if span else f"{a} = 'purged' OR {b} = 'purged'"
     return (
-        f"WITH {E}, {_n}, c AS (SELECT (row_number() OVER (ORDER BY a, b) - 1)::INTEGER AS combo, a, b FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b) WHERE a < b) "
+        f"WITH {E}, {_n}, c AS (SELECT (row_number() OVER (ORDER BY a, b) - 1)::INTEGER AS combo, a, b FROM (SELECT unnest(range({k})) AS a), (SELECT unnest(range({k})) AS b) WHERE a < b) "
         f"SELECT series, idx, combo, CASE WHEN {a} = 'test' OR {b} = 'test' THEN 'test' WHEN {gone} THEN 'purged' ELSE 'train' END AS role FROM n, c"
     )
 
 
 _add("cpcv_splits", _events(lambda d: P.cpcv_splits(d, 6, 2, 20, 30), "series", "idx", "combo", "role"), _cpcv(False))
 _add("cpcv_splits_span", _events(lambda d: P.cpcv_splits(d, 6, 2, 20, 30, True), "series", "idx", "combo", "role"), _cpcv(True))
+_bits = lambda r: f"sum(CASE WHEN role = '{r}' THEN 1::BIGINT << combo ELSE 0 END)::BIGINT AS {r}_bits"
+_add(
+    "fold_bits", _events(lambda d: P.fold_bits(d, P.cpcv_roles()), "series", "idx", "train_bits", "test_bits", "purged_bits"),
+    f"SELECT series, idx, {_bits('train')}, {_bits('test')}, {_bits('purged')} FROM ({_cpcv(False, 10, 50, 100)}) GROUP BY ALL",
+)
 # labels
 _add("forward_log_return", _events(lambda d: B.forward_log_return(d, "x", 10), "series", "idx", "y"), f"WITH {E} SELECT series, idx, round(CASE WHEN x > 0 AND lead(x, 10) {_o} > 0 THEN ln(lead(x, 10) {_o} / x) END, 6) AS y FROM e")
 _add("direction_label", _events(lambda d: B.direction_label(d, "x", 5), "series", "idx", "label"), f"WITH {E}, a AS (SELECT *, lead(x, 5) {_o} AS a FROM e) SELECT series, idx, (a > x)::INTEGER AS label FROM a WHERE a IS NOT NULL")

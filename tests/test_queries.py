@@ -6,16 +6,15 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from serieslab import catalogue
-from serieslab.operators import dependence, labels, metrics, model, rolling, sampling, selection, stationary, stats
+from serieslab.operators import dependence, labels, metrics, rolling, sampling, selection, stationary, stats
 from tests.test_series import column, frame
 
 QUERIES = catalogue.queries()
 #: Fits of trees or many resamples: run once.
-LONG = {"embedded_select", "stability_select", "importance_rank", "select_features", "post_selection_check", "train_final", "load_model", "multi_target_sweep", "flagship", "ic_bootstrap", "garch_fit", "garch_rolling", "dcor_scores", "dcor_permutation"}
+LONG = {"embedded_select", "fold_metrics", "stability_select", "importance_rank", "select_features", "post_selection_check", "train_final", "load_model", "multi_target_sweep", "flagship", "ic_bootstrap", "garch_fit", "garch_rolling", "dcor_scores", "dcor_permutation"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(catalogue.oracle_sql())))
@@ -194,17 +193,3 @@ def test_driver_is_the_longest_substring(spark):
     mapping = spark.createDataFrame([("spx", "a"), ("spx_d", "b"), ("DXY", "c")], "substring string, driver string")
     got = {r["feature"]: r["driver"] for r in labels.driver_of(features, mapping).collect()}
     assert got == {"SPX_dxy_1": "b", "xspx": "a", "none": None, "": None, None: None}
-
-
-def test_boosting_stops_early_and_rows_that_check_are_not_learnt(spark):
-    rng = np.random.default_rng(13)
-    x = rng.normal(size=400)
-    noise = wide(spark, np.column_stack([x, rng.normal(size=400)]), ["a", "y"])
-    assert selection.fit_trees(noise, "y", ["a"], rounds=15, checks=F.col("idx") >= 300).getNumTrees < 15
-    odd = wide(spark, np.column_stack([x, np.where(np.arange(400) < 300, x, x + 1000)]), ["a", "y"])
-    said = selection.fit_trees(odd, "y", ["a"], rounds=3, checks=F.col("idx") >= 300)
-    rows = VectorAssembler(inputCols=["a"], outputCol="_x").transform(odd)
-    assert said.transform(rows).agg(F.max("prediction")).first()[0] < 10
-    late = wide(spark, np.column_stack([np.where(np.arange(400) < 200, np.nan, x), x]), ["a", "y"])
-    _, split = model.train_final(late, "y", ["a"], rounds=2, depth=2)
-    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 160, "test": 40}
