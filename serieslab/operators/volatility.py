@@ -1,22 +1,28 @@
-"""GARCH(1,1): fits by grids of cells, filters by a two-level scan, and statistics of the conditional volatility."""
+"""GARCH(1,1): fits of greatest likelihood, filters by a two-level scan, and statistics of the conditional volatility."""
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.core import lengths, matched, quantiles, ratio, windowed, with_row_index, with_scalars
+from serieslab.core import BUCKET, lengths, matched, materialise, quantiles, ratio, windowed, with_row_index, with_scalars
 from serieslab.operators.stationary import anchors
 from serieslab.operators.stats import autocorr, jarque_bera, moments
 
 
+def _usable(p: str) -> Column:
+    """Positive and finite; null and NaN are not."""
+    return (F.col(p) > 0) & (F.col(p) < float("inf"))
+
+
 def log_returns(df: DataFrame, p: str, most: int | None = None) -> DataFrame:
     """(series, idx, r): log returns of the last `most` positive prices, numbered anew."""
-    rows = with_row_index(df.where(F.col(p) > 0).select("series", F.col("idx").alias("_i"), p), ["series"], ["_i"]).drop("_i")
+    rows = with_row_index(df.where(_usable(p)).select("series", F.col("idx").alias("_i"), p), ["series"], ["_i"]).drop("_i")
     if most:
         first = F.greatest(F.col("n") - most, F.lit(0))
         rows = with_scalars(rows, lengths(rows)).where(F.col("idx") >= first).withColumn("idx", F.col("idx") - first).drop("n")
@@ -24,74 +30,177 @@ def log_returns(df: DataFrame, p: str, most: int | None = None) -> DataFrame:
     return r.select("series", (F.col("idx") - 1).alias("idx"), "r")
 
 
-def _nll(r: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """Negative log-likelihood of every (omega, alpha, beta) at once."""
-    w, a, b = cells.T
-    h = np.full(len(cells), max(r.var(), 1e-12))
-    out = np.zeros(len(cells))
-    for x in r:
-        out += np.log(2 * np.pi * h) + x * x / h
-        h = np.maximum(w + a * x * x + b * h, 1e-12)
-    return out / 2
-
-
-def _cells(var: float, centre: tuple[float, float] | None, width: float, n: int) -> np.ndarray:
-    """Variance-targeted cells: persistence and the share of alpha in it, around a centre, omega = var (1 - persistence)."""
-    if centre is None:
-        p, s = np.linspace(0.02, 0.995, n), np.linspace(0.01, 0.7, n)
-    else:
-        p = np.clip(np.linspace(centre[0] - width, centre[0] + width, n), 1e-4, 0.9995)
-        s = np.clip(np.linspace(centre[1] - width * 0.7, centre[1] + width * 0.7, n), 0.0, 1.0)
-    p, s = (x.ravel() for x in np.meshgrid(p, s))
-    return np.stack([var * (1 - p), p * s, p * (1 - s)], 1)
-
-
-def fit_garch(r: np.ndarray, rounds: int = 4, n: int = 9) -> tuple[float, float, float, float]:
-    """(omega, alpha, beta, log-likelihood) by a refined grid with variance targeting; at most some thousands of returns."""
-    var, centre, width, best = max(float(r.var()), 1e-12), None, 0.12, None
-    for _ in range(rounds):
-        cells = _cells(var, centre, width, n)
-        nll = _nll(r, cells)
-        k = int(nll.argmin())
-        if best is None or nll[k] < best[3]:
-            best = (*cells[k], float(nll[k]))
-        p = best[1] + best[2]
-        centre, width = (p, best[1] / p if p else 0.0), width / 3
-    return best[0], best[1], best[2], -best[3]
+def decayed(x: np.ndarray, beta: float, start: float = 0.0) -> np.ndarray:
+    """y with y[0] = start and y[t + 1] = beta y[t] + x[t], by doubling: after k rounds each value holds the last 2^k terms of its sum."""
+    y, k, power = np.concatenate([[start], x]), 1, beta
+    while k < len(y) and power > 1e-300:
+        y[k:] += power * y[:-k].copy()
+        k, power = 2 * k, power * power
+    return y
+
+
+#: Bounds of a fit: persistence below 1, omega as a share of the variance; returns of a series that one task fits; steps of the search.
+MOST_PERSISTENCE, LOCAL_RETURNS, STEPS = 0.9999, 100_000, 200
+EMPTY = np.zeros(4)
+
+
+def parameters(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(omega in units of the variance, alpha, beta) of a point of the search, which has no bounds, and the derivatives (rows) by its parts."""
+    e = np.clip(u, -30, 30)
+    omega, p, share = np.exp(e[0]), MOST_PERSISTENCE / (1 + np.exp(-e[1])), 1 / (1 + np.exp(-e[2]))
+    dp, ds = p * (1 - p / MOST_PERSISTENCE), share * (1 - share)
+    return np.array([omega, p * share, p * (1 - share)]), np.array([[omega, 0, 0], [0, share * dp, (1 - share) * dp], [0, p * ds, -p * ds]])
+
+
+def state_map(z: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """What squared returns make of the variance and its three derivatives: where they lead from zeros. From a state s they lead to
+    beta^n s plus this, and the last derivative also gets n beta^(n - 1) times the variance."""
+    w, a, b = theta
+    h = decayed(w + a * z, b)
+    return np.array([h[-1], decayed(np.ones(len(z)), b)[-1], decayed(z, b)[-1], decayed(h[:-1], b)[-1]])
+
+
+def after(state: np.ndarray, made: np.ndarray, n: int, beta: float) -> np.ndarray:
+    out = beta**n * state + made
+    out[3] += n * beta ** (n - 1) * state[0]
+    return out
+
+
+def likelihood_sums(z: np.ndarray, theta: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Minus the log-likelihood without its constant, its gradient (3) and the information (9) of squared returns, from a state on."""
+    w, a, b = theta
+    h = np.maximum(decayed(w + a * z, b, state[0])[:-1], 1e-12)
+    d = np.stack([decayed(x, b, s)[:-1] for x, s in ((np.ones(len(z)), state[1]), (z, state[2]), (h, state[3]))]) / h
+    return np.concatenate([[0.5 * (np.log(h) + z / h).sum()], 0.5 * d @ (1 - z / h), (0.5 * d @ d.T).ravel()])
+
+
+class Search:
+    """Damped scoring steps to the least of the sums, whose value and slopes at `trial` the caller takes over all returns."""
+
+    def __init__(self, n: int, tolerance: float = 1e-6):
+        self.n, self.tolerance = n, tolerance
+        self.trial, self.at, self.damp, self.steps, self.done = np.log([0.05, 18.0, 0.06]), None, 1e-3, 0, False
+        self.value, self.slope, self.curve = np.inf, EMPTY[:3], np.eye(3)
+
+    def take(self, sums: np.ndarray) -> None:
+        _, jacobian = parameters(self.trial)
+        if sums[0] < self.value:
+            small = self.at is not None and self.value - sums[0] < 1e-13 * self.n
+            self.at, self.value, self.slope, self.curve = self.trial, sums[0], jacobian @ sums[1:4], jacobian @ sums[4:].reshape(3, 3) @ jacobian.T
+            self.damp = max(self.damp / 4, 1e-9)
+            self.done = bool(np.abs(self.slope).max() <= self.tolerance * self.n and small)
+        else:
+            self.damp *= 6
+            self.done = self.damp > 1e12 or bool(np.abs(self.slope).max() <= 1e-9 * self.n)
+        self.steps += 1
+        self.done |= self.steps >= STEPS
+        bend = np.diag(self.curve) + 1e-9 * self.n
+        self.trial = self.at + np.clip(np.linalg.solve(self.curve + self.damp * np.diag(bend), -self.slope), -2, 2)
+
+    def result(self, var: float) -> tuple[float, float, float, float]:
+        """(omega, alpha, beta, log-likelihood) of returns with this variance."""
+        w, a, b = parameters(self.at)[0]
+        return float(w * var), float(a), float(b), float(-self.value - 0.5 * self.n * np.log(2 * np.pi * var))
+
+
+def fit_garch(r: np.ndarray) -> tuple[float, float, float, float]:
+    """(omega, alpha, beta, log-likelihood) of greatest likelihood; the first variance is that of the returns."""
+    var = max(float(r.var()), 1e-300)
+    z, search = r * r / var, Search(len(r))
+    while not search.done:
+        search.take(likelihood_sums(z, parameters(search.trial)[0], np.array([1.0, 0, 0, 0])))
+    return search.result(var)
 
 
 FIT = "omega double, alpha double, beta double, loglik double, n bigint"
 
 
-def garch_fit(df: DataFrame, p: str, most: int = 10_000) -> DataFrame:
-    """(series, omega, alpha, beta, persistence, loglik, n, aic, bic, stationary) on the log returns of the last `most` prices; series under
-    100 prices are left out. A series is fitted in one task, on a bounded number of returns."""
-    r = log_returns(df, p, most)
+def _fit_long(r: DataFrame, facts: DataFrame, size: int) -> DataFrame:
+    """Fits of long series: their returns as a row of bytes for each bucket; a step is one pass that reduces buckets to what they make of
+    a state, and one that adds up the sums of buckets from the states that these lead to. The searches themselves are a table by series."""
+    kind = dict(r.dtypes)["series"]
+    cut = with_scalars(r, facts).select("series", F.floor(F.col("idx") / size).alias("b"), F.struct("idx", (F.col("r") * F.col("r") / F.col("var")).alias("z")).alias("x"))
+    rows = materialise(cut.groupBy("series", "b").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["z"]).alias("z")))
+
+    def begin(d: pd.DataFrame) -> pd.DataFrame:
+        return d.assign(search=[pickle.dumps(Search(n)) for n in d["n"]], done=False)
+
+    states = materialise(facts.mapInPandas(lambda ds: map(begin, ds), f"series {kind}, n bigint, var double, search binary, done boolean"))
+
+    def reduce_bucket(ds):
+        for d in ds:
+            made = [state_map(np.array(z), parameters(pickle.loads(s).trial)[0]) for z, s in zip(d["z"], d["search"], strict=True)]
+            yield pd.DataFrame({"series": d["series"], "b": d["b"], "n": d["z"].map(len), "made": [m.tolist() for m in made], "search": d["search"]})
+
+    def compose(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("b")
+        beta, state, out = parameters(pickle.loads(d["search"].iat[0]).trial)[0][2], np.array([1.0, 0, 0, 0]), []
+        for made, n in zip(d["made"], d["n"], strict=True):
+            out.append(state.tolist())
+            state = after(state, np.array(made), n, beta)
+        return pd.DataFrame({"series": d["series"], "b": d["b"], "state": out, "search": d["search"]})
+
+    def add(ds):
+        for d in ds:
+            made = [likelihood_sums(np.array(z), parameters(pickle.loads(s).trial)[0], np.array(at)) for z, s, at in zip(d["z"], d["search"], d["state"], strict=True)]
+            yield pd.DataFrame({"series": d["series"], "b": d["b"], "sums": [m.tolist() for m in made]})
+
+    def step(d: pd.DataFrame) -> pd.DataFrame:
+        search = pickle.loads(d["search"].iat[0])
+        search.take(np.sum(d.sort_values("b")["sums"].tolist(), axis=0))
+        return pd.DataFrame({"series": d["series"].iloc[:1], "n": d["n"].iloc[:1], "var": d["var"].iloc[:1], "search": [pickle.dumps(search)], "done": [search.done]})
+
+    while states.where("not done").limit(1).count():
+        live = states.where("not done")
+        maps = with_scalars(rows, live.select("series", "search")).mapInPandas(reduce_bucket, f"series {kind}, b bigint, n bigint, made array<double>, search binary")
+        starts = maps.groupBy("series").applyInPandas(compose, f"series {kind}, b bigint, state array<double>, search binary")
+        sums = with_scalars(rows, starts, keys=["series", "b"]).mapInPandas(add, f"series {kind}, b bigint, sums array<double>")
+        stepped = matched(sums, live, "series").groupBy("series").applyInPandas(step, f"series {kind}, n bigint, var double, search binary, done boolean")
+        states = materialise(states.where("done").unionByName(stepped))
+
+    def end(ds):
+        for d in ds:
+            found = [pickle.loads(s).result(v) for s, v in zip(d["search"], d["var"], strict=True)]
+            yield pd.DataFrame({"series": d["series"], **{c: [f[i] for f in found] for i, c in enumerate(("omega", "alpha", "beta", "loglik"))}, "n": d["n"]})
+
+    return states.mapInPandas(end, f"series {kind}, {FIT}")
+
+
+def garch_fit(df: DataFrame, p: str, most: int | None = 10_000, local: int = LOCAL_RETURNS, size: int = BUCKET) -> DataFrame:
+    """(series, omega, alpha, beta, persistence, loglik, n, aic, bic, stationary) of greatest likelihood, on the log returns of the last `most`
+    prices (None: of all); missing prices are skipped, series under 100 prices are left out. Series of up to `local` returns are fitted in a
+    task each; longer ones by passes over buckets of rows."""
+    r = materialise(log_returns(df, p, most))
+    facts = r.groupBy("series").agg(F.count("*").alias("n"), F.greatest(F.var_pop("r"), F.lit(1e-300)).alias("var")).where("n >= 99")
+    facts = materialise(facts)
+    kind = dict(df.dtypes)["series"]
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         v = g.sort_values("idx")["r"].to_numpy(float)
-        if len(v) < 99:
-            return pd.DataFrame(columns=["series", "omega", "alpha", "beta", "loglik", "n"])
         return pd.DataFrame([(g["series"].iat[0], *fit_garch(v), len(v))], columns=["series", "omega", "alpha", "beta", "loglik", "n"])
 
-    out = r.groupBy("series").applyInPandas(fit, f"series {dict(df.dtypes)['series']}, {FIT}")
+    out = with_scalars(r, facts.where(F.col("n") <= local).select("series")).groupBy("series").applyInPandas(fit, f"series {kind}, {FIT}")
+    long = facts.where(F.col("n") > local)
+    if long.limit(1).count():
+        out = out.unionByName(_fit_long(r, long, size))
     return out.withColumns({"persistence": F.col("alpha") + F.col("beta"), "aic": 6 - 2 * F.col("loglik"), "bic": 3 * F.log("n") - 2 * F.col("loglik")}).withColumn("stationary", F.col("persistence") < 1)
 
 
-def garch_rolling(df: DataFrame, p: str, window: int = 1000, step: int = 100, embargo: int = 0) -> DataFrame:
-    """(series, idx, omega, alpha, beta, persistence) for rows [anchor + embargo, anchor + step), fitted on the window before the anchor."""
-    rows = df.where(F.col(p) > 0).select("series", "idx", p)
+def garch_rolling(df: DataFrame, p: str, window: int = 1000, step: int = 100, embargo: int = 0, least: int = 50) -> DataFrame:
+    """(series, idx, omega, alpha, beta, persistence) for rows [anchor + embargo, anchor + step), fitted on the rows [anchor - window, anchor). A
+    missing or non-positive price is skipped, the return over it counts once; windows with fewer than `least` returns give no rows."""
+    rows = df.select("series", "idx", F.when(_usable(p), F.col(p).cast("double")).alias("p"))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        v = np.diff(np.log(g.sort_values("idx")[p].to_numpy(float)))
-        if len(v) < window - 1:
+        v = np.diff(np.log(g.sort_values("idx")["p"].dropna().to_numpy(float)))
+        if len(g) < window or len(v) < least:
             return pd.DataFrame(columns=["series", "anchor", "omega", "alpha", "beta"])
-        return pd.DataFrame([(g["series"].iat[0], int(g["anchor"].iat[0]), *fit_garch(v, 3, 7)[:3])], columns=["series", "anchor", "omega", "alpha", "beta"])
+        return pd.DataFrame([(g["series"].iat[0], int(g["anchor"].iat[0]), *fit_garch(v)[:3])], columns=["series", "anchor", "omega", "alpha", "beta"])
 
     found = anchors(rows, window, step).groupBy("series", "anchor").applyInPandas(fit, f"series {dict(df.dtypes)['series']}, anchor bigint, omega double, alpha double, beta double")
     at = F.floor((F.col("idx") - window) / step) * step + window
     own = df.select("series", "idx", at.alias("anchor")).where((F.col("idx") >= window) & (F.col("idx") - F.col("anchor") >= embargo))
-    return matched(own, found, ["series", "anchor"]).select("series", "idx", "omega", "alpha", "beta", (F.col("alpha") + F.col("beta")).alias("persistence"))
+    return with_scalars(own, found, keys=["series", "anchor"]).select("series", "idx", "omega", "alpha", "beta", (F.col("alpha") + F.col("beta")).alias("persistence"))
 
 
 def conditional_variance(r: DataFrame, fits: DataFrame, size: int = 20_000) -> DataFrame:
@@ -106,9 +215,7 @@ def conditional_variance(r: DataFrame, fits: DataFrame, size: int = 20_000) -> D
     def summary(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
         w, a, b = (float(g[c].iat[0]) for c in ("omega", "alpha", "beta"))
-        shift = 0.0
-        for x in g["r"].to_numpy(float):
-            shift = w + a * x * x + b * shift
+        shift = decayed(w + a * g["r"].to_numpy(float) ** 2, b)[-1]
         return pd.DataFrame([(g["series"].iat[0], int(g["_b"].iat[0]), b ** len(g), shift, float(g["h0"].iat[0]))], columns=["series", "_b", "scale", "shift", "h0"])
 
     pairs = rows.groupBy("series", "_b").applyInPandas(summary, f"series {kind}, _b bigint, scale double, shift double, h0 double")
@@ -126,10 +233,7 @@ def conditional_variance(r: DataFrame, fits: DataFrame, size: int = 20_000) -> D
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
         w, a, b, h = (float(g[c].iat[0]) for c in ("omega", "alpha", "beta", "start"))
-        out = np.empty(len(g))
-        for i, x in enumerate(g["r"].to_numpy(float)):
-            out[i] = h
-            h = w + a * x * x + b * h
+        out = decayed(w + a * g["r"].to_numpy(float) ** 2, b, h)[:-1]
         return pd.DataFrame({"series": g["series"], "idx": g["idx"], "r": g["r"], "h": out})
 
     return matched(rows, starts, ["series", "_b"]).groupBy("series", "_b").applyInPandas(run, f"series {kind}, idx bigint, r double, h double")

@@ -95,6 +95,63 @@ def test_garch_fit_recovers(spark):
     assert abs(a - 0.1) < 0.05 and abs(b - 0.85) < 0.08
 
 
+def garch_paths(n=3, length=900):
+    rng, out = np.random.default_rng(5), {}
+    for k in range(n):
+        h, r = 1e-4, []
+        for _ in range(length - 1):
+            r.append(math.sqrt(h) * rng.normal())
+            h = 5e-6 + (0.05 + 0.05 * k) * r[-1] ** 2 + 0.8 * h
+        out[f"s{k}" if k else None] = np.exp(np.concatenate([[0], np.cumsum(r)]))
+    return out
+
+
+def direct_loglik(r, w, a, b):
+    h, out = r.var(), 0.0
+    for x in r:
+        out -= 0.5 * (math.log(2 * math.pi * h) + x * x / h)
+        h = w + a * x * x + b * h
+    return out
+
+
+@pytest.mark.parametrize("local", [0, 10_000])
+def test_garch_fits_are_stationary_points(spark, local):
+    paths = garch_paths()
+    df = frame(spark, paths[None], None)
+    for k in ("s1", "s2"):
+        df = df.unionByName(frame(spark, paths[k], k))
+    got = {r["series"]: r for r in volatility.garch_fit(df, "x", None, local, size=101).collect()}
+    assert set(got) == set(paths)
+    for k, x in paths.items():
+        r, at = np.diff(np.log(x)), np.array([got[k][c] for c in ("omega", "alpha", "beta")])
+        assert got[k]["loglik"] == pytest.approx(direct_loglik(r, *at), abs=1e-5) and got[k]["n"] == 899
+        for step in np.diag(at * 1e-2 + [0, 1e-3, 1e-3]):
+            for sign in (1, -1):
+                moved = at + sign * step
+                assert min(moved) < 0 or moved[1] + moved[2] >= 0.9999 or direct_loglik(r, *moved) <= got[k]["loglik"] + 1e-4
+        assert at == pytest.approx(volatility.fit_garch(r)[:3], rel=1e-3, abs=1e-7)
+
+
+def test_garch_sums_are_slopes():
+    z, theta = np.random.default_rng(2).normal(size=300) ** 2, np.array([0.1, 0.12, 0.8])
+    value = lambda t: volatility.likelihood_sums(z, t, np.array([1.0, 0, 0, 0]))
+    for i in range(3):
+        d = np.eye(3)[i] * 1e-6
+        assert value(theta)[1 + i] == pytest.approx((value(theta + d)[0] - value(theta - d)[0]) / 2e-6, rel=1e-5)
+    made = volatility.after(volatility.after(np.array([1.0, 0, 0, 0]), volatility.state_map(z[:100], theta), 100, 0.8), volatility.state_map(z[100:], theta), 200, 0.8)
+    assert made == pytest.approx(volatility.after(np.array([1.0, 0, 0, 0]), volatility.state_map(z, theta), 300, 0.8))
+
+
+def test_a_missing_price_skips_itself_only(spark):
+    x = garch_paths(1, 1300)[None]
+    holes = [None if i in (500, 1150) else v for i, v in enumerate(x)]
+    got = {r["idx"]: r for r in volatility.garch_rolling(frame(spark, holes), "x").collect()}
+    assert sorted(got) == list(range(1000, 1300))
+    want = volatility.fit_garch(np.diff(np.log(np.delete(x[:1000], 500))))
+    assert [got[1001][c] for c in ("omega", "alpha", "beta")] == pytest.approx(want[:3])
+    assert volatility.garch_rolling(frame(spark, [None] * 1200), "x").count() == 0
+
+
 def test_rolling_garch_query_takes_the_whole_series(spark, tmp_path):
     import datetime as dt
 
@@ -106,7 +163,7 @@ def test_rolling_garch_query_takes_the_whole_series(spark, tmp_path):
     got = {r["idx"]: r for r in q_metrics.QUERIES["garch_rolling"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(1000, 1350))
     for a in (1000, 1100, 1200, 1300):
-        want = volatility.fit_garch(np.diff(np.log(x[a - 1000 : a])), 3, 7)
+        want = volatility.fit_garch(np.diff(np.log(x[a - 1000 : a])))
         for i in range(a, min(a + 100, 1350)):
             assert [got[i][c] for c in ("omega", "alpha", "beta", "persistence")] == pytest.approx([*want[:3], want[1] + want[2]], abs=1e-4)
 
