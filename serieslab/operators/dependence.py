@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieslab.core import lengths, materialise, safe_corr, with_row_index, with_scalars
@@ -24,73 +24,211 @@ def pearson_prefilter(df: DataFrame, y: str, columns: list[str], k: int = 50, le
     return long.orderBy(F.desc("score"), "feature").limit(min(max(10, 3 * k), 200))
 
 
-def _tiles(df: DataFrame, y: str, columns: list[str], most: int, tile: int, groups: list[str]) -> DataFrame:
-    """(groups, feature, i, j, left, right): the last `most` complete pairs of each feature, cut to tiles, every pair of tiles once."""
-    rows = df.select(*groups, "idx", F.col(y).cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("f"))
-    rows = rows.select(*groups, "idx", "y", "f.feature", "f.x").where("x is not null and y is not null")
-    keys = [*groups, "feature"]
-    dense = with_row_index(rows, keys, ["idx"], "_p").transform(with_scalars, rows.groupBy(*keys).agg(F.count("*").alias("_n")), "inner", keys)
-    last = dense.where(F.col("_p") >= F.col("_n") - most).withColumn("_p", F.col("_p") - F.greatest(F.col("_n") - most, F.lit(0))).withColumn("_n", F.least("_n", F.lit(most)))
-    last = last.withColumns({"_t": F.floor(F.col("_p") / tile).cast("int"), "_k": F.floor((F.col("_n") - 1) / tile).cast("int")})
-    return last.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k")))).select(*keys, "_n", F.least("_t", "_o").alias("_i"), F.greatest("_t", "_o").alias("_j"), "_t", "_p", "x", "y")
+#: Pairs up to which a task takes all of a group; rows and blocks a side of larger ones.
+LOCAL_PAIRS, BLOCK_PAIRS, MOST_BLOCKS = 200_000, 50_000, 1_000
+
+
+def dominated(place: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """For rows in one order, with their places in another: the sums (columns) over the rows that come before in both. Halves of ever larger
+    blocks are merged: a row of a right half gets the running sums of the left half's rows with lesser places."""
+    n, out = len(place), np.zeros_like(sums)
+    by_place, width = np.argsort(place, kind="stable"), 1
+    while width < n:
+        order = by_place[np.argsort(by_place // (2 * width), kind="stable")]
+        left = (order // width) % 2 == 0
+        run = np.cumsum(np.where(left[:, None], sums[order], 0.0), axis=0)
+        block = order // (2 * width)
+        first = np.searchsorted(block, block)  # where the row's block begins
+        base = np.where(first[:, None] > 0, run[first - 1], 0.0)
+        right = ~left
+        out[order[right]] += (run - base)[right]
+        width *= 2
+    return out
+
+
+def products(x: np.ndarray, y: np.ndarray, n: np.ndarray, sx: np.ndarray, sy: np.ndarray, sxy: np.ndarray) -> float:
+    """The sum over rows of (x - x') (y - y') over n rows each, from their sums."""
+    return float((n * x * y - x * sy - y * sx + sxy).sum())
+
+
+def row_sums(x: np.ndarray, before: float = 0.0, rank: int = 0, total: float | None = None, n: int | None = None) -> np.ndarray:
+    """For ascending values the sum of distances to all n values, of which `rank` with the sum `before` come first."""
+    n, total = n or len(x), float(x.sum()) if total is None else total
+    at, run = rank + np.arange(len(x)), before + np.concatenate([[0.0], np.cumsum(x)[:-1]])
+    return x * at - run + (total - run - x) - x * (n - 1 - at)
+
+
+SUMS = ["n", "xy", "ab", "aa", "bb", "a", "b", "xx", "yy"]
+
+
+def distance_sums(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """n, and of all pairs of rows the sums of products of distances, of row sums and of their squares, in n log n steps."""
+    x, y = (v - v.mean() if v.min() < v.max() else np.zeros(len(v)) for v in (x, y))
+    by_x = np.argsort(x, kind="stable")
+    x, y = x[by_x], y[by_x]
+    by_y = np.argsort(y, kind="stable")
+    a, b = row_sums(x), np.empty(len(y))
+    b[by_y] = row_sums(y[by_y])
+    place = np.empty(len(y), np.int64)
+    place[by_y] = np.arange(len(y))
+    n, sx, sy, sxy = dominated(place, np.stack([np.ones_like(x), x, y, x * y], axis=1)).T
+    same, all_pairs = products(x, y, n, sx, sy, sxy), len(x) * float(x @ y) - float(x.sum() * y.sum())
+    square = lambda v: 2 * len(v) * float(v @ v) - 2 * float(v.sum()) ** 2
+    return [float(len(x)), 2 * (2 * same - all_pairs), float(a @ b), float(a @ a), float(b @ b), float(a.sum()), float(b.sum()), square(x), square(y)]
+
+
+def _coefficient(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, dcor2, dcor) from SUMS."""
+    n = F.col("n")
+    part = lambda p, r, u, v: F.col(p) - 2 / n * F.col(r) + F.col(u) * F.col(v) / n / n
+    xy, xx, yy = part("xy", "ab", "a", "b"), part("xx", "aa", "a", "a"), part("yy", "bb", "b", "b")
+    real = (xx > 1e-13 * F.col("xx")) & (yy > 1e-13 * F.col("yy"))  # constants are zeros by now
+    value = F.when(real, F.greatest(xy, F.lit(0.0)) / F.sqrt(xx) / F.sqrt(yy)).otherwise(0.0)
+    return sums.select(*keys, n.cast("long").alias("n"), value.alias("dcor2")).withColumn("dcor", F.sqrt("dcor2"))
+
+
+def _tail_starts(df: DataFrame, y: str, columns: list[str], most: int, width: int = 1_000) -> dict[str, int]:
+    """For each column an idx from which on there are `most` complete pairs or more, if there are so many: counts by blocks of rows, from
+    the end."""
+    both = lambda c: F.count_if(F.col(c).isNotNull() & F.col(y).isNotNull())
+    counts = df.groupBy(F.floor(F.col("idx") / width).alias("_b")).agg(*[both(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    each = counts.unpivot(["_b"], [f"c{i}" for i in range(len(columns))], "feature", "n")
+    later = Window.partitionBy("feature").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = each.withColumn("_later", F.coalesce(F.sum("n").over(later), F.lit(0))).where(F.col("_later") < most).groupBy("feature").agg(F.min("_b").alias("_b"))
+    return {columns[int(r["feature"][1:])]: r["_b"] * width for r in kept.collect()}  # a number for each column
+
 
+def _pairs(df: DataFrame, y: str, columns: list[str], most: int | None, groups: list[str]) -> DataFrame:
+    """(groups, feature, idx, series, x, y): the last `most` complete pairs of each feature by (idx, series), or all. What cannot be among them is
+    left out before features become rows."""
+    order = [c for c in ("idx", "series") if c not in groups]
+    if most and not groups:
+        starts = _tail_starts(df, y, columns, most)
+        df = df.where(F.col("idx") >= min(starts.values(), default=0))
+    one = lambda c: F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+    rows = df.select(*groups, *order, F.col(y).cast("double").alias("y"), F.explode(F.array(*[one(c) for c in columns])).alias("f"))
+    rows = rows.select(*groups, "f.feature", *order, "f.x", "y").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    if not most or groups:  # a group's last pairs are taken in its task
+        return rows
+    placed = with_row_index(rows, ["feature"], order, "_p")
+    return with_scalars(placed, placed.groupBy("feature").agg(F.count("*").alias("_n")), keys="feature").where(F.col("_p") >= F.col("_n") - most).drop("_p", "_n")
 
-def distance_corr(df: DataFrame, y: str, columns: list[str], most: int = 20_000, tile: int = 1000, groups: list[str] | None = None) -> DataFrame:
-    """(groups, feature, n, dcor2, dcor): distance correlation with the target over the last `most` complete pairs.
 
-    Pairs of tiles of rows give partial row sums of both distance matrices and of their product; the centred sums follow from these, so no
-    task holds a whole matrix. dcor2 is the squared coefficient; both are 0 for a constant."""
+def _by_blocks(rows: DataFrame, keys: list[str], facts: DataFrame) -> DataFrame:
+    """SUMS of large groups. Rows get their places by x and by y, and blocks of both. Rows before a row in both orders are of an earlier
+    block in both (a table of at most MOST_BLOCKS^2 sums of blocks, added up), or share its block by y, or share that by x and are of an
+    earlier one by y: the last two are counted in a task for each block."""
+    head = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in keys)
+    cells = "n double, xy double, ab double, aa double, bb double, a double, b double"
+    own = with_scalars(rows, facts, keys=keys).select(*keys, *[F.when(F.col(f"_d{v}"), F.col(v) - F.col(f"_m{v}")).otherwise(0.0).alias(v) for v in "xy"], "_n")
+    size = F.greatest(F.lit(BLOCK_PAIRS), F.ceil(F.col("_n") / MOST_BLOCKS))
+    placed = with_row_index(with_row_index(own, keys, ["x", "y"], "_px"), keys, ["y", "_px"], "_py")
+    placed = materialise(placed.withColumns({"_bx": F.floor(F.col("_px") / size), "_by": F.floor(F.col("_py") / size)}))
+    table = placed.groupBy(*keys, "_bx", "_by").agg(F.count("*").cast("double").alias("c"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    names = ["c", "sx", "sy", "sxy"]
+
+    def before(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = g["_bx"].to_numpy(), g["_by"].to_numpy()
+        m = np.zeros((4, i.max() + 2, j.max() + 2))
+        m[:, i + 1, j + 1] = g[names].to_numpy().T
+        run = m.cumsum(axis=1).cumsum(axis=2)
+        made = g[[*keys, "_bx", "_by"]].copy()
+        made[[f"_{c}" for c in names]] = run[:, i, j].T
+        made["_ox"], made["_oy"] = run[1, i, -1], run[2, -1, j]
+        return made
+
+    seen = ", ".join(f"{c} double" for c in ("_c", "_sx", "_sy", "_sxy", "_ox", "_oy"))
+    prefix = table.groupBy(*keys).applyInPandas(before, f"{head}, _bx bigint, _by bigint, {seen}")
+    rows = with_scalars(placed, prefix, keys=[*keys, "_bx", "_by"])
+
+    def by_y(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_px")
+        x, y, place = g["x"].to_numpy(), g["y"].to_numpy(), g["_py"].to_numpy()
+        n, sx, sy, sxy = dominated(place, np.stack([np.ones_like(x), x, y, x * y], axis=1)).T
+        at = np.argsort(place)
+        b = np.empty(len(y))
+        b[at] = row_sums(y[at], g["_oy"].iat[0], place.min(), 0.0, int(g["_n"].iat[0]))
+        same = n * x * y - x * sy - y * sx + sxy
+        return g.assign(_b=b, _same=same + g["_c"] * x * y - x * g["_sy"] - y * g["_sx"] + g["_sxy"])[[*keys, "_px", "_bx", "_by", "x", "y", "_n", "_ox", "_b", "_same"]]
+
+    halfway = rows.groupBy(*keys, "_by").applyInPandas(by_y, f"{head}, _px bigint, _bx bigint, _by bigint, x double, y double, _n bigint, _ox double, _b double, _same double")
+
+    def by_x(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_px")
+        x, y, b = (g[c].to_numpy() for c in ("x", "y", "_b"))
+        a = row_sums(x, g["_ox"].iat[0], g["_px"].iat[0], 0.0, int(g["_n"].iat[0]))
+        # places that put rows of one block by y in reverse, so that only those of earlier blocks come before
+        place = np.lexsort((-np.arange(len(g)), g["_by"].to_numpy())).argsort()
+        n, sx, sy, sxy = dominated(place, np.stack([np.ones_like(x), x, y, x * y], axis=1)).T
+        same = products(x, y, n, sx, sy, sxy) + g["_same"].sum()
+        made = pd.DataFrame({"n": [float(len(g))], "xy": [2 * (2 * same)], "ab": [a @ b], "aa": [a @ a], "bb": [b @ b], "a": [a.sum()], "b": [b.sum()]})
+        made["x1"], made["y1"], made["xx1"], made["yy1"], made["xy1"] = x.sum(), y.sum(), x @ x, y @ y, x @ y
+        for k in reversed(keys):
+            made.insert(0, k, g[k].iat[0])
+        return made
+
+    parts = halfway.groupBy(*keys, "_bx").applyInPandas(by_x, f"{head}, {cells}, x1 double, y1 double, xx1 double, yy1 double, xy1 double")
+    s = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "xy", "ab", "aa", "bb", "a", "b", "x1", "y1", "xx1", "yy1", "xy1")])
+    n = F.col("n")
+    return s.select(*keys, "n", (F.col("xy") - 2 * (n * F.col("xy1") - F.col("x1") * F.col("y1"))).alias("xy"), "ab", "aa", "bb", "a", "b", (2 * n * F.col("xx1") - 2 * F.col("x1") ** 2).alias("xx"), (2 * n * F.col("yy1") - 2 * F.col("y1") ** 2).alias("yy"))
+
+
+def distance_corr(df: DataFrame, y: str, columns: list[str], most: int | None = 20_000, groups: list[str] | None = None, local: int = LOCAL_PAIRS) -> DataFrame:
+    """(groups, feature, n, dcor2, dcor): distance correlation with the target over the last `most` complete pairs by (idx, series), or all (None).
+
+    Exact in n log n steps, without matrices of distances: a task for each feature (and group) of up to `local` pairs, tasks for blocks of
+    larger ones. dcor2 is the squared coefficient; both are 0 for a constant. Groups hold no more rows than a task takes, or have to be few."""
     groups = groups or []
-    tiles = _tiles(df, y, columns, most, tile, groups)
     keys = [*groups, "feature"]
-    head = ", ".join(f"`{k}` {dict(tiles.dtypes)[k]}" for k in keys)
-
-    def partial(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = g["_i"].iat[0], g["_j"].iat[0]
-        a, b = (g[g["_t"] == t].sort_values("_p") for t in (i, j))
-        dx = np.abs(a["x"].to_numpy()[:, None] - b["x"].to_numpy()[None, :])
-        dy = np.abs(a["y"].to_numpy()[:, None] - b["y"].to_numpy()[None, :])
-        twice = 1 if i == j else 2
-        out = pd.DataFrame({"_p": a["_p"], "_a": dx.sum(1), "_b": dy.sum(1), "_xy": 0.0, "_xx": 0.0, "_yy": 0.0})
-        if i != j:
-            out = pd.concat([out, pd.DataFrame({"_p": b["_p"], "_a": dx.sum(0), "_b": dy.sum(0), "_xy": 0.0, "_xx": 0.0, "_yy": 0.0})], ignore_index=True)
-        out.loc[out.index[0], ["_xy", "_xx", "_yy"]] = [twice * (dx * dy).sum(), twice * (dx * dx).sum(), twice * (dy * dy).sum()]
+    rows = _pairs(df, y, columns, most, groups)
+    head = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+
+    def scored(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([c for c in ("idx", "series") if c not in groups]).tail(most or len(g))
+        made = pd.DataFrame([distance_sums(g["x"].to_numpy(), g["y"].to_numpy())], columns=SUMS)
         for k in reversed(keys):
-            out.insert(0, k, g[k].iat[0])
-        out["_n"] = g["_n"].iat[0]
-        return out[[*keys, "_n", "_p", "_a", "_b", "_xy", "_xx", "_yy"]]
-
-    sums = tiles.groupBy(*keys, "_i", "_j").applyInPandas(partial, f"{head}, _n bigint, _p bigint, _a double, _b double, _xy double, _xx double, _yy double")
-    rows = sums.groupBy(*keys, "_n", "_p").agg(*[F.sum(c).alias(c) for c in ("_a", "_b", "_xy", "_xx", "_yy")])
-    s = rows.groupBy(*keys, "_n").agg(
-        F.sum("_xy").alias("xy"), F.sum("_xx").alias("xx"), F.sum("_yy").alias("yy"), F.sum(F.col("_a") * F.col("_b")).alias("ab"), F.sum(F.col("_a") ** 2).alias("aa"), F.sum(F.col("_b") ** 2).alias("bb"), F.sum("_a").alias("a"), F.sum("_b").alias("b")
-    )
-    n = F.col("_n")
-    part = lambda p, r, u, v: F.col(p) - 2 / n * F.col(r) + F.col(u) * F.col(v) / n / n
-    xy, xx, yy = part("xy", "ab", "a", "b"), part("xx", "aa", "a", "a"), part("yy", "bb", "b", "b")
-    value = F.when((xx > 1e-12) & (yy > 1e-12), F.greatest(xy, F.lit(0.0)) / F.sqrt(xx * yy)).otherwise(0.0)
-    return s.select(*keys, F.col("_n").alias("n"), value.alias("dcor2")).withColumn("dcor", F.sqrt("dcor2"))
+            made.insert(0, k, g[k].iat[0])
+        return made
 
+    small = f"{head}, " + ", ".join(f"{c} double" for c in SUMS)
+    if most and most <= local:
+        return _coefficient(rows.groupBy(*keys).applyInPandas(scored, small), keys)
+    rows = materialise(rows)
+    facts = materialise(rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[m for v in "xy" for m in (F.avg(v).alias(f"_m{v}"), (F.min(v) < F.max(v)).alias(f"_d{v}"))]))
+    sums = with_scalars(rows, facts.where(F.col("_n") <= local).select(*keys), keys=keys).groupBy(*keys).applyInPandas(scored, small)
+    large = facts.where(F.col("_n") > local)
+    if large.limit(1).count():
+        sums = sums.unionByName(_by_blocks(rows, keys, large))
+    return _coefficient(sums, keys)
 
-def dcor_scores(df: DataFrame, y: str, columns: list[str], k: int = 50, most: int = 20_000, tile: int = 1000) -> DataFrame:
+
+def dcor_scores(df: DataFrame, y: str, columns: list[str], k: int = 50, most: int | None = 20_000) -> DataFrame:
     """(feature, score): distance correlation of the features that pass the Pearson filter."""
     kept = [r["feature"] for r in pearson_prefilter(df, y, columns, k).collect()]  # at most 200 names
-    return distance_corr(df, y, kept, most, tile).select("feature", F.col("dcor2").alias("score"))
+    return distance_corr(df, y, kept, most).select("feature", F.col("dcor2").alias("score"))
+
+
+def dcor_permutation(df: DataFrame, y: str, columns: list[str], rounds: int = 100, alpha: float = 0.05, most: int = 20_000, together: int = 10, seed: int = 42) -> DataFrame:
+    """(feature, dcor2, p, significant): share of rounds, in which the target is dealt anew from a seed of the round, that reach the observed
+    value, over the last `most` complete pairs by (idx, series). A task takes `together` rounds of a feature; rows are copied once for these."""
+    rows = _pairs(df, y, columns, most, []).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // together) - 1))))
+
+    def value(x: np.ndarray, y: np.ndarray) -> float:
+        n, xy, ab, aa, bb, a, b, xx, yy = distance_sums(x, y)
+        low = (xx - 2 / n * aa + a * a / n / n) * (yy - 2 / n * bb + b * b / n / n)
+        return max(xy - 2 / n * ab + a * b / n / n, 0.0) / low**0.5 if low > 0 else 0.0
 
+    def dealt(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["idx", "series"])
+        x, y, part = g["x"].to_numpy(), g["y"].to_numpy(), int(g["_part"].iat[0])
+        made = [value(x, y)]
+        for r in range(part * together, min((part + 1) * together, rounds)):
+            made.append(value(x, y[np.random.default_rng([seed, r]).permutation(len(y))]))
+        return pd.DataFrame({"feature": g["feature"].iat[0], "dcor2": made[0], "reached": [sum(m >= made[0] for m in made[1:])]})
 
-def dcor_permutation(df: DataFrame, y: str, columns: list[str], rounds: int = 100, alpha: float = 0.05, most: int = 1000) -> DataFrame:
-    """(feature, dcor2, p, significant): share of rounds, in which the target is dealt anew by a hash, that reach the observed value."""
-    rows = df.select("idx", y, *columns).where(F.col(y).isNotNull())
-    last = rows.orderBy(F.desc("idx")).limit(most)
-    base = with_row_index(last.withColumn("_all", F.lit(0)), ["_all"], ["idx"], "_p").drop("_all")
-    dealt = base.select("_p", y).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    key = F.when(F.col("round") == 0, F.col("_p")).otherwise(F.xxhash64("round", "_p"))
-    mixed = with_row_index(dealt.withColumn("_h", key), ["round"], ["_h", "_p"], "_q").select("round", F.col("_q").alias("_p"), F.col(y).alias("_y"))
-    scored = distance_corr(base.drop(y).join(mixed, "_p"), "_y", columns, most, 1000, ["round"])
-    seen = scored.where("round = 0").select("feature", "dcor2")
-    drawn = scored.where("round > 0").select("feature", F.col("dcor2").alias("_d"))
-    p = (1 + F.count_if(F.col("_d") >= F.col("dcor2"))) / F.lit(rounds + 1)
-    return seen.join(drawn, "feature").groupBy("feature", "dcor2").agg(p.alias("p")).withColumn("significant", F.col("p") < alpha)
+    found = rows.groupBy("feature", "_part").applyInPandas(dealt, "feature string, dcor2 double, reached long")
+    p = (1 + F.sum("reached")) / F.lit(rounds + 1)
+    return found.groupBy("feature").agg(F.min("dcor2").alias("dcor2"), p.alias("p")).withColumn("significant", F.col("p") < alpha)
 
 
 def dcor_rolling(df: DataFrame, y: str, columns: list[str], window: int = 1200, step: int = 500, least: int = 400, most_windows: int = 20) -> DataFrame:
@@ -100,7 +238,7 @@ def dcor_rolling(df: DataFrame, y: str, columns: list[str], window: int = 1200,
     spread = anchors(df.select("series", "idx", y, *columns), window, step).transform(with_scalars, lengths(df)).where(F.col("anchor") <= F.col("n"))
     last = spread.groupBy("series").agg(F.max("anchor").alias("_top"))
     kept = spread.transform(with_scalars, last).where(F.col("anchor") > F.col("_top") - most_windows * step).drop("n", "_top")
-    scored = distance_corr(kept, y, columns, window, 1000, ["series", "anchor"]).where(F.col("n") >= least)
+    scored = distance_corr(kept, y, columns, window, ["series", "anchor"]).where(F.col("n") >= least)
     return scored.groupBy("series", "feature").agg(
         F.count("*").alias("windows"), F.percentile("dcor2", 0.5).alias("median"), F.avg("dcor2").alias("mean"), F.min("dcor2").alias("min"), F.max("dcor2").alias("max"), F.percentile("dcor2", 0.25).alias("p25"), F.percentile("dcor2", 0.75).alias("p75")
     )

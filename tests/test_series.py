@@ -168,21 +168,51 @@ def test_rolling_garch_query_takes_the_whole_series(spark, tmp_path):
             assert [got[i][c] for c in ("omega", "alpha", "beta", "persistence")] == pytest.approx([*want[:3], want[1] + want[2]], abs=1e-4)
 
 
-@pytest.mark.parametrize("tile", [40, 500])
-def test_distance_correlation(spark, tile):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=150)
-    y = x**2 + rng.normal(size=150) * 0.1
-    df = spark.createDataFrame([("a", i, float(u), float(v), 1.0) for i, (u, v) in enumerate(zip(x, y, strict=True))], "series string, idx long, x double, y double, c double")
-
+def direct_dcor2(x, y):
     def centred(v):
         d = np.abs(v[:, None] - v[None, :])
         return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
 
     a, b = centred(x), centred(y)
-    want = (a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum())
-    got = {r["feature"]: r["dcor2"] for r in dependence.distance_corr(df, "y", ["x", "c"], tile=tile).collect()}
-    assert got["x"] == pytest.approx(want) and got["c"] == 0
+    return (a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum())
+
+
+@pytest.mark.parametrize(("local", "block", "blocks"), [(10_000, 50_000, 1_000), (50, 37, 1_000), (50, 7, 5)])
+def test_distance_correlation(spark, monkeypatch, local, block, blocks):
+    monkeypatch.setattr(dependence, "BLOCK_PAIRS", block)
+    monkeypatch.setattr(dependence, "MOST_BLOCKS", blocks)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=600) * 1e-5 + 3
+    y = (x - 3) ** 2 * 1e9 + rng.normal(size=600) * 0.1
+    t = np.round(y)
+    rows = [("a" if i % 2 else None, i // 2, float(u), float(v), 7.3, float(w) if i % 5 else None) for i, (u, v, w) in enumerate(zip(x, y, t, strict=True))]
+    df = spark.createDataFrame(rows, "series string, idx long, x double, y double, c double, t double").repartition(4)
+    got = {r["feature"]: r for r in dependence.distance_corr(df, "y", ["x", "c", "t"], None, local=local).collect()}
+    some = np.arange(600) % 5 != 0
+    assert got["x"]["dcor2"] == pytest.approx(direct_dcor2(x, y), abs=1e-9) and got["x"]["n"] == 600
+    assert got["t"]["dcor2"] == pytest.approx(direct_dcor2(t[some], y[some]), abs=1e-9) and got["t"]["n"] == 480 and got["c"]["dcor2"] == 0
+    last = {r["feature"]: r["dcor2"] for r in dependence.distance_corr(df, "y", ["x"], 101).collect()}
+    order = sorted(range(600), key=lambda i: (i // 2, i % 2))[-101:]
+    assert last["x"] == pytest.approx(direct_dcor2(x[order], y[order]), abs=1e-9)
+    series = {(r["series"]): r["dcor2"] for r in dependence.distance_corr(df, "y", ["x"], 50, ["series"]).collect()}
+    assert series == pytest.approx({None: direct_dcor2(x[::2][-50:], y[::2][-50:]), "a": direct_dcor2(x[1::2][-50:], y[1::2][-50:])}, abs=1e-9)
+
+
+def test_distance_sums_of_many_pairs():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=5_000), np.round(rng.normal(size=5_000), 1)
+    dx, dy = (np.abs(v[:, None] - v[None, :]) for v in (x, y))
+    a, b = dx.sum(axis=1), dy.sum(axis=1)
+    want = [5_000, (dx * dy).sum(), a @ b, a @ a, b @ b, a.sum(), b.sum(), (dx**2).sum(), (dy**2).sum()]
+    assert dependence.distance_sums(x, y) == pytest.approx(want, rel=1e-9)
+
+
+def test_permutations_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, i, float(a), float(b)) for s in ("a", "b", None) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "series string, idx long, x double, y double")
+    one, three, five = ([tuple(r) for r in dependence.dcor_permutation(df.repartition(n), "y", ["x"], 20, most=100).collect()] for n in (1, 3, 5))
+    assert one == three == five
 
 
 def test_nmi_of_itself_and_constant(spark, walk):
