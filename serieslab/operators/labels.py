@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serieslab.core import matched, quantiles, ratio, sized, windowed, with_scalars
 from serieslab.operators.rolling import rolling_coverage, rolling_vol
-
-
-def horizon_of(column: str) -> int | None:
-    """The minutes in a target's name, as in y_logret_fwd_60m."""
-    import re
-
-    found = re.search(r"_fwd_(\d+)m", column)
-    return int(found[1]) if found else None
+from serieslab.operators.sliding import Arrays, by_bucket, first_at_least
 
 
 def forward_log_return(df: DataFrame, p: str, h: int, name: str = "y") -> DataFrame:
@@ -27,20 +21,27 @@ def direction_label(df: DataFrame, p: str, h: int = 5, name: str = "label") -> D
     return out.withColumn(name, (F.col("_ahead") > F.col(p)).cast("int")).drop("_ahead")
 
 
+def touches(p: np.ndarray, tp: np.ndarray, sl: np.ndarray, limit: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """label, periods and ret of `triple_barrier`; NaN labels where the rows ahead do not suffice."""
+    up, down = first_at_least(p, p * (1 + tp), least, limit), first_at_least(-p, -p * (1 - sl), least, limit)
+    u, d = np.where(np.isnan(up), np.inf, up), np.where(np.isnan(down), np.inf, down)
+    label = np.where((u < np.inf) & (u <= d), 1.0, np.where(d < np.inf, -1.0, 0.0))
+    at = np.minimum(np.minimum(u, d), limit).astype(int)
+    ahead = np.concatenate([p, np.full(limit + least + 1, np.nan)])
+    rows = np.arange(len(p))
+    ret = ahead[rows + at] / np.where(p != 0, p, np.nan) - 1
+    enough = np.isfinite(ahead[rows + limit + least])
+    return np.where(enough, label, np.nan), np.where(enough, at, np.nan), np.where(enough, ret, np.nan)
+
+
 def triple_barrier(df: DataFrame, p: str, tp: float | Column = 0.002, sl: float | Column = 0.001, limit: int = 60, least: int = 5) -> DataFrame:
     """Adds label (1: the upper barrier p (1 + tp) is touched first among rows least .. limit ahead, or together with the lower one; -1: the
-    lower barrier p (1 - sl); 0: none), periods and ret (null for a zero price). The last limit + least rows of a series have no label and are dropped."""
-    tp, sl = (c if isinstance(c, Column) else F.lit(c) for c in (tp, sl))
-    ahead = windowed(df, {"_q": lambda w: F.collect_list(F.struct(F.col(p).alias("v"))).over(w.rowsBetween(least, limit)), "_far": lambda w: F.lead(p, limit + least).over(w)}, ahead=limit + least).where("_far is not null")
-    ahead = ahead.withColumn("_p", F.transform("_q", lambda q: q["v"]))  # missing prices keep their places
-    first = lambda met: F.array_position(F.transform("_p", met), F.lit(True))
-    up, down = first(lambda q: q >= F.col(p) * (1 + tp)), first(lambda q: q <= F.col(p) * (1 - sl))
-    marked = ahead.withColumns({"_u": F.when(up > 0, up), "_d": F.when(down > 0, down)})
-    u, d = F.coalesce("_u", F.lit(1 << 30)), F.coalesce("_d", F.lit(1 << 30))
-    label = F.when((u < (1 << 30)) & (u <= d), 1).when(d < (1 << 30), -1).otherwise(0)
-    at = F.when(F.least(u, d) < (1 << 30), F.least(u, d)).otherwise(F.size("_p")).cast("int")
-    out = marked.withColumns({"label": label.cast("int"), "periods": (at - 1 + least).cast("int"), "ret": ratio(F.get("_p", at - 1), F.col(p)) - 1})
-    return out.drop("_p", "_q", "_far", "_u", "_d")
+    lower barrier p (1 - sl); 0: none), periods and ret (null for a zero price). The last limit + least rows of a series have no label and are dropped.
+    The first touch is searched in a table of greatest prices over powers of two, so its cost hardly grows with the limit."""
+    rows = df.withColumns({"_tp": tp if isinstance(tp, Column) else F.lit(tp), "_sl": sl if isinstance(sl, Column) else F.lit(sl)})
+    names = ("label", "periods", "ret")
+    out = by_bucket(rows, [p, "_tp", "_sl"], lambda v: dict(zip(names, touches(v[p], v["_tp"], v["_sl"], limit, least), strict=True)), {"label": "int", "periods": "int", "ret": "double"}, ahead=limit + least)
+    return out.where("label is not null").drop("_tp", "_sl")
 
 
 def label_summary(labels: DataFrame, by: list[str]) -> DataFrame:
@@ -56,13 +57,19 @@ BARRIERS = [("Conservative", 0.001, 0.0005, 30), ("Moderate", 0.002, 0.001, 60),
 
 
 def barrier_sweep(df: DataFrame, p: str, settings: list[tuple] = BARRIERS, least: int = 5) -> DataFrame:
-    """(series, name, n, win_rate, expected, score) of each setting."""
-    out = None
-    for name, tp, sl, limit in settings:
-        one = triple_barrier(df, p, tp, sl, limit, least).groupBy("series").agg(
-            F.count("*").alias("n"), F.avg((F.col("label") == 1).cast("double")).alias("win_rate"), F.avg("ret").alias("expected")
-        ).withColumn("name", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+    """(series, name, n, win_rate, expected, score) of each setting, all from one pass."""
+    kinds = {f"{n}{i}": t for i in range(len(settings)) for n, t in (("label", "int"), ("ret", "double"))}
+
+    def made(v: Arrays) -> Arrays:
+        found = [touches(v[p], np.full(len(v[p]), tp), np.full(len(v[p]), sl), limit, least) for _, tp, sl, limit in settings]
+        return {f"{n}{i}": t[at] for i, t in enumerate(found) for n, at in (("label", 0), ("ret", 2))}
+
+    rows = by_bucket(df.select("series", "idx", p), [p], made, kinds, ahead=max(s[3] for s in settings) + least)
+    sums = rows.groupBy("series").agg(*[
+        F.struct(F.lit(s[0]).alias("name"), F.count(f"label{i}").alias("n"), F.avg(F.when(F.col(f"label{i}").isNotNull(), (F.col(f"label{i}") == 1).cast("double"))).alias("win_rate"), F.avg(f"ret{i}").alias("expected")).alias(f"s{i}")
+        for i, s in enumerate(settings)
+    ])
+    out = sums.select("series", F.explode(F.array(*[F.col(f"s{i}") for i in range(len(settings))])).alias("s")).select("series", "s.*").where("n > 0")
     return out.select("series", "name", "n", "win_rate", "expected", (F.col("win_rate") * 100 * F.col("expected") * 1000).alias("score"))
 
 
@@ -102,12 +109,13 @@ def session_mask(df: DataFrame, ts: str, schedule: DataFrame, holidays: DataFram
 
 
 def driver_of(features: DataFrame, mapping: DataFrame, feature: str = "feature") -> DataFrame:
-    """(feature, driver): by the longest substring of the name, letters in either case; null if there is none. All substrings of a name
-    are looked up by an equality join, so neither side has to be small."""
+    """(feature, driver): by the longest substring of the name, letters in either case; null if there is none. Substrings of a name, of the
+    lengths that the map holds (its catalogue of patterns bounds them), are looked up by an equality join, so neither side has to be small."""
     name = F.lower(feature)
-    n = F.length(name)
-    some = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(name, i, k))))
-    each = features.select(feature, F.explode_outer(F.array_distinct(F.concat(some, F.array(F.lit(""))))).alias("_part"))
+    held = sorted(r["k"] for r in mapping.select(F.length(F.lower("substring")).alias("k")).where("k is not null").distinct().collect())
+    cut = lambda k: F.when(F.length(name) >= k, F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda i: F.substring(name, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(*[cut(k) for k in held]) if held else F.array().cast("array<string>")
+    each = features.select(feature, F.explode_outer(F.array_distinct(F.when(F.col(feature).isNotNull(), parts))).alias("_part"))
     met = each.join(mapping.select("driver", "substring", F.lower("substring").alias("_part")), "_part", "left")
     return met.groupBy(feature).agg(F.max_by("driver", F.struct(F.length("substring"), "substring")).alias("driver"))
 

@@ -2,56 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from serieslab.core import running, safe_corr, trailing, value_ranks, windowed, with_scalars
+from serieslab.core import running, trailing, value_ranks, windowed, with_scalars
+from serieslab.operators.sliding import Arrays, by_bucket, moments_of_pairs, quantile, statistics, sums
 
 
-def gated(value: Column, x: str, w: WindowSpec, least: int) -> Column:
-    return F.when(F.count(x).over(w) >= least, value)
+def gated(values: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    return np.where(n >= least, values, np.nan)
 
 
 def rolling_stats(df: DataFrame, x: str, k: int, least: int = 1, prefix: str = "") -> DataFrame:
     """mean, std (sample), sum, min and max of the last k rows; null until `least` of them have a value."""
-    kinds: dict[str, Callable] = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}
-
-    def made(kind: Callable) -> Callable[[WindowSpec], Column]:
-        return lambda w: gated(kind(x).over(trailing(w, k)), x, trailing(w, k), least)
+    kinds = ("mean", "std", "sum", "min", "max")
 
-    return windowed(df, {f"{prefix}{n}": made(f) for n, f in kinds.items()}, back=k - 1)
+    def made(v: Arrays) -> Arrays:
+        s = statistics(v[x], k)
+        return {f"{prefix}{n}": gated(s[n], s["n"], least) for n in kinds}
 
+    return by_bucket(df, [x], made, {f"{prefix}{n}": "double" for n in kinds}, back=k - 1)
 
-def rolling_apply(df: DataFrame, x: str, k: int, reduce: Callable[[Column], Column], name: str) -> DataFrame:
-    """Any reduction over the array of the last k rows' values, nulls left out."""
-    return windowed(df, {name: lambda w: reduce(F.collect_list(x).over(trailing(w, k)))}, back=k - 1)
 
+def rolling_quantile(df: DataFrame, x: str, k: int, q: float = 0.5, least: int = 1, name: str = "median") -> DataFrame:
+    """The q quantile of the last k rows, interpolated between neighbours; null until `least` of them have a value."""
 
-def array_median(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    def made(v: Arrays) -> Arrays:
+        return {name: gated(quantile(v[x], k, q), sums(np.isfinite(v[x]).astype(float), k), least)}
 
+    return by_bucket(df, [x], made, {name: "double"}, back=k - 1)
 
-def zscore(x: str, k: int, least: int) -> Callable[[WindowSpec], Column]:
-    def made(w: WindowSpec) -> Column:
-        t = trailing(w, k)
-        return gated((F.col(x) - F.avg(x).over(t)) / F.nullif(F.stddev_samp(x).over(t), F.lit(0.0)), x, t, least)
 
-    return made
+def zscore(v: np.ndarray, k: int, least: int) -> np.ndarray:
+    s = statistics(v, k)
+    return gated((v - s["mean"]) / np.where(s["std"] > 0, s["std"], np.nan), s["n"], least)
 
 
 def rolling_zscore(df: DataFrame, x: str, k: int = 252, least: int = 50, name: str = "z") -> DataFrame:
     """Distance from the trailing mean in trailing standard deviations; null where these are zero."""
-    return windowed(df, {name: zscore(x, k, least)}, back=k - 1)
+    return by_bucket(df, [x], lambda v: {name: zscore(v[x], k, least)}, {name: "double"}, back=k - 1)
 
 
 def volume_zscores(df: DataFrame, x: str) -> DataFrame:
     """z over 15 rows (5 needed) and 60 rows (20 needed), and the former a row later."""
-    z = windowed(df, {"z15": zscore(x, 15, 5), "z60": zscore(x, 60, 20)}, back=59)
-    return windowed(z, {"z15_lag": lambda w: F.lag("z15").over(w)}, back=1)
+
+    def made(v: Arrays) -> Arrays:
+        z = zscore(v[x], 15, 5)
+        return {"z15": z, "z60": zscore(v[x], 60, 20), "z15_lag": np.concatenate([[np.nan], z[:-1]])}
+
+    return by_bucket(df, [x], made, {n: "double" for n in ("z15", "z60", "z15_lag")}, back=60)
 
 
 def shifts(df: DataFrame, x: str, k: int = 1) -> DataFrame:
@@ -82,12 +83,12 @@ def rolling_relationship(df: DataFrame, a: str, b: str, k: int, name: str = "rel
 def rolling_corr(df: DataFrame, a: str, b: str, k: int, least: int, name: str = "corr") -> DataFrame:
     """Pearson correlation over the last k rows; null while fewer than `least` rows have both values, or one is constant."""
 
-    def made(w: WindowSpec) -> Column:
-        t = trailing(w, k)
-        both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)
-        return F.when(F.count(both).over(t) >= least, safe_corr(a, b, t))
+    def made(v: Arrays) -> Arrays:
+        m = moments_of_pairs(v[a], v[b], k)
+        spread = np.sqrt(m["xx"]) * np.sqrt(m["yy"])
+        return {name: gated(np.clip(m["xy"] / np.where(spread > 0, spread, np.nan), -1, 1), m["n"], least)}
 
-    return windowed(df, {name: made}, back=k - 1)
+    return by_bucket(df, [a, b], made, {name: "double"}, back=k - 1)
 
 
 def rolling_coverage(df: DataFrame, x: str, k: int, least: int, name: str = "covered") -> DataFrame:
@@ -97,12 +98,17 @@ def rolling_coverage(df: DataFrame, x: str, k: int, least: int, name: str = "cov
 
 def rolling_vol(df: DataFrame, y: str, k: int = 50, least: int = 10, floor: float = 1e-6, name: str = "sigma") -> DataFrame:
     """Trailing standard deviation; where that is missing the one of all rows so far; at least `floor`."""
-    own = windowed(df, {"_std": lambda w: gated(F.stddev_samp(y).over(trailing(w, k)), y, trailing(w, k), least)}, back=k - 1)
-    v = F.col(y)
-    sums = running(own, {"_n": F.when(v.isNotNull(), 1), "_sum": v, "_sq": v * v})
+
+    def made(v: Arrays) -> Arrays:
+        s = statistics(v[y], k)
+        return {"_std": gated(s["std"], s["n"], least)}
+
+    own = with_scalars(by_bucket(df, [y], made, {"_std": "double"}, back=k - 1), df.groupBy("series").agg(F.avg(y).alias("_mean")))
+    v = F.col(y) - F.col("_mean")  # sums of squares far from zero would cancel
+    sums_of = running(own, {"_n": F.when(v.isNotNull(), 1), "_sum": v, "_sq": v * v})
     n, s, q = F.col("_n"), F.col("_sum"), F.col("_sq")
     so_far = F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
-    return sums.withColumn(name, F.greatest(F.coalesce("_std", so_far, F.lit(floor)), F.lit(floor))).drop("_std", "_n", "_sum", "_sq")
+    return sums_of.withColumn(name, F.greatest(F.coalesce("_std", so_far, F.lit(floor)), F.lit(floor))).drop("_std", "_mean", "_n", "_sum", "_sq")
 
 
 def df_t(slope: Column, sxx: Column, syy: Column, m: Column) -> Column:
@@ -113,15 +119,17 @@ def df_t(slope: Column, sxx: Column, syy: Column, m: Column) -> Column:
 
 def rolling_df_tstat(df: DataFrame, x: str, k: int = 252, least: int = 200, name: str = "adf_t") -> DataFrame:
     """t statistic of the Dickey-Fuller regression (difference on level before it) over the last k rows."""
-    pairs = windowed(df, {"_before": lambda w: F.lag(x).over(w)}, back=1).withColumn("_d", F.col(x) - F.col("_before"))
 
-    def made(w: WindowSpec) -> Column:
-        t = trailing(w, k - 1)
-        m = F.regr_count("_d", "_before").over(t)
-        value = df_t(F.regr_slope("_d", "_before").over(t), F.regr_sxx("_d", "_before").over(t), F.regr_syy("_d", "_before").over(t), m)
-        return F.when(m >= least - 1, value)
+    def made(v: Arrays) -> Arrays:
+        before = np.concatenate([[np.nan], v[x][:-1]])
+        m = moments_of_pairs(before, v[x] - before, k - 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            slope = m["xy"] / np.where(m["xx"] > 0, m["xx"], np.nan)
+            rss = np.maximum(m["yy"] - slope * slope * m["xx"], 0.0)
+            t = slope / np.sqrt(np.where((rss > 0) & (m["n"] > 2), rss, np.nan) / (m["n"] - 2) / m["xx"])
+        return {name: gated(t, m["n"], least - 1)}
 
-    return windowed(pairs, {name: made}, back=k - 2).drop("_before", "_d")
+    return by_bucket(df, [x], made, {name: "double"}, back=k - 1)
 
 
 def cyclical_components(df: DataFrame, x: str, periods: tuple[int, ...] = (20, 50, 100)) -> DataFrame:

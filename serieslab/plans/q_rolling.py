@@ -43,7 +43,8 @@ _add(
     "rolling_stats", _events(lambda d: R.rolling_stats(d, "x", 20, 5), "series", "idx", "mean", "std", "sum", "min", "max"),
     f"WITH {E} SELECT series, idx, {_g('avg')} AS mean, {_g('stddev_samp')} AS std, {_g('sum')} AS sum, {_g('min')} AS min, {_g('max')} AS max FROM e",
 )
-_add("rolling_median", _events(lambda d: R.rolling_apply(d, "x", 15, R.array_median, "median"), "series", "idx", "median"), f"WITH {E} SELECT series, idx, round(median(x) OVER {_w(15)}, 6) AS median FROM e")
+_add("rolling_quantile", _events(lambda d: R.rolling_quantile(d, "x", 200, 0.9, 20, "q90"), "series", "idx", "q90"), f"WITH {E} SELECT series, idx, round(CASE WHEN count(x) OVER {_w(200)} >= 20 THEN quantile_cont(x, 0.9) OVER {_w(200)} END, 6) AS q90 FROM e")
+_add("rolling_median", _events(lambda d: R.rolling_quantile(d, "x", 15), "series", "idx", "median"), f"WITH {E} SELECT series, idx, round(median(x) OVER {_w(15)}, 6) AS median FROM e")
 _add(
     "volume_zscores", _events(lambda d: R.volume_zscores(d, "x"), "series", "idx", "z15", "z60", "z15_lag"),
     f"WITH {E}, z AS (SELECT series, idx, {_z(15, 5)} AS z15, {_z(60, 20)} AS z60 FROM e) SELECT series, idx, round(z15, 6) AS z15, round(z60, 6) AS z60, round(lag(z15) OVER (PARTITION BY series ORDER BY idx), 6) AS z15_lag FROM z",

@@ -193,3 +193,6 @@ def test_driver_is_the_longest_substring(spark):
     mapping = spark.createDataFrame([("spx", "a"), ("spx_d", "b"), ("DXY", "c")], "substring string, driver string")
     got = {r["feature"]: r["driver"] for r in labels.driver_of(features, mapping).collect()}
     assert got == {"SPX_dxy_1": "b", "xspx": "a", "none": None, "": None, None: None}
+    long = spark.createDataFrame([("z" * 100_000 + "spx_d" + "y" * 50_000,)], "feature string")
+    assert labels.driver_of(long, mapping).first()["driver"] == "b"
+    assert {r["driver"] for r in labels.driver_of(features, mapping.limit(0)).collect()} == {None}
