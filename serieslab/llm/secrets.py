@@ -10,6 +10,7 @@ match then refutes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,8 +46,8 @@ MORE_RULES = (
 )
 ALL_RULES = BASE_RULES + MORE_RULES
 
-#: Trigrams to one long of a text's mask.
-BITS = 60
+#: Trigrams to one long of a text's mask; matches that are gathered at a time.
+BITS, BLOCK = 60, 128
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -112,7 +113,6 @@ def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
         F.arrays_zip(between.alias("b"), whole.alias("w"), own.alias("o")),
         lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["w"]).alias("w"), F.length(x["o"]).alias("o")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
     none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
@@ -122,10 +122,41 @@ def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
         out = F.when(x["o"] >= rule.least, F.array_append(F.coalesce(acc["out"], none), one)).otherwise(acc["out"])
         return F.struct(last.alias("at"), out.alias("out"))
 
-    found = F.aggregate(lengths, start, step, lambda acc: F.coalesce(acc["out"], none))
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
+    blocks = F.transform(in_blocks(lengths), lambda b: F.aggregate(b, start, step))
+    moved = F.transform(
+        with_running(blocks, lambda b: b["at"], lambda so_far, n: so_far + n),
+        lambda z: F.transform(F.coalesce(z["x"]["out"], none), lambda s: F.struct((s["start"] + z["before"]).alias("start"), s["kind"].alias("kind"), (s["stop"] + z["before"]).alias("stop"))),
+    )
+    found = F.flatten(moved)
     return F.when(F.rlike(text, F.lit(rule.probe)), found).otherwise(none) if rule.probe else found
 
 
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value) with the value computed once, where a lambda would compute it again for each element."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def in_blocks(values: Column) -> Column:
+    """An array as an array of blocks of BLOCK elements: what is gathered by appending is copied inside a block only."""
+
+    def cut(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+
+    return bound(values, cut)
+
+
+def with_running(values: Column, number: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """An array of structs of the elements, x, and of what the numbers of those before make, joined from 0 on: before."""
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(join(acc["at"], number(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return bound(values, lambda v: F.arrays_zip(v.alias("x"), F.aggregate(v, start, step, lambda acc: acc["out"]).alias("before")))
+
+
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text: str = "text", out: str = "secret_spans", most: int = BROADCAST_ROWS) -> DataFrame:
     """The rows with one more column: array of (start, kind, stop) by start, then by the rule's place; code points, stop
     exclusive. Null texts have no spans. A column of that name is replaced.
@@ -133,14 +164,15 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text: str =
     Candidates' keys are broadcast while they are at most `most`; beyond that the join on the text key shuffles."""
     index = postings(docs, rules, text)
     found = sized(materialise(candidates(index, rules)).select(F.col("text_key").alias("_sl_key"), F.col("rules").alias("_sl_rules")), most)
-    rows = docs.drop(out).withColumn("_sl_key", F.xxhash64(text)).join(found, "_sl_key", "left")
+    body = docs.drop(out)
+    rows = body.select(F.struct(*[body[c] for c in body.columns]).alias("_sl_row"), F.col(text).alias("_sl_text"), F.xxhash64(text).alias("_sl_key")).join(found, "_sl_key", "left")
     none = F.array().cast(SPAN)
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(F.col("_sl_text"), F.lit(""))
     parts = []
     for i, r in enumerate(rules):
         spans = rule_spans(whole, r, i)
         parts.append(spans if not trigram_query(r.pattern) else F.when(F.array_contains("_sl_rules", i), spans).otherwise(none))
-    return rows.withColumn(out, F.array_sort(F.concat(*parts))).drop("_sl_key", "_sl_rules")
+    return rows.select("_sl_row.*", F.array_sort(F.concat(*parts)).alias(out))
 
 
 def spelled(spans: Column, rules: tuple[Rule, ...] = ALL_RULES) -> Column:
@@ -154,15 +186,19 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, key: str
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows, all columns kept, with every span in the text replaced by a mark; overlapping spans become one mark."""
+    """The rows, all columns kept, with every span in the text replaced by a mark; overlapping spans become one mark. Null and empty texts stay
+    as they are. Columns may have any name but `_sl_spans`. Time grows with the text and its matches, however many these are."""
     rows = with_spans(docs, rules, text, "_sl_spans")
     body = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # blocks of spans, each with the end of all spans before it; inside a block the same for each span
+    stops = lambda xs: F.array_max(F.transform(xs, lambda s: s["stop"]))
+    blocks = with_running(in_blocks(F.col("_sl_spans")), stops, F.greatest)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def cleaned(z: Column) -> Column:
+        spans = with_running(z["x"], lambda s: s["stop"], F.greatest)
+        fresh = F.filter(F.transform(spans, lambda y: F.struct(y["x"]["start"].alias("start"), F.greatest(y["before"], z["before"]).alias("before"))), lambda y: y["start"] >= y["before"])
+        part = F.substr(body, z["before"] + 1, F.greatest(F.element_at(z["x"], -1)["start"] - z["before"], F.lit(0)))  # what the block's gaps are cut from
+        return bound(part, lambda t: F.array_join(F.transform(fresh, lambda y: F.concat(F.substr(t, y["before"] - z["before"] + 1, y["start"] - y["before"]), F.lit(mark))), ""))
 
-    clean = F.aggregate("_sl_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1, F.length(body))))
+    clean = F.concat(F.array_join(F.transform(blocks, cleaned), ""), F.substr(body, stops(F.col("_sl_spans")) + 1, F.length(body)))
     return rows.withColumn(text, F.when(F.size("_sl_spans") > 0, clean).otherwise(body)).drop("_sl_spans")

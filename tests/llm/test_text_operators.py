@@ -69,6 +69,20 @@ def test_secret_spans(spark, edge, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_texts_with_very_many_matches(spark):
+    import time
+
+    n = 100_000
+    many = "token=abcdef " * n
+    df = spark.createDataFrame([(1, many, "k"), (2, "é token=abcdef " * 300 + "end", "k")], "doc_id long, text string, _sl_key string")
+    began = time.time()
+    got = {r["doc_id"]: r["s"] for r in secrets.scan_secrets(df).select("doc_id", secrets.spelled(F.col("secret_spans")).alias("s")).collect()}
+    clean = {r["doc_id"]: r for r in secrets.redact_secrets(df).collect()}
+    assert time.time() - began < 60
+    assert got[1] == ",".join(f"assign:{13 * i}:{13 * i + 12}" for i in range(n)) and got[2] == ",".join(f"assign:{15 * i + 2}:{15 * i + 14}" for i in range(300))
+    assert clean[1]["text"] == "[SECRET] " * n and clean[2]["text"] == "é [SECRET] " * 300 + "end" and clean[1]["_sl_key"] == "k"
+
+
 def test_large_candidate_sets_are_joined_by_shuffle(spark, edge):
     a, b = (secrets.with_spans(edge, most=m).select("doc_id", "secret_spans").collect() for m in (0, 1000))
     assert sorted(map(str, a)) == sorted(map(str, b))
