@@ -3,7 +3,7 @@
 A page is read once into blocks of text, each owned by its nearest block element. Paragraphs pass points for their length and commas to
 their parent, half as many to the grandparent, a third to the next; an element's points are discounted by the share of its text that is in
 links. The best element is kept, an `article` or `main` around it whole, with siblings that have enough points, read like text, or stand
-between kept ones, and with the headings right before them.
+between kept ones, with what leads up to them from a heading on (a byline, a date) and with further paragraphs or sections after the last.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never count. What an element's name says is
 final for elements such as `nav`; a class or id only takes an element out that holds no article and, unless the name is plain (`sidebar`,
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never page text, or never main text; those whose content is not markup.
-DROPPED = frozenset("script style noscript template iframe object svg math canvas head title nav footer aside button select option textarea dialog menu audio video map".split())
+DROPPED = frozenset("script style noscript template iframe object svg math canvas head title nav footer aside button select option label textarea dialog menu audio video map".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of which one more after the last kept one goes on with it: a paragraph, or a part with a heading of its own.
+GO_ON = frozenset("p section".split())
 #: Elements that hold text of their own as well as paragraphs: such text gives its points to them, other text to the parent.
 CONTAINERS = frozenset("article body div main section td blockquote center html dd figure li".split())
 #: Opening tags that close an open paragraph; tags that an equal or related one closes, and the elements that shield them from it.
@@ -42,7 +44,7 @@ CELLS = ("td", "th", "table", "caption")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Names of classes and ids: plain ones; words that only say where or how; last and first words of longer names; words that deny.
 PLAIN = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices notification notifications pagination pager popup promo promos promotion related replies reply respond share sharing sidebar social sponsor sponsored sponsors subscribe subscription toolbar widget widgets login signup".split()
+    "ad ads advert adverts advertisement advertisements advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist ccpa cookie cookies consent disqus disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification notifications pagination pager paywall popup promo promos promotion related replies reply respond share sharing sidebar snackbar social sponsor sponsored sponsors subscribe subscription toast toolbar widget widgets login signup".split()
 )
 PLACES = frozenset("left right top bottom primary secondary main wrapper wrap box container inner outer list area section block row item items link links button buttons bar panel group site page global mobile desktop form thread overlay dialog slot unit body icons tree holder root region zone".split())
 LASTS = frozenset("navigation nav menu pagination comments sidebar footer newsletter breadcrumbs breadcrumb widget popup modal cookie cookies consent advert advertisement ads disclaimer".split())
@@ -116,14 +118,14 @@ class Page:
                 continue
             found = None if loose else TAG.match(html, i)
             if found is None:
-                j = html.find(">", i)
-                if j < 0 or not (after == "/" or after.isascii() and after.isalpha()):
+                if not (after == "/" or after.isascii() and after.isalpha()):
                     self.text("<")
                     at = i + 1
-                    if j < 0:
-                        self.text(html[at:])
-                        return
                     continue
+                j = html.find(">", i)
+                if j < 0:
+                    self.text(html[i:])
+                    return
                 loose = True
                 close, rest = after == "/", html[i + 1 + (after == "/") : j]
                 name, attributes, at = (rest.split(None, 1) or ["p"])[0].rstrip("/").lower(), rest.partition(" ")[2], j + 1
@@ -286,7 +288,7 @@ class Page:
         while holder >= 0 and not self.hints[holder]:
             holder = self.parents[holder]
         best = holder if holder >= 0 else best
-        up = self.parents[best]
+        up = best if self.tags[best] in ("body", "html") else self.parents[best]
         if up < 0:
             return "\n".join(t for _, t, _ in blocks)
         least = max(SIBLING_LEAST, points[best] * SIBLING_SHARE)
@@ -309,14 +311,26 @@ class Page:
                 parts.append((child, [t], linked))
         read = [sum(map(len, ts)) for _, ts, _ in parts]
         share = [linked / max(1, size) for (_, _, linked), size in zip(parts, read, strict=True)]
-        good = [c == best or c != up and points[c] >= least or size > TEXT_LEAST and s < LINKS_MOST and (c == up or heads[c] < text[c]) for (c, _, _), size, s in zip(parts, read, share, strict=True)]
+        # an article right in the body: all of it but lists of links
+        good = [s < 2 * LINKS_MOST for s in share] if up == best else [c == best or c != up and points[c] >= least or size > TEXT_LEAST and s < LINKS_MOST and (c == up or heads[c] < text[c]) for (c, _, _), size, s in zip(parts, read, share, strict=True)]
         kept = [k for k, g in enumerate(good) if g]
+        if up == best or not kept:
+            return "\n".join(t for (_, ts, _), g in zip(parts, good, strict=True) if g for t in ts)
         for k in range(kept[0], kept[-1]):
             good[k] = good[k] or share[k] < 2 * LINKS_MOST
-        k = kept[0] - 1
-        while k >= 0 and parts[k][0] != up and heads[parts[k][0]] == text[parts[k][0]] > 0:
-            good[k] = True
+        # what leads up to the body from a heading on, such as a byline, and what goes on like its last part
+        k, first = kept[0] - 1, kept[0]
+        while k >= 0 and share[k] < LINKS_MOST and text[parts[k][0]] > 0:
+            if parts[k][0] != up and heads[parts[k][0]] > 0:
+                first = k
+            elif parts[k][0] == up and self.tags[parts[k][0]] not in CONTAINERS:
+                break
             k -= 1
+        good[first : kept[0]] = [True] * (kept[0] - first)
+        tag, k = self.tags[parts[kept[-1]][0]], kept[-1] + 1
+        while k < len(parts) and share[k] < LINKS_MOST and tag in GO_ON and self.tags[parts[k][0]] == tag and (tag == "p" or 0 < heads[parts[k][0]] < text[parts[k][0]]):
+            good[k] = True
+            k += 1
         return "\n".join(t for (_, ts, _), g in zip(parts, good, strict=True) if g for t in ts)
 
 

@@ -101,6 +101,25 @@ def test_main_text(spark):
 
 
 
+LONG = "A long paragraph, with commas, that goes on and on for quite a while, so that it reads like the text of an article and not like a notice."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<h1>Headline</h1><p>By Ann, May 1</p><div class=body><p>{P}</p></div>", "Headline\nBy Ann, May 1\n{P}"),
+        ("<div><section><h2>A</h2><p>{P}</p></section><section><h2>B</h2><p>Final short remark.</p></section></div>", "A\n{P}\nB\nFinal short remark."),
+        ("<article><p>{P}</p><div class=alert>We use things.</div><p>{P}</p></article>", "{P}\n{P}"),
+        ("<article><p>{P}</p><div class=gdpr><p>We value your data.</p></div></article>", "{P}"),
+        ("<div><p>{P}</p></div><label for=q>Search</label><input id=q>", "{P}"),
+        ("<div><a href=/>Home</a> <a href=/b>News</a></div><h1>Headline</h1><div><p>{P}</p><p>End.</p></div><div><a href=/c>More</a></div>", "Headline\n{P}\nEnd."),
+        ("<p>{P}</p><p>{P}</p><p>The end.</p><ul><li><a href=/x>Next story</a></li></ul>", "{P}\n{P}\nThe end."),
+    ],
+)
+def test_pages_without_an_article(page, want):
+    assert html_text.main_text("<html><body>" + page.replace("{P}", LONG) + "</body></html>") == want.replace("{P}", LONG)
+
+
 def test_no_page_fails():
     rng = random.Random(1)
     bits = ["<", ">", "</", "<!", "<![", "<![CDATA[", "<?", "<!--", "-->", '"', "'", "=", "&", "&#", "&#x", "&#99999999;", "p", "div", "li", "td", "table", "script", "style", "title", "a", ' class="ad"', " ", "\x00", "é", "/", "article", "svg", "x, y", "form", "hidden"]
@@ -109,7 +128,7 @@ def test_no_page_fails():
     assert html_text.main_text("<![foo[x]]><p>a b</p>") == "a b"
 
 
-@pytest.mark.parametrize("part", ["<div>", "<div><p>text, text", "<ul><span><li>x, y</span>", '<a b="', "<title>", "<!--", "< <", "<p>x, y</b></q>", "<td><tr>a"])
+@pytest.mark.parametrize("part", ["<div>", "<div><p>text, text", "<ul><span><li>x, y</span>", '<a b="', "<title>", "<!--", "< <", "< ", "<p>x, y</b></q>", "<td><tr>a"])
 def test_time_grows_with_the_page(part):
     def took(n):
         start = time.perf_counter()
