@@ -44,9 +44,22 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_exit(spark, path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that go when the driver ends.
+_MARKED: set[str] = set()
+
+
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Has the store delete the application's folder of intermediate tables when the driver ends."""
+    if folder not in _MARKED and hasattr(spark, "_jvm"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+        _MARKED.add(folder)
+
+
 def sized(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a materialised narrow table for broadcast if it has few enough rows and bytes; else the join shuffles it."""
     wide = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")), F.lit(16 * len(df.columns)))

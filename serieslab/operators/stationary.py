@@ -178,20 +178,60 @@ def spectral_features(df: DataFrame, x: str, block: int = 256) -> DataFrame:
     return cut.groupBy("series", "_b").applyInPandas(spectrum, f"series {dict(df.dtypes)['series']}, block bigint, n bigint, dominant double, entropy double, centroid double")
 
 
-def sift(v: np.ndarray, modes: int, rounds: int = 10) -> list[np.ndarray]:
-    """Intrinsic modes of a short series by sifting with linear envelopes."""
+def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The natural cubic spline through points in ascending order, by a tridiagonal solve."""
+    h, n = np.diff(x), len(x)
+    slope = np.diff(y) / h
+    right, upper = (6 * np.diff(slope)).tolist(), h[1:-1].tolist()
+    middle = (2 * (h[:-1] + h[1:])).tolist()
+    for i in range(1, n - 2):
+        w = upper[i - 1] / middle[i - 1]
+        middle[i] -= w * upper[i - 1]
+        right[i] -= w * right[i - 1]
+    bend = np.zeros(n)
+    for i in range(n - 3, -1, -1):
+        bend[i + 1] = (right[i] - (upper[i] * bend[i + 2] if i < n - 3 else 0.0)) / middle[i]
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    t = at - x[k]
+    return y[k] + t * (slope[k] - h[k] * (2 * bend[k] + bend[k + 1]) / 6) + t * t * bend[k] / 2 + t**3 * (bend[k + 1] - bend[k]) / (6 * h[k])
+
+
+def turning_points(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the inner maxima and minima; of a flat stretch its middle."""
+    edge = np.flatnonzero(np.diff(v)) + 1  # where the value changes
+    if len(edge) < 2:
+        return edge[:0], edge[:0]
+    starts, stops = np.concatenate([[0], edge]), np.concatenate([edge, [len(v)]])
+    level = v[starts]
+    inner = (starts + stops - 1) // 2
+    up = np.diff(level) > 0
+    return inner[1:-1][up[:-1] & ~up[1:]], inner[1:-1][~up[:-1] & up[1:]]
+
+
+def envelope(v: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A spline through extremes, the outer two of each side mirrored at the ends."""
+    n = len(v)
+    x = np.concatenate([-places[1::-1], places, 2 * (n - 1) - places[: -3 if len(places) > 2 else None : -1]]).astype(float)
+    y = np.concatenate([v[places[1::-1]], v[places], v[places[: -3 if len(places) > 2 else None : -1]]])
+    return natural_spline(x, y, np.arange(n, dtype=float))
+
+
+def sift(v: np.ndarray, modes: int, rounds: int = 50, enough: float = 0.05) -> list[np.ndarray]:
+    """Intrinsic modes of a short series, and what is left: the mean of the spline envelopes is taken off until that changes a mode by less
+    than `enough` of its energy, or for `rounds` rounds."""
     out, rest = [], v.astype(float)
-    at = np.arange(len(v))
     for _ in range(modes):
-        h = rest.copy()
+        h, found = rest.copy(), False
         for _ in range(rounds):
-            d = np.diff(h)
-            tops = np.flatnonzero((d[:-1] > 0) & (d[1:] <= 0)) + 1
-            lows = np.flatnonzero((d[:-1] < 0) & (d[1:] >= 0)) + 1
+            tops, lows = turning_points(h)
             if len(tops) < 2 or len(lows) < 2:
                 break
-            h = h - (np.interp(at, tops, h[tops]) + np.interp(at, lows, h[lows])) / 2
-        if len(tops) < 2 or len(lows) < 2:
+            mean = (envelope(h, tops) + envelope(h, lows)) / 2
+            size = float(h @ h)
+            h, found = h - mean, True
+            if float(mean @ mean) < enough * enough * size:
+                break
+        if not found:
             break
         out.append(h)
         rest = rest - h

@@ -294,6 +294,26 @@ def test_modes_add_up(walk):
     assert np.allclose(sum(stationary.sift(walk[:500], 10)), walk[:500])
 
 
+def test_splines_and_modes_of_two_tones():
+    x, at = np.sort(np.random.default_rng(9).choice(200, 12, replace=False)).astype(float), np.arange(200.0)
+    y, h = np.sin(x / 9), np.diff(x)
+    full = np.zeros((12, 12))
+    full[0, 0] = full[-1, -1] = 1
+    for i in range(1, 11):
+        full[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+    bend = np.linalg.solve(full, np.concatenate([[0], 6 * np.diff(np.diff(y) / h), [0]]))
+    for v, t in zip(stationary.natural_spline(x, y, at), at, strict=True):
+        k = min(max(int(np.searchsorted(x, t, "right")) - 1, 0), 10)
+        a, b = (x[k + 1] - t) / h[k], (t - x[k]) / h[k]
+        assert v == pytest.approx(a * y[k] + b * y[k + 1] + ((a**3 - a) * bend[k] + (b**3 - b) * bend[k + 1]) * h[k] ** 2 / 6, abs=1e-7)
+    t = np.arange(500)
+    fast, slow = np.sin(2 * np.pi * t / 12), 2 * np.sin(2 * np.pi * t / 90)
+    found = stationary.sift(fast + slow, 10)
+    assert np.allclose(sum(found), fast + slow) and np.corrcoef(found[0], fast)[0, 1] > 0.98 and np.corrcoef(found[1], slow)[0, 1] > 0.98
+    assert len(stationary.sift(np.ones(50), 10)) == 1 and len(stationary.sift(t.astype(float), 10)) == 1
+    assert [list(x) for x in stationary.turning_points(np.array([0, 1, 1, 1, 0, 2, 1.0]))] == [[2, 5], [4]]
+
+
 def test_bootstrap_ranks_within_each_round(spark):
     rng = np.random.default_rng(4)
     y, p = np.round(rng.normal(size=210), 1), np.round(rng.normal(size=210), 1)
