@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieslab.core import lengths, matched, materialise, quantiles, safe_corr, value_ranks, windowed, with_row_index, with_scalars
+from serieslab.operators.bootstrap import resampled_ics
 from serieslab.operators.rolling import average_ranks
 
 
@@ -32,28 +33,30 @@ def spearman_ic(df: DataFrame, y: str, p: str) -> DataFrame:
     return ranked.groupBy("series").agg(safe_corr("_ry", "_rp").alias("ic"))
 
 
-def ic_bootstrap(df: DataFrame, y: str, p: str, rounds: int = 1000, block: int | None = None, seed: int = 42) -> DataFrame:
+def ic_bootstrap(df: DataFrame, y: str, p: str, rounds: int = 1000, block: int | None = None, seed: int = 42, width: int | None = None) -> DataFrame:
     """(series, n_rounds, mean, std, t, p_value, low, high) of the rank correlation over circular blocks; starts come from a hash, so reruns agree.
 
-    Each round's rows are ranked within the round, by value counts, so no task holds a round. A series under ten blocks gets its own
-    correlation with no spread (0 rounds, t 0, p 1). t is against zero, its p value normal."""
+    Each round's rows are ranked within the round, without copies of rows (see bootstrap). Rows with a null on either side are left out. A
+    series under ten blocks gets its own correlation with no spread (0 rounds, t 0, p 1). t is against zero, its p value normal. `width` is
+    the number of rows that a task takes."""
     own = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select("series", F.col("idx").alias("_i"), F.col(y).alias("_y"), F.col(p).alias("_p"))
-    dense = materialise(with_row_index(own, ["series"], ["_i"]).drop("_i"))
-    n = lengths(dense).withColumn("_b", F.lit(block) if block else F.greatest(F.lit(20), F.round(1.5 * F.pow("n", F.lit(1 / 3))).cast("int"))).where("n >= 10 * _b")
-    draws = n.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / F.col("_b")).cast("int") - 1)))
-    starts = draws.withColumn("_s", F.pmod(F.xxhash64("series", "round", "_k", F.lit(seed)), F.col("n")))
-    rows = starts.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    picked = materialise(rows.select("series", "round", F.pmod(F.col("_s") + F.col("_j"), F.col("n")).alias("idx")).transform(matched, dense, ["series", "idx"]).select("series", "round", "_y", "_p"))
-    by = ("series", "round")
-    ics = average_ranks(average_ranks(picked, "_y", "_ry", by), "_p", "_rp", by).groupBy(*by).agg(safe_corr("_ry", "_rp").alias("ic"))
+    dense = with_row_index(own, ["series"], ["_i"]).drop("_i")
+    ranked = materialise(ranks_and_ties(ranks_and_ties(dense, "_y", "ry", "ny"), "_p", "rp", "np").select("series", "idx", "ry", "ny", "rp", "np"))
+    ics = resampled_ics(ranked, rounds, block, seed, width)
     found = ics.groupBy("series").agg(F.count("ic").alias("n_rounds"), F.avg("ic").alias("mean"), F.stddev_pop("ic").alias("std"), F.percentile("ic", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    out = spearman_ic(dense, "_y", "_p").transform(matched, found, "series", "left")
+    out = with_scalars(ranked.groupBy("series").agg(safe_corr("ry", "rp").alias("ic")), found, "left")
     whole, spread = F.coalesce("ic", F.lit(0.0)), F.coalesce("std", F.lit(0.0))
     t = F.when(spread > 0, F.col("mean") / (spread / F.sqrt("n_rounds"))).otherwise(0.0)
     out = out.select("series", F.coalesce("n_rounds", F.lit(0).cast("long")).alias("n_rounds"), F.coalesce("mean", whole).alias("mean"), spread.alias("std"), t.alias("t"), F.coalesce(F.col("_q")[0], whole).alias("low"), F.coalesce(F.col("_q")[1], whole).alias("high"))
     return out.withColumn("p_value", F.when(F.col("std") > 0, two_sided_p(F.col("t"))).otherwise(1.0))
 
 
+def ranks_and_ties(df: DataFrame, x: str, rank: str, ties: str) -> DataFrame:
+    """Adds the average rank of x in its series and the number of rows that share it."""
+    ranks = value_ranks(df, x, ["series"]).select("series", F.col("value").alias(x), (F.col("below") + (F.col("n") + 1) / 2).alias(rank), F.col("n").alias(ties))
+    return with_scalars(df, ranks, "left", ["series", x])
+
+
 def directional_accuracy(df: DataFrame, y: str, p: str, by: str = "series") -> DataFrame:
     """Share of equal signs among rows where both are not zero; 0.5 without such rows."""
     met = (F.col(y) != 0) & (F.col(p) != 0)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from serieslab import core
-from serieslab.operators import columns, dependence, labels, metrics, rolling, sampling, selection, stationary, stats, volatility
+from serieslab.operators import bootstrap, columns, dependence, labels, metrics, rolling, sampling, selection, stationary, stats, volatility
 
 
 def frame(spark, values, series="a", parts=3):
@@ -314,11 +314,13 @@ def test_splines_and_modes_of_two_tones():
     assert [list(x) for x in stationary.turning_points(np.array([0, 1, 1, 1, 0, 2, 1.0]))] == [[2, 5], [4]]
 
 
-def test_bootstrap_ranks_within_each_round(spark):
+@pytest.mark.parametrize("width", [7, 16, None])
+def test_bootstrap_ranks_within_each_round(spark, width):
     rng = np.random.default_rng(4)
     y, p = np.round(rng.normal(size=210), 1), np.round(rng.normal(size=210), 1)
+    y[rng.permutation(210)[:80]], p[40:110] = 0.3, -0.2  # values of many rows, which small tasks share
     df = spark.createDataFrame([("a", i, float(u), float(v)) for i, (u, v) in enumerate(zip(y, p, strict=True))] + [("b", i, float(i), float(i)) for i in range(30)], "series string, idx long, y double, p double").repartition(3)
-    got = {r["series"]: r for r in metrics.ic_bootstrap(df, "y", "p", 25).collect()}
+    got = {r["series"]: r for r in metrics.ic_bootstrap(df, "y", "p", 25, width=width).collect()}
     keys = spark.range(25).select(F.lit("a").alias("series"), F.col("id").cast("int").alias("round")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
     starts = {(r["round"], r["k"]): r["s"] for r in keys.withColumn("s", F.pmod(F.xxhash64("series", "round", "k", F.lit(42)), F.lit(210).cast("long"))).collect()}
 
@@ -336,6 +338,22 @@ def test_bootstrap_ranks_within_each_round(spark):
     assert (b["n_rounds"], b["mean"], b["std"], b["t"], b["p_value"]) == (0, pytest.approx(1), 0, 0, 1)
 
 
+def test_bootstrap_of_no_rows_nulls_and_constants(spark):
+    kind = "series string, idx long, y double, p double"
+    assert metrics.ic_bootstrap(spark.createDataFrame([], kind), "y", "p", 5).count() == 0
+    rows = [(None, i, None if i % 5 == 0 else float(i % 7), float(i % 11)) for i in range(400)] + [("c", i, 2.0, float(i)) for i in range(250)]
+    got = {r["series"]: r for r in metrics.ic_bootstrap(spark.createDataFrame(rows, kind).repartition(3), "y", "p", 5, width=50).collect()}
+    assert got[None]["n_rounds"] == 5 and got[None]["std"] > 0
+    assert (got["c"]["n_rounds"], got["c"]["mean"], got["c"]["p_value"]) == (0, 0, 1)
+
+
+def test_counts_and_ranks_in_rounds():
+    m = bootstrap.times_in_rounds(np.array([0, 2, 1]), np.array([3, 4, 4]), np.array([0, 0, 2]), 4, 3)
+    assert m.T.tolist() == [[1, 1, 2, 1], [0, 0, 0, 0], [0, 1, 1, 1]]
+    twice = bootstrap.double_ranks(np.array([5.0, 1, 5, 3]), m, np.array([10, 0, 0]))
+    assert (twice[:, 0] / 2).tolist() == [10 + 4, 10 + 1, 10 + 4, 10 + 2]
+
+
 @pytest.mark.parametrize("values", [[0.0] * 60, [2.0] * 60, [0.0, 1.0] * 30])
 def test_zeros_and_constants_do_not_fail(spark, values):
     df = frame(spark, values).withColumn("y", F.lit(1.0))
