@@ -95,6 +95,28 @@ _add("table_info", lambda s, f: I.table_info(table(s, f, "nation")).select("colu
 _add("discover_series", lambda s, f: I.discover_series(s, f))
 _add("scan_parquet", lambda s, f: I.scan_parquet(s, f"{f}/lineitem.parquet", ["l_orderkey", "l_quantity"]).where("l_quantity > 45"), "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
 
+_add(
+    "scan_object_store", lambda s, f: I.scan_object_store(s, f"{f if '://' in f else 'file://' + f}/orders.parquet", ["o_orderkey", "o_totalprice"], split_bytes=8 << 20).where("o_totalprice > 1000"),
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000",
+)
+
+
+def _store(s, f) -> str:
+    """A store with facts of a model for each priority and status of orders."""
+    root = f"{shared_dir(s)}/models-{uuid.uuid4().hex}"
+    facts = table(s, f, "orders").groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderstatus").alias("model")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+    facts.write.partitionBy("symbol", "model").parquet(f"{root}/meta")
+    return root
+
+
+def _after_deletion(s, f):
+    root = _store(s, f)
+    I.delete_stored(s, root, "1-URGENT", "O")
+    return I.stored_files(s, root).select("symbol", "model").distinct()
+
+
+_add("delete_stored", _after_deletion, "SELECT DISTINCT o_orderpriority AS symbol, o_orderstatus AS model FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')")
+
 
 # registry: orders are models, lineitem their features
 def _models(s, f):

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from serieslab import catalogue
-from serieslab.operators import dependence, labels, metrics, rolling, sampling, selection, stationary, stats
+from serieslab.operators import dependence, labels, metrics, registry, rolling, sampling, selection, stationary, stats
+from serieslab.sources import files
 from tests.test_series import column, frame
 
 QUERIES = catalogue.queries()
@@ -196,3 +197,27 @@ def test_driver_is_the_longest_substring(spark):
     long = spark.createDataFrame([("z" * 100_000 + "spx_d" + "y" * 50_000,)], "feature string")
     assert labels.driver_of(long, mapping).first()["driver"] == "b"
     assert {r["driver"] for r in labels.driver_of(features, mapping.limit(0)).collect()} == {None}
+
+
+def test_object_store_is_split_and_shares_no_setting(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    spark.range(40_000).selectExpr("id", "cast(id as string) AS t", "hash(id) AS h").repartition(2).write.option("parquet.block.size", 65_536).parquet(f"{root}/EURUSD")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    fine = files.scan_object_store(spark, root, ["id", "h"], "EURUSD", split_bytes=100_000)
+    whole = files.scan_object_store(spark, f"{root}/EURUSD", ["id", "h"])
+    assert fine.count() == 40_000 and fine.agg(F.sum("id")).first()[0] == 40_000 * 39_999 // 2 and fine.columns == ["id", "h"]
+    assert fine.rdd.getNumPartitions() > whole.rdd.getNumPartitions() and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert fine.join(spark.range(10), "id").count() == 10
+
+
+def test_files_of_a_deleted_model_go(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    names = [("EURUSD", "007"), ("EURUSD", "a+b c%"), ("USDJPY", "007")]
+    for kind in ("model", "meta"):
+        spark.createDataFrame([(*n, 1.0) for n in names], "symbol string, model string, v double").write.partitionBy("symbol", "model").parquet(f"{root}/{kind}")
+    found = lambda: sorted({(r["kind"], r["symbol"], r["model"]) for r in files.stored_files(spark, root).collect()})
+    every = sorted((k, *n) for k in ("model", "meta") for n in names)
+    assert found() == every and all(r["size"] > 0 for r in files.stored_files(spark, root).collect())
+    assert files.delete_stored(spark, root, "EURUSD", "a+b c%") and not files.delete_stored(spark, root, "EURUSD", "a+b c%")
+    assert found() == [e for e in every if e[1:] != names[1]] and not files.delete_stored(spark, root, "GBPUSD", "007")
+    assert {r["symbol"]: r["n"] for r in registry.storage_stats(files.stored_files(spark, root)).collect()} == {"EURUSD": 2, "USDJPY": 2}
