@@ -247,7 +247,7 @@ def dcor_rolling(df: DataFrame, y: str, columns: list[str], window: int = 1200,
 def nmi_pairs(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 32, least: int = 5, together: int = 4096) -> DataFrame:
     """(a, b, nmi): mutual information of equal-width bins over the larger entropy; 0 for a constant or under `least` rows.
 
-    Values become bins once. Each partition then adds up the histograms of `together` pairs at a time, which bounds what a task holds; more
+    Values become bins once. `pairs` is a list that the caller holds, so its names are a small table beside the data. Each partition then adds up the histograms of `together` pairs at a time, which bounds what a task holds; more
     pairs take further passes over the table of bins."""
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, nmi double")
@@ -277,19 +277,15 @@ def nmi_pairs(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 32, least
 
         one = binned.mapInArrow(histograms, "pair int, x int, y int, c bigint").groupBy("pair", "x", "y").agg(F.sum("c").alias("c")).withColumn("pair", F.col("pair") + first)
         cells = one if cells is None else cells.unionByName(one)
-    every = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
-    cells = cells.join(F.broadcast(every), "pair").drop("pair")  # a row for each pair
-    total = cells.groupBy("a", "b").agg(F.sum("c").alias("n"))
-    joint = cells.join(F.broadcast(total), ["a", "b"]).withColumn("p", F.col("c") / F.col("n"))  # a row for each pair
-    px = joint.groupBy("a", "b", "x").agg(F.sum("p").alias("px"))
-    py = joint.groupBy("a", "b", "y").agg(F.sum("p").alias("py"))
-    hx = px.groupBy("a", "b").agg((-F.sum(F.col("px") * F.log("px"))).alias("hx"))
-    hy = py.groupBy("a", "b").agg((-F.sum(F.col("py") * F.log("py"))).alias("hy"))
-    hxy = joint.groupBy("a", "b", "n").agg((-F.sum(F.col("p") * F.log("p"))).alias("hxy"))
-    out = hxy.join(hx, ["a", "b"]).join(hy, ["a", "b"])
+    # entropies follow from counts, log n less the sum of c log c over n, so that totals need no join
+    entropy = lambda c: F.log(F.sum(c)) - F.sum(F.col(c) * F.log(c)) / F.sum(c)
+    joint = cells.groupBy("pair").agg(F.sum("c").alias("n"), entropy("c").alias("hxy"))
+    sides = [cells.groupBy("pair", v).agg(F.sum("c").alias("c")).groupBy("pair").agg(entropy("c").alias(f"h{v}")) for v in ("x", "y")]
     top = F.greatest("hx", "hy")
     value = F.when((F.col("n") >= least) & (top > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("hx") + F.col("hy") - F.col("hxy")) / top))).otherwise(0.0)
-    return every.join(out.select("a", "b", value.alias("nmi")), ["a", "b"], "left").select("a", "b", F.coalesce("nmi", F.lit(0.0)).alias("nmi"))
+    out = joint.join(sides[0], "pair").join(sides[1], "pair").select("pair", value.alias("nmi"))
+    every = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    return every.join(out, "pair", "left").select("a", "b", F.coalesce("nmi", F.lit(0.0)).alias("nmi"))
 
 
 def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:

@@ -27,10 +27,16 @@ def broadcast_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return with_scalars(df, scalars, "left")
 
 
-def feature_pairs(features: DataFrame) -> DataFrame:
-    """(a, b), a < b, of a list of names."""
-    a, b = features.select(F.col("feature").alias("a")), features.select(F.col("feature").alias("b"))
-    return a.join(b, F.col("a") < F.col("b"))
+def feature_pairs(features: DataFrame, block: int = 1000) -> DataFrame:
+    """(a, b), a < b, of a list of names; a repeated name pairs as often as it comes, a null one not at all.
+
+    Names are dealt to blocks of about `block` by their hash. Each goes once to every block, so that a task joins two blocks on their numbers
+    and the names that are moved are a `block`th of the pairs."""
+    blocks = max(1, -(-features.count() // block))
+    own, others = F.pmod(F.xxhash64("feature"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = features.select(F.col("feature").alias("a"), own.alias("i"), others.alias("j"))
+    b = features.select(F.col("feature").alias("b"), own.alias("j"), others.alias("i"))
+    return a.join(b, ["i", "j"]).where("a < b").select("a", "b")
 
 
 def union_parts(parts: list[DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from serieslab import catalogue
-from serieslab.operators import dependence, labels, metrics, registry, rolling, sampling, selection, stationary, stats
+from serieslab.operators import dependence, labels, metrics, registry, relations, rolling, sampling, selection, stationary, stats
 from serieslab.sources import files
 from tests.test_series import column, frame
 
@@ -221,3 +221,10 @@ def test_files_of_a_deleted_model_go(spark, tmp_path):
     assert files.delete_stored(spark, root, "EURUSD", "a+b c%") and not files.delete_stored(spark, root, "EURUSD", "a+b c%")
     assert found() == [e for e in every if e[1:] != names[1]] and not files.delete_stored(spark, root, "GBPUSD", "007")
     assert {r["symbol"]: r["n"] for r in registry.storage_stats(files.stored_files(spark, root)).collect()} == {"EURUSD": 2, "USDJPY": 2}
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_pairs_of_names_in_blocks(spark, block):
+    names = [f"f{i}" for i in range(40)] + ["f3", None]
+    got = sorted(tuple(r) for r in relations.feature_pairs(spark.createDataFrame([(n,) for n in names], "feature string"), block).collect())
+    assert got == sorted((a, b) for a in names for b in names if a is not None and b is not None and a < b)
