@@ -387,3 +387,11 @@ def test_quantiles_are_exact(spark, walk):
     df = frame(spark, [*walk, None, *walk[:50]])
     got = core.quantiles(df, "x", ["series"], [0.0, 0.013, 0.5, 1.0]).first()["q"]
     assert np.allclose(got, np.quantile([*walk, *walk[:50]], [0.0, 0.013, 0.5, 1.0]))
+
+
+def test_backward_fill_takes_a_step_a_row(spark):
+    """A backward fill may not sum up each row's whole rest of the bucket anew."""
+    rows = spark.range(12).select(F.lit("a").alias("series"), F.col("id").alias("idx"), F.when(F.col("id") % 5 == 3, F.col("id").cast("double")).alias("v"))
+    out = core.filled(rows, ["v"], forward=False, size=4)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r["v"] for r in out.orderBy("idx").collect()] == [3.0] * 4 + [8.0] * 5 + [None] * 3
