@@ -395,3 +395,18 @@ def test_backward_fill_takes_a_step_a_row(spark):
     out = core.filled(rows, ["v"], forward=False, size=4)
     assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert [r["v"] for r in out.orderBy("idx").collect()] == [3.0] * 4 + [8.0] * 5 + [None] * 3
+
+
+def test_forecasts_leave_the_long_series_spread(spark, sf_dir):
+    """The one row of means is no reason to send the whole series to one task."""
+    from serieslab.plans.frames import forecasts
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert len(forecasts(spark, sf_dir).inputFiles()) > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
