@@ -410,3 +410,23 @@ def test_forecasts_leave_the_long_series_spread(spark, sf_dir):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_volatility_of_prices_with_zeros_is_that_of_the_sql(spark, tmp_path):
+    """A price of zero gives infinite returns and so NaN, as in SQL; other series keep their numbers, a missing price ends its series' path."""
+    from serieslab import catalogue
+    from tests.against_sql import same
+
+    rng = np.random.default_rng(1)
+    rows = [(i, i, i % 7, "abcd"[i % 4], float(0 if i in (40, 44, 81, 200) else rng.exponential(50) + 1) if i != 83 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double")
+    df.select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("conditional_variance", "garch_loglik", "vol_diagnostics", "vol_forecast", "vol_autocorr"):
+        same(spark, str(tmp_path), catalogue.queries()[name], catalogue.oracle_sql()[name])
+
+
+def test_windows_sifted_side_by_side_have_the_modes_of_each():
+    rng = np.random.default_rng(3)
+    flat = np.stack([rng.integers(1, 51, 300).astype(float), np.cumsum(rng.normal(size=300)), np.ones(300), np.arange(300.0), np.sin(np.arange(300) / 9), rng.integers(0, 2, 300).astype(float)])
+    for got, v in zip(stationary.last_modes(flat, 10), flat, strict=True):
+        assert np.allclose(got, [m[-1] for m in stationary.sift(v, 10)])
