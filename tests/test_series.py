@@ -430,3 +430,15 @@ def test_windows_sifted_side_by_side_have_the_modes_of_each():
     flat = np.stack([rng.integers(1, 51, 300).astype(float), np.cumsum(rng.normal(size=300)), np.ones(300), np.arange(300.0), np.sin(np.arange(300) / 9), rng.integers(0, 2, 300).astype(float)])
     for got, v in zip(stationary.last_modes(flat, 10), flat, strict=True):
         assert np.allclose(got, [m[-1] for m in stationary.sift(v, 10)])
+
+
+def test_rounds_of_a_task_are_those_of_blocks_and_write_no_rows_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 40, 1200).astype(float)
+    rows = [(s, i, float(v), float(v + w)) for s in ("a", None) for i, (v, w) in enumerate(zip(x, rng.integers(0, 30, 1200), strict=True))]
+    df = spark.createDataFrame(rows, "series string, idx long, y double, p double").repartition(3)
+    written = []
+    monkeypatch.setattr(bootstrap, "materialise", lambda d: (written.append(d.columns), core.materialise(d))[1])
+    whole = sorted(map(repr, metrics.ic_bootstrap(df, "y", "p", 60).select("series", "n_rounds", *[F.round(c, 9) for c in ("mean", "std", "low", "high")]).collect()))
+    assert not any("m" in c for c in written)
+    assert whole == sorted(map(repr, metrics.ic_bootstrap(df, "y", "p", 60, width=100).select("series", "n_rounds", *[F.round(c, 9) for c in ("mean", "std", "low", "high")]).collect()))
