@@ -128,3 +128,26 @@ def test_folds_are_bits_not_copies(spark):
     assert len(models) == 15
     for i, m in enumerate(models):
         assert m.metrics["train"]["n"] == sum(f == i and role == "train" for _, role, f in want) and m.metrics["check"]["n"] == sum(f == i and role == "test" for _, role, f in want)
+
+
+@pytest.mark.parametrize("regression", [True, False])
+def test_level_sums_are_those_of_all_rows_and_count_the_smaller_side(regression, monkeypatch):
+    rng = np.random.default_rng(11)
+    blocks = []
+    for n in (400, 900):
+        x = rng.integers(0, 128, (4, n)).astype(np.uint8)
+        y = x[0] / 64 + rng.normal(size=n) if regression else (x[0] + rng.integers(0, 60, n) > 90).astype(float)
+        blocks.append(boosting.Block(x, y, rng.integers(-(2**62), 2**62, n), rng.random((1, n)) < 0.8, np.zeros((1, n), bool)))
+    g = boosting.Growth(0, boosting.Settings(rounds=3), 1, regression, 2.0**36, 8.0 if regression else 1.0, [0.0])
+    before, seen = None, []
+    counted = g.counted
+    monkeypatch.setattr(g, "counted", lambda x, *rest: (seen.append(x.shape[1]), counted(x, *rest))[1])
+    while not g.done:
+        seen.clear()
+        sums = g.level_sums(blocks, before if g.level else None)
+        learnt = sum(len(g.part(b).node) for b in blocks)
+        assert sum(seen) == learnt if not g.level else 2 * sum(seen) <= learnt
+        assert np.array_equal(sums, sum(g.histograms(b) for b in blocks))
+        before = sums
+        g.advance(*g.best(sums))
+    assert len(g.trees) == 3
