@@ -442,3 +442,10 @@ def test_rounds_of_a_task_are_those_of_blocks_and_write_no_rows_by_rounds(spark,
     whole = sorted(map(repr, metrics.ic_bootstrap(df, "y", "p", 60).select("series", "n_rounds", *[F.round(c, 9) for c in ("mean", "std", "low", "high")]).collect()))
     assert not any("m" in c for c in written)
     assert whole == sorted(map(repr, metrics.ic_bootstrap(df, "y", "p", 60, width=100).select("series", "n_rounds", *[F.round(c, 9) for c in ("mean", "std", "low", "high")]).collect()))
+
+
+def test_adf_holds_the_lags_of_some_rows_at_a_time(spark, walk, monkeypatch):
+    whole = stats.adf_test(frame(spark, walk), "x", 7).first()
+    monkeypatch.setattr(stats, "LAGGED_ROWS", 64)
+    part = stats.adf_test(frame(spark, walk), "x", 7).first()
+    assert (whole["n"], whole["lags"]) == (part["n"], part["lags"]) and math.isclose(whole["t"], part["t"], rel_tol=1e-6)
