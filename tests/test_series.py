@@ -198,6 +198,27 @@ def test_distance_correlation(spark, monkeypatch, local, block, blocks):
     assert series == pytest.approx({None: direct_dcor2(x[::2][-50:], y[::2][-50:]), "a": direct_dcor2(x[1::2][-50:], y[1::2][-50:])}, abs=1e-9)
 
 
+def test_distance_correlation_of_all_pairs_needs_no_order(spark, monkeypatch):
+    monkeypatch.setattr(dependence, "BLOCK_PAIRS", 40)
+    monkeypatch.setattr(dependence, "COLUMNS_TOGETHER", 2)
+    rng = np.random.default_rng(9)
+    y = np.where(rng.random(900) < 0.6, 5.0, np.round(rng.normal(size=900), 2))  # one value takes most rows
+    many, few = rng.normal(size=900) + y, rng.integers(0, 3, 900) * 1.5 + (y > 5)
+    rare = np.where(rng.random(900) < 0.1, y**2, np.nan)
+    df = spark.createDataFrame([(*map(float, r), None if math.isnan(r[3]) else float(r[3])) for r in zip(y, many, few, rare, strict=True)], "y double, many double, few double, nans double, nulls double").repartition(5)
+    got = {r["feature"]: r for r in dependence.distance_corr(df, "y", ["many", "few", "nans", "nulls", "y"], None, local=200).collect()}
+    some = ~np.isnan(rare)
+    want = {"many": direct_dcor2(many, y), "few": direct_dcor2(few, y), "nans": direct_dcor2(rare[some], y[some]), "nulls": direct_dcor2(rare[some], y[some]), "y": 1.0}
+    assert {k: r["dcor2"] for k, r in got.items()} == pytest.approx(want, abs=1e-12)
+    assert {k: r["n"] for k, r in got.items()} == {"many": 900, "few": 900, "nans": some.sum(), "nulls": some.sum(), "y": 900}
+
+
+def test_a_frequent_value_is_a_block_dealt_out_in_shares():
+    cuts = dependence._cuts([1.0, 2.0, 2.0, 2.0, 7.0])
+    block, shares = dependence._block(np.array([0.0, 1.0, 1.5, 2.0, 2.5, 7.0, 8.0]), cuts)
+    assert block.tolist() == [0, 0, 2, 3, 4, 4, 6] and shares.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
 def test_distance_sums_of_many_pairs():
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=5_000), np.round(rng.normal(size=5_000), 1)
