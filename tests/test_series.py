@@ -152,6 +152,46 @@ def test_a_missing_price_skips_itself_only(spark):
     assert volatility.garch_rolling(frame(spark, [None] * 1200), "x").count() == 0
 
 
+def test_windows_are_fitted_side_by_side_like_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    paths = [np.diff(np.log(x[:n])) for x, n in zip(garch_paths(3, 700).values(), (700, 633, 95), strict=True)] + [rng.normal(size=60), np.zeros(70), np.exp(rng.normal(size=300) * 3)]
+    got = volatility.fit_windows(paths)
+    for one, r in zip(got, paths, strict=True):
+        assert one == pytest.approx(volatility.fit_garch(r), rel=1e-6, abs=1e-9)
+    z, theta = rng.normal(size=(301, 2)) ** 2, np.array([[0.1, 0.12, 0.8], [0.5, 0.3, 1e-9]])
+    there = np.array([[1.0, 1.0]] * 200 + [[1.0, 0.0]] * 101)
+    sums = volatility.likelihood_sums_of_columns(z, there, theta)
+    for i, n in enumerate((301, 200)):
+        assert sums[i] == pytest.approx(volatility.likelihood_sums(z[:n, i], theta[i], np.array([1.0, 0, 0, 0])), rel=1e-9)
+
+
+@pytest.mark.parametrize(("window", "step", "embargo", "side"), [(120, 50, 7, 2), (60, 80, 0, 3), (100, 3, 0, 4)])
+def test_rolling_garch_has_every_window(spark, monkeypatch, window, step, embargo, side):
+    monkeypatch.setattr(volatility, "SIDE_BY_SIDE", side)
+    x = {s: [float(u) for u in v] for s, v in garch_paths(2, 403).items()}
+    x[None][130], x["s1"][7], x["s1"][8] = None, 0.0, -1.0
+    df = spark.createDataFrame([(s, i, v) for s, path in x.items() for i, v in enumerate(path)], "series string, idx long, x double").repartition(5)
+    got = {(r["series"], r["idx"]): r for r in volatility.garch_rolling(df, "x", window, step, embargo).collect()}
+    anchors = [a for a in range(window, 404, step)]
+    assert sorted(i for s, i in got if s) == sorted(i for s, i in got if not s) == [i for a in anchors for i in range(a + embargo, min(a + step, 403))]
+    for s, path in x.items():
+        for a in anchors[:: max(1, len(anchors) // 4)]:
+            if a + embargo < 403:
+                own = np.array([v for v in path[a - window : a] if v is not None and v > 0])
+                assert [got[s, a + embargo][c] for c in ("omega", "alpha", "beta")] == pytest.approx(volatility.fit_garch(np.diff(np.log(own)))[:3], rel=1e-4, abs=1e-7)
+
+
+def test_rolling_garch_rows_go_to_few_tasks(spark, monkeypatch):
+    """A row was copied once for each of the ten windows that hold it; now once for its bucket, and again for the one that reaches over it."""
+    from pyspark.sql import Observation
+
+    seen, halo = Observation(), volatility.halo
+    monkeypatch.setattr(volatility, "halo", lambda *a, **k: halo(*a, **k).observe(seen, F.count(F.lit(1)).alias("n")))
+    x = np.exp(np.cumsum(np.random.default_rng(7).normal(0, 0.01, 14_000)))
+    assert volatility.garch_rolling(frame(spark, [float(v) for v in x]), "x").count() == 13_000
+    assert seen.get["n"] <= 15_000
+
+
 def test_rolling_garch_query_takes_the_whole_series(spark, tmp_path):
     import datetime as dt
 
