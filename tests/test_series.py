@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -510,3 +511,17 @@ def test_adf_holds_the_lags_of_some_rows_at_a_time(spark, walk, monkeypatch):
     monkeypatch.setattr(stats, "LAGGED_ROWS", 64)
     part = stats.adf_test(frame(spark, walk), "x", 7).first()
     assert (whole["n"], whole["lags"]) == (part["n"], part["lags"]) and math.isclose(whole["t"], part["t"], rel_tol=1e-6)
+
+
+def test_variance_of_returns_has_the_same_digits_for_all_partitions(spark):
+    rng = np.random.default_rng(21)
+    v = [*(rng.normal(size=3000) * np.exp(rng.normal(size=3000) * 3) + 5), None]
+    rows = [("a", i, None if x is None else float(x)) for i, x in enumerate(v)] + [("b", i, x) for i, x in enumerate([1.0, float("inf"), 2.0])] + [(None, 0, 4.0)]
+    df = spark.createDataFrame(rows, "series string, idx long, r double")
+    seen = [{r["series"]: r["v"] for r in volatility.variance_of_returns(df.repartition(n)).collect()} for n in (1, 3, 7, 16)]
+    mean = sum(map(Fraction, v[:-1])) / 3000
+    want = float(sum((Fraction(x) - mean) ** 2 for x in v[:-1]) / 3000)
+    assert {s["a"] for s in seen} == {seen[0]["a"]} and math.isclose(seen[0]["a"], want, rel_tol=4e-16) and math.isnan(seen[0]["b"]) and seen[0][None] == 0
+    fits = spark.createDataFrame([(s, 0.5, 0.1, 0.8) for s in ("a", None)], "series string, omega double, alpha double, beta double")
+    paths = [sorted(map(repr, volatility.conditional_variance(df.where("series = 'a' or series is null").repartition(n), fits).collect())) for n in (1, 3, 7)]
+    assert paths[0] == paths[1] == paths[2]
