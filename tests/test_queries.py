@@ -228,3 +228,21 @@ def test_pairs_of_names_in_blocks(spark, block):
     names = [f"f{i}" for i in range(40)] + ["f3", None]
     got = sorted(tuple(r) for r in relations.feature_pairs(spark.createDataFrame([(n,) for n in names], "feature string"), block).collect())
     assert got == sorted((a, b) for a in names for b in names if a is not None and b is not None and a < b)
+
+
+@pytest.fixture(scope="module")
+def long_pairs(spark):
+    """More rows than were once looked at; the feature follows the target in the first of them only."""
+    rng = np.random.default_rng(17)
+    x, y = rng.normal(size=(2, 20_600))
+    x[:600] = 3 * y[:600]
+    df = spark.createDataFrame([("a", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "series string, idx long, x double, y double")
+    whole, last = ({r["feature"]: r["dcor2"] for r in dependence.distance_corr(df, "y", ["x"], most).collect()}["x"] for most in (None, 20_000))
+    assert whole > 2 * last
+    return df, whole
+
+
+def test_scores_are_of_all_pairs(spark, long_pairs):
+    df, whole = long_pairs
+    assert dependence.dcor_scores(df, "y", ["x"]).first()["score"] == pytest.approx(whole, abs=1e-12)
+    assert dependence.dcor_scores(df.limit(20), "y", ["x"]).count() == 0
