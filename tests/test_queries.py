@@ -246,3 +246,9 @@ def test_scores_are_of_all_pairs(spark, long_pairs):
     df, whole = long_pairs
     assert dependence.dcor_scores(df, "y", ["x"]).first()["score"] == pytest.approx(whole, abs=1e-12)
     assert dependence.dcor_scores(df.limit(20), "y", ["x"]).count() == 0
+
+
+def test_selection_goes_by_scores_of_all_pairs(spark, long_pairs):
+    df, whole = long_pairs
+    got = {(r["stage"], r["feature"]): r for r in selection.select_features(df, "y", ["x"], least=0.0, rounds=1, depth=1).collect()}
+    assert got["dcor", "x"]["score"] == got["score", "x"]["score"] == pytest.approx(whole, abs=1e-12)
