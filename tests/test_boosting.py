@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +153,55 @@ def test_level_sums_are_those_of_all_rows_and_count_the_smaller_side(regression,
         before = sums
         g.advance(*g.best(sums))
     assert len(g.trees) == 3
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_equal_rows_are_grown_as_one_group(classes):
+    """The trees of groups are those of their rows, whose draws and folds differ."""
+    rng = np.random.default_rng(23)
+    size = rng.integers(1, 9, 500)
+    x, key = rng.integers(0, 128, (4, 500)).astype(np.uint8), rng.integers(-(2**62), 2**62, size.sum())
+    y = x[0] / 64 + rng.normal(size=500) if not classes else ((x[0] + rng.integers(0, 60, 500)) % (2 * classes) // 2 % classes).astype(float)
+    train, check = rng.random((2, size.sum())) < 0.5
+    row = np.repeat(np.arange(500), size)
+    starts = np.cumsum(np.append(0, size[:-1]))
+
+    def trees(blocks):
+        g, sums = boosting.grown(boosting.Growth(0, boosting.Settings(rounds=12, patience=5), classes if classes > 2 else 1, not classes, 2.0**34, 8.0 if not classes else 1.0, [0.0] * (classes if classes > 2 else 1)), blocks)
+        assert len(g.trees) > 1
+        return [(t.features, t.cuts, t.values.tolist(), t.weights.tolist()) for t in g.trees], g.losses, sums
+
+    whole = boosting.Block(x, y, key, {0: train}, {0: check}, starts=starts)
+    want = trees([boosting.Block(x[:, row], y[row], key, train[None], check[None])])
+    half = int(starts[250])
+    halves = [boosting.Block(x[:, :250], y[:250], key[:half], {0: train[:half]}, {0: check[:half]}, starts=starts[:250]), boosting.Block(x[:, 250:], y[250:], key[half:], {0: train[half:]}, {0: check[half:]}, starts=starts[250:] - half)]
+    for blocks in ([whole], halves, [boosting.joined([boosting.of_fold(b, 0) for b in halves], 0)]):
+        got = trees(blocks)
+        assert got[:2] == want[:2] and got[2] == pytest.approx(want[2])
+
+
+def test_copies_of_rows_grow_in_tasks(spark, data, monkeypatch):
+    """A task's bound is of groups of equal rows, so copies do not send a fit to a job for each level."""
+    x, y = np.round(data[0]), np.round(data[1])
+    order = np.random.default_rng(1).permutation(6000)
+    many = table(spark, np.tile(x, (20, 1))[order], np.tile(y, 20)[order], 5)
+    folds = [(F.col("idx") < 3000, (F.col("idx") >= 3000) & (F.col("idx") < 4000)), (F.col("idx") < 4000, F.col("idx") >= 4000)]
+    more = {"rounds": 6, "depth": 3, "rate": 0.3, "folds": folds}
+    levels = boosting.boost(many, "y", ["a", "b", "c"], local_cells=0, **more)
+    monkeypatch.setattr(boosting, "_grow_by_levels", None)
+    tasks = boosting.boost(many, "y", ["a", "b", "c"], local_cells=6000, **more)
+    grown = lambda ms: [(m.losses, [(t.features, t.cuts, t.values.tolist(), t.weights.tolist()) for t in m.trees]) for m in ms]
+    assert grown(tasks) == grown(levels) and all(m.trees for m in tasks)
+
+
+def test_more_folds_than_a_column_of_flags_holds(spark):
+    df = wide(spark, np.arange(400.0).reshape(200, 2), ["a", "y"])
+    models = boosting.boost(df, "y", ["a"], folds=[((F.col("idx") >= i), F.col("idx") < i) for i in range(70)], rounds=1, depth=1)
+    assert [(m.metrics["train"]["n"], m.metrics.get("check", {"n": 0})["n"]) for m in models] == [(200 - i, i) for i in range(70)]
+
+
+def test_targets_of_a_sweep_are_selected_side_by_side(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+    monkeypatch.setattr(selection, "select_features", lambda df, y, columns: (both.wait(), df.select("a"))[1])
+    found = selection.multi_target_sweep(wide(spark, np.ones((2, 3)), ["a", "y", "z"]), ["y", "z"], ["a"])
+    assert sorted(r["target"] for r in found.collect()) == ["y", "y", "z", "z"]
