@@ -29,7 +29,7 @@ FIT = {"least": 0.0, "nmi": 0.5, "least_train": 10}
 
 def features_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long series of all events with features and targets; each stage is a few windows over haloed buckets."""
-    rows, _ = run_stages(events_series(spark, sf_dir), STAGES)
+    rows, _ = run_stages(events_series(spark, sf_dir).select("series", "idx", "x"), STAGES)
     return materialise(rows.dropna(subset=[*FEATURES, "y_5", "y_10"]))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from serieslab import catalogue
 from serieslab.operators import dependence, labels, metrics, registry, relations, rolling, sampling, selection, stationary, stats
+from serieslab.plans import q_flagship
 from serieslab.sources import files
 from tests.test_series import column, frame
 
@@ -252,3 +253,7 @@ def test_selection_goes_by_scores_of_all_pairs(spark, long_pairs):
     df, whole = long_pairs
     got = {(r["stage"], r["feature"]): r for r in selection.select_features(df, "y", ["x"], least=0.0, rounds=1, depth=1).collect()}
     assert got["dcor", "x"]["score"] == got["score", "x"]["score"] == pytest.approx(whole, abs=1e-12)
+
+
+def test_stages_of_the_flagship_carry_no_other_columns(spark, sf_dir):
+    assert set(q_flagship.features_of_events(spark, sf_dir).columns) == {"series", "idx", "x", "y_5", "y_10", *q_flagship.FEATURES}
